@@ -1,0 +1,135 @@
+"""Batch scoring with given recurrent networks. Training them is out of scope.
+
+Weights are plain arrays keyed by name; they are small (a few thousand numbers) and travel with the
+task. Scoring is a map over Arrow batches of sequences, so it needs no shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from volfuse.schema import FEATURES
+
+Weights = Mapping[str, np.ndarray]
+
+HIDDEN = 32
+CHANNELS = 32
+
+
+def _uniform(rng: np.random.Generator, shape: tuple[int, ...], fan: int) -> np.ndarray:
+    reach = 1.0 / np.sqrt(fan)
+    return rng.uniform(-reach, reach, shape)
+
+
+def _cell_weights(rng: np.random.Generator, inputs: int, hidden: int, suffix: str = "") -> dict[str, np.ndarray]:
+    return {
+        f"w_ih{suffix}": _uniform(rng, (4 * hidden, inputs), hidden),
+        f"w_hh{suffix}": _uniform(rng, (4 * hidden, hidden), hidden),
+        f"b_ih{suffix}": _uniform(rng, (4 * hidden,), hidden),
+        f"b_hh{suffix}": _uniform(rng, (4 * hidden,), hidden),
+    }
+
+
+def random_lstm_weights(seed: int = 42, inputs: int = len(FEATURES), hidden: int = HIDDEN) -> Weights:
+    rng = np.random.default_rng(seed)
+    return {
+        **_cell_weights(rng, inputs, hidden),
+        "w_out": _uniform(rng, (1, hidden), hidden),
+        "b_out": _uniform(rng, (1,), hidden),
+    }
+
+
+def random_cnn_bilstm_weights(
+    seed: int = 42, inputs: int = len(FEATURES), channels: int = CHANNELS, hidden: int = HIDDEN
+) -> Weights:
+    rng = np.random.default_rng(seed)
+    return {
+        "w_conv": _uniform(rng, (channels, inputs, 3), inputs * 3),
+        "b_conv": _uniform(rng, (channels,), inputs * 3),
+        **_cell_weights(rng, channels, hidden, "_fwd"),
+        **_cell_weights(rng, channels, hidden, "_bwd"),
+        "w_out": _uniform(rng, (1, 2 * hidden), 2 * hidden),
+        "b_out": _uniform(rng, (1,), 2 * hidden),
+    }
+
+
+def lstm_forward():
+    """Returns the LSTM forward pass as a self-contained function, so that tasks need no import."""
+
+    def sigmoid(a):
+        import numpy as np
+
+        return 1.0 / (1.0 + np.exp(-a))
+
+    def run(x, w, suffix=""):
+        """Hidden state after the last step; x is (rows, steps, inputs), gates come as i, f, g, o."""
+        import numpy as np
+
+        hidden = w[f"w_hh{suffix}"].shape[1]
+        h = np.zeros((len(x), hidden))
+        c = np.zeros((len(x), hidden))
+        bias = w[f"b_ih{suffix}"] + w[f"b_hh{suffix}"]
+        for t in range(x.shape[1]):
+            gates = x[:, t] @ w[f"w_ih{suffix}"].T + h @ w[f"w_hh{suffix}"].T + bias
+            i, f, g, o = np.split(gates, 4, axis=1)
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+        return h
+
+    return run
+
+
+def lstm_predictor(weights: Weights):
+    cell = lstm_forward()
+
+    def predict(x):
+        return (cell(x, weights) @ weights["w_out"].T + weights["b_out"])[:, 0]
+
+    return predict
+
+
+def cnn_bilstm_predictor(weights: Weights):
+    cell = lstm_forward()
+
+    def predict(x):
+        import numpy as np
+
+        steps = x.shape[1]
+        padded = np.pad(x, ((0, 0), (1, 1), (0, 0)))
+        taps = [padded[:, k : k + steps] @ weights["w_conv"][:, :, k].T for k in range(3)]
+        active = np.maximum(sum(taps) + weights["b_conv"], 0.0)
+        half = active[:, : steps // 2 * 2].reshape(len(x), steps // 2, 2, -1).max(axis=2)
+        # The output of the last step: the forward cell has seen all steps, the backward cell one.
+        forward = cell(half, weights, "_fwd")
+        backward = cell(half[:, -1:], weights, "_bwd")
+        return (np.concatenate([forward, backward], axis=1) @ weights["w_out"].T + weights["b_out"])[:, 0]
+
+    return predict
+
+
+def score_sequences(df: DataFrame, predictors: Mapping[str, object], x: str = "x") -> DataFrame:
+    """Add one prediction column per named predictor; all of them share one pass over the batches."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in predictors]])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for rows in batches:
+            if len(rows):
+                cube = np.stack([np.stack(steps) for steps in rows[x]]).astype("float64")
+                yield rows.assign(**{name: predict(cube) for name, predict in predictors.items()})
+
+    return df.mapInPandas(score, schema)
+
+
+def score_lstm(df: DataFrame, weights: Weights, out: str = "LSTM") -> DataFrame:
+    return score_sequences(df, {out: lstm_predictor(weights)})
+
+
+def score_cnn_bilstm(df: DataFrame, weights: Weights, out: str = "CNN_BiLSTM") -> DataFrame:
+    return score_sequences(df, {out: cnn_bilstm_predictor(weights)})

@@ -29,20 +29,32 @@ def bars_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(table(spark, sf_dir, "events"))
 
 
-def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts_from_documents(documents: DataFrame) -> DataFrame:
     """Documents as posts, every column but the id as text; some values are broken on purpose."""
     doc = F.col("doc_id")
     ident = doc.cast("string")
-    at = (
-        F.to_timestamp_ntz(F.lit("2023-12-31 06:00:00"))
-        + F.make_dt_interval(days=(doc % 32).cast("int"), mins=(doc * 7919 % 960).cast("int"))
+    offset = F.make_dt_interval(days=(doc % 32).cast("int"), mins=(doc * 7919 % 960).cast("int"))
+    at = F.to_timestamp_ntz(F.lit("2023-12-31 06:00:00")) + offset
+    tagged = F.concat(
+        F.lit("RT @user_"), ident, F.lit(" "), F.col("text"), F.lit(" https://t.co/x"), ident, F.lit(" #topic")
     )
-    tagged = F.concat(F.lit("RT @user_"), ident, F.lit(" "), F.col("text"), F.lit(" https://t.co/x"), ident, F.lit(" #topic"))
-    return table(spark, sf_dir, "documents").select(
+    text = F.when(doc % 97 == 0, "RT").when(doc % 89 == 1, F.lit(None)).when(doc % 5 == 0, tagged)
+    likes = F.when(doc % 11 == 0, "n/a").when(doc % 7 == 0, "3.7")
+    return documents.select(
         doc.alias("post_id"),
         F.when(doc % 101 == 100, "bad").otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
-        F.when(doc % 97 == 0, "RT").when(doc % 89 == 1, F.lit(None)).when(doc % 5 == 0, tagged).otherwise(F.col("text")).alias("text"),
+        text.otherwise(F.col("text")).alias("text"),
         (doc % 3).cast("string").alias("replies"),
-        F.when(doc % 11 == 0, "n/a").when(doc % 7 == 0, "3.7").otherwise((F.col("n_chars") % 97).cast("string")).alias("likes"),
+        likes.otherwise((F.col("n_chars") % 97).cast("string")).alias("likes"),
         (doc % 13).cast("string").alias("retweets"),
     )
+
+
+def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts_from_documents(table(spark, sf_dir, "documents"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
