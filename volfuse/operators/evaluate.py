@@ -68,6 +68,12 @@ def best_blend(df: DataFrame, y: str, a: str, b: str, fit_on: Column | None = No
     )
 
 
+def _rank() -> list[Column]:
+    """Lowest RMSE first. Sums over many rows differ in their last digits from run to run, so errors
+    that agree in nine decimals are equal and the earlier row wins."""
+    return [F.round("RMSE", 9)]
+
+
 def leaderboard(results: Sequence[DataFrame]) -> DataFrame:
     """All result tables in the given order, with the first row of lowest RMSE marked as best."""
     ranked = [
@@ -78,13 +84,13 @@ def leaderboard(results: Sequence[DataFrame]) -> DataFrame:
     for more in ranked[1:]:
         table = table.unionByName(more, allowMissingColumns=True)
     everything = Window.partitionBy()  # one row per model: a handful
-    order = F.struct("RMSE", "source", "model")
+    order = F.struct(*_rank(), "source", "model")
     return table.withColumn("best", order == F.min(order).over(everything))
 
 
 def best_model(results: DataFrame) -> DataFrame:
     """Name and RMSE of the first model with the lowest RMSE."""
-    order = F.struct("RMSE", *[c for c in ("source",) if c in results.columns], "model")
+    order = F.struct(*_rank(), *[c for c in ("source",) if c in results.columns], "model")
     return results.agg(F.min_by("model", order).alias("model"), F.min("RMSE").alias("RMSE"))
 
 

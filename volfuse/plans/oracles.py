@@ -324,7 +324,7 @@ FROM (SELECT symbol, hour AS label_ts, {TARGET} AS label, rn, n, {_seq(12, _CLOS
     "blend_search": f"SELECT {_rounded(['w', 'rmse'])} FROM curve",
     "leaderboard": f"""
 SELECT source::bigint AS source, model, {", ".join(f"printf('%.6f', {_q(c)}) AS {_q(c)}" for c in _METRIC)},
-       row_number() OVER (ORDER BY "RMSE", source, model) = 1 AS best FROM board""",
+       row_number() OVER (ORDER BY round("RMSE", 9), source, model) = 1 AS best FROM board""",
     "pred_bounds": f"""
 SELECT {_r("least(min(actual), min(mean24))", "low")}, {_r("greatest(max(actual), max(mean24))", "high")} FROM forecasts""",
     "last_predictions": f"""
