@@ -14,7 +14,7 @@ _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 # What is cut out of a post, in this order.
 URL = r"http[^\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 MENTION = "@" + _WORD + "+"
-RETWEET = f"(?<!{_WORD})RT(?!{_WORD})"
+RETWEET = f"RT(?!{_WORD})(?<!{_WORD}RT)"  # starts with its letters: far cheaper than looking behind first
 
 
 def unescape_html(c: Column) -> Column:
@@ -37,5 +37,5 @@ def clean_text(c: Column | str, entities: bool = True) -> Column:
         text = unescape_html(text)
     for pattern in (URL, MENTION, RETWEET):
         text = F.regexp_replace(text, pattern, "")
-    text = F.translate(text, "#", "")
+    text = F.replace(text, F.lit("#"), F.lit(""))
     return F.trim(F.regexp_replace(text, _SPACE + "+", " "))

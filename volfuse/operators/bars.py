@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.operators.series import HOURLY, Series, fill_grid
+from volfuse.session import require_utc
 from volfuse.sources.columns import numeric_cols
 
 OHLCV = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
@@ -30,7 +31,8 @@ def first_order(ts: str, tie: str | None) -> Column:
     """Sort key for first and last within a bucket.
 
     With a tie-breaker, time and id are packed into one decimal: a struct would force a sort-based
-    aggregate over all raw rows, a decimal keeps the hash-based one with its map-side combine.
+    aggregate over all raw rows, a decimal keeps the hash-based one with its map-side combine. The
+    time alone is cheaper still, so name a tie-breaker only where times can collide.
     """
     if tie is None:
         return F.col(ts)
@@ -38,9 +40,14 @@ def first_order(ts: str, tie: str | None) -> Column:
     return micros * F.lit(_ID_RANGE) + F.col(tie).cast("decimal(19,0)")
 
 
-def bar_aggregates(ts: str = "ts", tie: str | None = None) -> list[Column]:
+def bar_inputs(ts: str = "ts", tie: str | None = None) -> dict[str, Column]:
+    """Columns that ``bar_aggregates`` reads, computed once per row."""
+    return {"_order": first_order(ts, tie)}
+
+
+def bar_aggregates() -> list[Column]:
     """First, max, min, last, sum, as resampling does them: nulls are skipped, an empty sum is 0."""
-    order = first_order(ts, tie)
+    order = F.col("_order")
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     return [
         F.min_by("open", F.when(F.col("open").isNotNull(), order)).alias("open"),
@@ -61,9 +68,14 @@ def finish_bars(df: DataFrame) -> DataFrame:
 def hourly_bars(
     df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts", width: str = "1 hour", tie: str | None = None
 ) -> DataFrame:
-    """One bar per key and bucket that has rows: open, high, low, close, volume, vwap."""
-    bucketed = df.withColumn("hour", floor_time(ts, width))
-    return finish_bars(bucketed.groupBy(*keys, "hour").agg(*bar_aggregates(ts, tie)))
+    """One bar per key and bucket that has rows: open, high, low, close, volume, vwap.
+
+    Rows without a key or a time are left out, as in any grouping by key.
+    """
+    require_utc(df)
+    rows = df.na.drop("any", subset=[*keys, ts]).withColumns(bar_inputs(ts, tie))
+    bucketed = rows.withColumn("hour", floor_time(ts, width))
+    return finish_bars(bucketed.groupBy(*keys, "hour").agg(*bar_aggregates()))
 
 
 def resample_mean(

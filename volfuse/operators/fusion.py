@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volfuse.functions.scores import weighted_sentiment
 from volfuse.operators.series import HOURLY, Series, ffill
 
 CARRIED = ["sentiment_score", "weighted_sentiment"]
+WEIGHED = ["sentiment_score", "likes", "retweets"]
 COUNTED = ["tweet_count", "likes", "retweets"]
 
 
 def within_range_of(df: DataFrame, other: DataFrame, time: str = "hour") -> DataFrame:
     """Rows between the first and the last time of another table, both included.
 
-    The bounds are scalar subqueries: they run first and filter the scan, without a join.
+    The bounds are a scalar subquery: it runs first and its values filter the rows, without a join.
     """
-    first = other.select(F.min(time)).scalar()
-    last = other.select(F.max(time)).scalar()
-    return df.filter((F.col(time) >= first) & (F.col(time) <= last))
+    ends = other.select(F.struct(F.min(time).alias("first"), F.max(time).alias("last"))).scalar()
+    return df.filter((F.col(time) >= ends["first"]) & (F.col(time) <= ends["last"]))
 
 
 def _default(df: DataFrame, c: str) -> Column:
@@ -30,12 +31,15 @@ def fuse(price: DataFrame, sentiment: DataFrame, spec: Series = HOURLY, max_age:
 
     Scores last until the next ones (``max_age`` limits that, in steps); counts do not, they are 0 in
     hours without posts. A sentiment column that the price table has too gets the suffix ``_sent``.
+    The engagement weight is added unless the sentiment table brings its own.
     """
+    if "weighted_sentiment" not in sentiment.columns and set(WEIGHED) <= set(sentiment.columns):
+        sentiment = sentiment.withColumn("weighted_sentiment", weighted_sentiment(*WEIGHED))
     clashes = {c: f"{c}_sent" for c in sentiment.columns if c in price.columns and c != spec.time}
     side = sentiment.withColumnsRenamed(clashes)
     if max_age is not None:
         side = side.withColumn("_known_at", F.col(spec.time))
-    merged = price.join(side, spec.time, "left")
+    merged = price.na.drop("any", subset=[*spec.keys, spec.time]).join(side, spec.time, "left")
     carried = [c for c in CARRIED if c in merged.columns]
     marks = ["_known_at"] if max_age is not None else []
     merged = ffill(merged, carried + marks, spec)
@@ -43,7 +47,8 @@ def fuse(price: DataFrame, sentiment: DataFrame, spec: Series = HOURLY, max_age:
         age = F.unix_seconds(F.col(spec.time).cast("timestamp")) - F.unix_seconds(F.col("_known_at").cast("timestamp"))
         merged = merged.withColumns({c: F.when(age <= max_age * spec.step, F.col(c)) for c in carried}).drop("_known_at")
     fused = merged.withColumns({c: _default(merged, c).cast("double") for c in [*CARRIED, *COUNTED]})
-    return fused.select(*price.columns, *[c for c in side.columns if c in fused.columns and c != spec.time])
+    given = [*price.columns, *[c for c in side.columns if c not in (spec.time, "_known_at")]]
+    return fused.select(*given, *[c for c in (*CARRIED, *COUNTED) if c not in given])
 
 
 def match_count(fused: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from volfuse.schema import FEATURES, IMPORTANCES, TARGET
 
@@ -70,6 +69,3 @@ def save_model(model: Model, path: str) -> None:
 def load_model(kind: type[Model], path: str) -> Model:
     return kind.load(path)
 
-
-def numeric_label(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, F.col(col).cast(T.DoubleType()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -113,18 +113,26 @@ def cnn_bilstm_predictor(weights: Weights):
 
 
 def score_sequences(df: DataFrame, predictors: Mapping[str, object], x: str = "x") -> DataFrame:
-    """Add one prediction column per named predictor; all of them share one pass over the batches."""
+    """Add one prediction column per named predictor; all of them share one pass over the batches.
+
+    The nested lists of an Arrow batch are one flat run of numbers, so a batch becomes an array of
+    (rows, steps, features) without touching single rows.
+    """
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in predictors]])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-        for rows in batches:
-            if len(rows):
-                cube = np.stack([np.stack(steps) for steps in rows[x]]).astype("float64")
-                yield rows.assign(**{name: predict(cube) for name, predict in predictors.items()})
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            steps = batch.column(batch.schema.get_field_index(x)).flatten()
+            n_steps = len(steps) // batch.num_rows
+            cube = steps.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_steps, -1)
+            added = [pa.array(predict(cube), pa.float64()) for predict in predictors.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *predictors])
 
-    return df.mapInPandas(score, schema)
+    return df.mapInArrow(score, schema)
 
 
 def score_lstm(df: DataFrame, weights: Weights, out: str = "LSTM") -> DataFrame:

@@ -25,10 +25,12 @@ WORD_BREAK = "[^a-zà-ÿ]+"
 
 def clean_posts(df: DataFrame, ts: str = "timestamp", min_length: int = 3, entities: bool = True) -> DataFrame:
     """Typed posts with cleaned text; texts that end up shorter than ``min_length`` are dropped."""
-    counts = [c for c in ("replies", "likes", "retweets")]
+    counts = ("replies", "likes", "retweets")
     read = {c: to_count(c) if c in df.columns else F.lit(0).cast("bigint") for c in counts}
-    typed = df.withColumns({ts: parse_ts(ts), "text": clean_text("text", entities), **read})
-    return min_chars(typed, min_length)
+    # A filter on the cleaned text would be pushed below the cleaning and evaluate it a second time;
+    # an array of one text or none is evaluated once.
+    kept = F.filter(F.array(clean_text("text", entities)), lambda text: F.char_length(text) >= min_length)
+    return df.withColumns({ts: parse_ts(ts), "text": F.explode(kept), **read})
 
 
 def min_chars(df: DataFrame, n: int, col: str = "text") -> DataFrame:

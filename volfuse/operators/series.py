@@ -4,7 +4,8 @@ A series is identified by its keys and has one row per grid step. Rows are assig
 ``rows`` consecutive grid positions. Fixed-length frames see the neighbours they need because the
 edge rows of a block are also sent to the next (or previous) block; unlimited look-back is answered
 by one summary row per block that is carried forward. A window partition therefore has a bounded
-number of rows, however long one series is.
+number of rows, however long one series is. Rows without a key or a time belong to no series and
+are not expected here; the steps before drop them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volfuse.session import require_utc
+
 IDX, HOME, BLOCK = "_idx", "_home", "_block"
 
 
@@ -90,6 +93,7 @@ def to_panel(
     index: Column | None = None,
 ) -> Panel:
     """Arrange ``df`` in blocks. ``index`` replaces the grid position, e.g. by a dense row number."""
+    require_utc(df)
     rows = max(rows or spec.rows, before, after, 1)
     offset = F.pmod(F.col(IDX), F.lit(rows))
     first = F.col(HOME) - F.when(offset < after, 1).otherwise(0)
@@ -149,12 +153,14 @@ def ema(panel: Panel, x: Column, seen: Column, alpha: float, start: int = 1, see
 
 
 def _block(spec: Series) -> Column:
-    return F.floor(spec.index() / F.lit(spec.rows))
+    # Never null, which keeps the planner from adding a filter to one reader of a shared exchange only.
+    return F.coalesce(F.floor(spec.index() / F.lit(spec.rows)), F.lit(0).cast("bigint"))
 
 
 def _carried(df: DataFrame, cols: Sequence[str], spec: Series) -> DataFrame:
     """One row per block: the latest non-null value of each column before the block starts, and the
     grid position at which the next block that has rows starts."""
+    require_utc(df)
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(spec.time))).alias(f"_last_{c}") for c in cols]
     ends = df.groupBy(*spec.keys, _block(spec).alias(BLOCK)).agg(F.min(spec.index()).alias("_first"), *latest)
     blocks = Window.partitionBy(*spec.keys).orderBy(BLOCK)  # one row per `rows` grid steps
@@ -168,12 +174,9 @@ def _carried(df: DataFrame, cols: Sequence[str], spec: Series) -> DataFrame:
 
 
 def _attach(df: DataFrame, side: DataFrame, spec: Series) -> DataFrame:
-    """Add the per-block columns. Null-safe, so a missing key is a series like any other, and neither
-    side gets filters of its own: both read one and the same exchange below."""
-    keys = [*spec.keys, BLOCK]
-    side = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_side_{k}")) for k in keys]
-    return df.join(side, same).drop(*[f"_side_{k}" for k in keys])
+    """Add the per-block columns. The windows that follow use the same keys, so the join's partitioning
+    serves them too."""
+    return df.join(side, [*spec.keys, BLOCK])
 
 
 def _filled(c: str, window) -> Column:
@@ -218,6 +221,7 @@ def number_rows(df: DataFrame, spec: Series = HOURLY, rn: str = "rn", n: str = "
 
     Rows are numbered inside their block; one count per block gives the offset.
     """
+    require_utc(df)
     local = Window.partitionBy(*spec.keys, BLOCK).orderBy(spec.time)
     counts = df.groupBy(*spec.keys, _block(spec).alias(BLOCK)).agg(F.count("*").alias("_rows"))
     series = Window.partitionBy(*spec.keys)

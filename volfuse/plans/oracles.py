@@ -279,7 +279,7 @@ _FINAL: dict[str, str] = {
     "hourly_bars": f"SELECT symbol, hour, {_rounded(_BAR)} FROM bars",
     "bars_filled": f"SELECT symbol, hour, {_rounded(_BAR)} FROM filled",
     "resample_mean": "SELECT symbol, date_trunc('hour', ts)::timestamp AS hour, "
-    + ", ".join(_r(f"avg({c})", c) for c in ["bar_id", "open", "high", "low", "close", "volume"])
+    + ", ".join(_r(f"avg({c})", c, 10) for c in ["bar_id", "open", "high", "low", "close", "volume"])
     + " FROM bars_raw GROUP BY symbol, date_trunc('hour', ts)",
     "returns_fwdvol": f"SELECT symbol, hour, {_rounded(['return', TARGET])} FROM indicators",
     "rsi": f"SELECT symbol, hour, {_rounded(['rsi'])} FROM indicators",

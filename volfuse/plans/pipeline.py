@@ -18,7 +18,7 @@ from volfuse.operators.fusion import fuse
 from volfuse.operators.indicators import price_features
 from volfuse.operators.series import number_rows, to_panel
 from volfuse.schema import FEATURES, TARGET
-from volfuse.session import stage
+from volfuse.session import stage, stage_all
 from volfuse.sources import fixtures
 
 # The modelled period of the given events.
@@ -50,7 +50,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    return fuse(stage(features(spark, d), "features"), stage(hourly(spark, d), "sentiment"))
+    return fuse(*stage_all(features=features(spark, d), sentiment=hourly(spark, d)))
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ Results are rounded here and only here, so that they can be compared with anothe
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +31,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles})
 
 
-def query(fn: Query) -> Query:
+def query(fn: Query, digits: int = 6) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(fn(use_utc(spark), sf_dir))
+        return rounded(fn(use_utc(spark), sf_dir), digits)
 
     _queries[fn.__name__] = run
     return run
@@ -57,7 +57,7 @@ def bars_filled(spark, d):
     return pipeline.filled(spark, d)
 
 
-@query
+@partial(query, digits=10)  # means of many prices with two decimals often end in a 5 at the seventh
 def resample_mean(spark, d):
     return bars.resample_mean(fixtures.bars_raw(spark, d))
 

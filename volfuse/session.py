@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_utc(df: DataFrame) -> None:
+    """Grid positions are counted in UTC; another zone would shift or merge hours without a trace."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone!r}; call use_utc(spark) first")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a private folder only for a local master without one."""
     global _local_root
@@ -50,6 +58,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(**tables: DataFrame) -> list[DataFrame]:
+    """Stage tables that do not depend on each other side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda item: stage(item[1], item[0]), tables.items()))
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete the tables this process staged."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.operators.bars import bar_aggregates, finish_bars
+from volfuse.operators.bars import bar_aggregates, bar_inputs, finish_bars
 from volfuse.operators.sentiment import sentiment_aggregates
 from volfuse.functions.scores import weighted_sentiment
 from volfuse.session import stage_path
@@ -30,7 +30,8 @@ def stream_bars(
     delay: str = "2 hours", tie: str | None = None,
 ) -> DataFrame:
     """Bars with VWAP per key and window; rows later than ``delay`` behind the newest are dropped."""
-    bars = _by_hour(sdf, keys, ts, width, delay).agg(*bar_aggregates(ts, tie))
+    rows = sdf.na.drop("any", subset=[*keys, ts]).withColumns(bar_inputs(ts, tie))
+    bars = _by_hour(rows, keys, ts, width, delay).agg(*bar_aggregates())
     return finish_bars(_with_hour(bars, keys))
 
 
