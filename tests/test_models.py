@@ -1,0 +1,252 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import functions as F
+
+from helpers import at
+from volfuse.operators import dataset, evaluate, models, neural, report, scenario
+from volfuse.operators.dataset import MinMax
+from volfuse.schema import FEATURES, TARGET
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 18))
+    y = x @ np.linspace(-1, 1, 18) + 0.5 + rng.normal(scale=0.01, size=300)
+    rows = [("a", at(i), *map(float, x[i]), float(y[i])) for i in range(300)]
+    schema = "symbol string, hour timestamp_ntz, " + ", ".join(f"`{c}` double" for c in [*FEATURES, TARGET])
+    return spark.createDataFrame(rows, schema).cache(), x, y
+
+
+def test_least_squares(table):
+    df, x, y = table
+    model = models.fit_linear(models.assemble(df))
+    want, *_ = np.linalg.lstsq(np.c_[x, np.ones(300)], y, rcond=None)
+    np.testing.assert_allclose([*model.coefficients, model.intercept], want, atol=1e-8)
+
+
+def test_forest_and_importances(table):
+    df, _, _ = table
+    ready = models.assemble(df)
+    model = models.fit_forest(ready, trees=5, depth=5)
+    scores = models.importances(model, ready)
+    assert scores.count() == 18 and scores.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    top = [r["importance"] for r in dataset.top_k(scores, "importance", 10).collect()]
+    assert top == sorted(top, reverse=True) and len(top) == 10
+
+
+def test_lagged_models(table):
+    df, _, _ = table
+    seq = models.flatten_steps(dataset.sequences(df))
+    for algo in ("linear", "gbt"):
+        out = models.fit_lagged(seq, algo).transform(seq)
+        assert out.filter(F.col("Lagged").isNull()).count() == 0
+    with pytest.raises(ValueError):
+        models.fit_lagged(seq, "other")
+
+
+def test_save_and_load(table, tmp_path):
+    df, _, _ = table
+    ready = models.assemble(df)
+    model = models.fit_linear(ready)
+    models.save_model(model, str(tmp_path / "m"))
+    again = models.load_model(LinearRegressionModel, str(tmp_path / "m"))
+    both = again.setPredictionCol("again").transform(model.transform(ready))
+    assert both.filter("again != LinearRegression").count() == 0
+
+
+# --- recurrent scoring against step-by-step loops -------------------------------------------------
+
+
+def sigmoid(v):
+    return 1 / (1 + math.exp(-v))
+
+
+def loop_cell(steps, w, suffix=""):
+    wi, wh = w[f"w_ih{suffix}"], w[f"w_hh{suffix}"]
+    size = wh.shape[1]
+    h, c = [0.0] * size, [0.0] * size
+    for x in steps:
+        z = [
+            sum(wi[r, k] * x[k] for k in range(len(x))) + sum(wh[r, k] * h[k] for k in range(size))
+            + w[f"b_ih{suffix}"][r] + w[f"b_hh{suffix}"][r]
+            for r in range(4 * size)
+        ]
+        c = [sigmoid(z[size + u]) * c[u] + sigmoid(z[u]) * math.tanh(z[2 * size + u]) for u in range(size)]
+        h = [sigmoid(z[3 * size + u]) * math.tanh(c[u]) for u in range(size)]
+    return h
+
+
+def loop_cnn(steps, w):
+    n, channels = len(steps), w["w_conv"].shape[0]
+    conv = [
+        [
+            max(0.0, w["b_conv"][o] + sum(
+                w["w_conv"][o, i, k] * steps[t + k - 1][i]
+                for k in range(3) if 0 <= t + k - 1 < n for i in range(len(steps[0]))
+            ))
+            for o in range(channels)
+        ]
+        for t in range(n)
+    ]
+    pooled = [[max(a, b) for a, b in zip(conv[2 * t], conv[2 * t + 1])] for t in range(n // 2)]
+    forward = loop_cell(pooled, w, "_fwd")
+    backward = loop_cell([pooled[-1]], w, "_bwd")
+    return float(w["w_out"][0] @ np.array(forward + backward) + w["b_out"][0])
+
+
+def test_recurrent_scores_match_loops(spark, table):
+    df, _, _ = table
+    seq = dataset.sequences(df).limit(4)
+    lstm = neural.random_lstm_weights(7, hidden=5)
+    cnn = neural.random_cnn_bilstm_weights(8, channels=6, hidden=4)
+    rows = neural.score_cnn_bilstm(neural.score_lstm(seq, lstm), cnn).collect()
+    assert len(rows) == 4
+    for row in rows:
+        want = float(lstm["w_out"][0] @ np.array(loop_cell(row["x"], lstm)) + lstm["b_out"][0])
+        assert row["LSTM"] == pytest.approx(want, abs=1e-12)
+        assert row["CNN_BiLSTM"] == pytest.approx(loop_cnn(row["x"], cnn), abs=1e-12)
+
+
+def test_weight_shapes():
+    lstm, cnn = neural.random_lstm_weights(), neural.random_cnn_bilstm_weights()
+    assert lstm["w_ih"].shape == (128, 18) and lstm["w_hh"].shape == (128, 32) and lstm["w_out"].shape == (1, 32)
+    assert cnn["w_conv"].shape == (32, 18, 3) and cnn["w_ih_bwd"].shape == (128, 32) and cnn["w_out"].shape == (1, 64)
+
+
+# --- metrics --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forecasts(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=200)
+    a, b = y + rng.normal(scale=0.5, size=200), y + rng.normal(scale=0.8, size=200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, a, b)], "y double, a double, b double")
+    return df.cache(), y, a, b
+
+
+def test_metrics(forecasts):
+    df, y, a, b = forecasts
+    got = {r["model"]: r for r in evaluate.regression_metrics(df, "y", {"A": "a", "B": "b"}).collect()}
+    for name, p in (("A", a), ("B", b)):
+        assert got[name]["MAE"] == pytest.approx(np.abs(p - y).mean())
+        assert got[name]["RMSE"] == pytest.approx(np.sqrt(((p - y) ** 2).mean()))
+        assert got[name]["R2"] == pytest.approx(1 - ((p - y) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_constant_target(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 2.0), (1.0, 1.0, 2.0)], "y double, a double, b double")
+    got = {r["model"]: r["R2"] for r in evaluate.regression_metrics(df, "y", {"A": "a", "B": "b"}).collect()}
+    assert got == {"A": 1.0, "B": 0.0}
+
+
+def test_blend_curve_equals_the_loop(forecasts):
+    df, y, a, b = forecasts
+    curve = {round(r["w"], 2): r["rmse"] for r in evaluate.blend_search(df, "y", "a", "b").collect()}
+    want = {round(w, 2): np.sqrt(((w * a + (1 - w) * b - y) ** 2).mean()) for w in np.linspace(0, 1, 101)}
+    assert curve.keys() == want.keys()
+    np.testing.assert_allclose([curve[w] for w in want], list(want.values()), rtol=1e-10)
+    best = evaluate.best_blend(df, "y", "a", "b").first()
+    w = min(want, key=want.get)
+    assert best["w"] == pytest.approx(w) and best["model"] == f"Ensemble_Blend (w={w:.2f})"
+    assert best["RMSE"] == pytest.approx(want[w])
+
+
+def test_equal_forecasts_take_the_first_weight(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 2.0), (3.0, 1.0, 1.0)], "y double, a double, b double")
+    assert evaluate.best_weight(evaluate.blend_search(df, "y", "a", "b")) == 0.0
+
+
+def test_weight_from_other_rows(forecasts):
+    df, *_ = forecasts
+    early = F.col("y") < 0
+    w = evaluate.best_weight(evaluate.blend_search(df.filter(early), "y", "a", "b"))
+    assert evaluate.best_blend(df, "y", "a", "b", fit_on=early).first()["w"] == w
+
+
+def test_leaderboard(spark):
+    schema = "model string, MAE double, RMSE double, R2 double"
+    one = spark.createDataFrame([("x", 1.0, 2.0, 0.1), ("y", 1.0, 1.5, 0.2)], schema)
+    two = spark.createDataFrame([("z", 1.0, 1.5, 0.2)], schema)
+    board = evaluate.leaderboard([one, spark.createDataFrame([], schema), two])
+    assert {r["model"]: (r["source"], r["best"]) for r in board.collect()} == {
+        "x": (0, False), "y": (0, True), "z": (2, False),
+    }
+    assert evaluate.best_model(board).first()["model"] == "y"
+
+
+def test_bounds(forecasts):
+    df, y, a, _ = forecasts
+    row = report.prediction_bounds(df, "y", "a").first()
+    assert (row["low"], row["high"]) == (min(y.min(), a.min()), max(y.max(), a.max()))
+
+
+# --- scenarios ------------------------------------------------------------------------------------
+
+
+def test_scenarios_change_the_last_hour_only(table):
+    df, x, _ = table
+    out = scenario.apply_scenarios(df)
+    assert out.count() == 4 * 12 and out.filter("is_last").count() == 4
+    kept = out.filter("not is_last and preset = 'bull'").orderBy("hour").select(*FEATURES).collect()
+    np.testing.assert_allclose([list(r) for r in kept], x[288:299])
+    last = dict(zip(FEATURES, x[299]))
+    bull = out.filter("is_last and preset = 'bull'").first()
+    for c in ("open", "high", "low", "close"):
+        assert bull[c] == pytest.approx(last[c] * 1.08)
+    assert (bull["return"], bull["sentiment_score"], bull["tweet_count"]) == (0.065, 0.82, 5200.0)
+    assert bull["weighted_sentiment"] == pytest.approx(0.82 * math.log1p(16000 + 4500 + 1))
+    for c in ("atr", "vwap", "rsi", "volume"):
+        assert bull[c] == last[c]
+    own = out.filter("is_last and preset = 'last_hour'").first()
+    assert own["return"] == pytest.approx(min(max(last["return"], -0.1), 0.1))
+    assert own["close"] == last["close"] and own["likes"] == max(math.trunc(last["likes"]), 0)
+
+
+def test_inputs_are_held_in_range(table):
+    df, x, _ = table
+    wild = scenario.Preset("wild", 9.0, -3.0, 2.0, -1.0, 1e9, 1e9)
+    row = scenario.apply_scenarios(df, [wild]).filter("is_last").first()
+    assert row["close"] == pytest.approx(x[299][FEATURES.index("close")] * 1.2)
+    assert [row[c] for c in ("return", "sentiment_score", "tweet_count", "likes", "retweets")] == [-0.1, 1, 0, 50000, 25000]
+
+
+def test_scenario_scores(table):
+    df, _, _ = table
+    positive = df.withColumns({c: F.abs(c) for c in FEATURES})
+    scaler = MinMax.fit(positive, [*FEATURES, TARGET])
+    windows = scenario.scenario_windows(scenario.apply_scenarios(positive), scaler)
+    assert all(len(r["x"]) == 12 for r in windows.collect())
+    scored = scenario.score_scenarios(windows, scaler, {"zero": F.lit(0.0)}).first()
+    assert scored["zero"] == pytest.approx(scaler.low[TARGET]) and scored["zero_regime"] == "low"
+
+
+# --- report ---------------------------------------------------------------------------------------
+
+
+def test_daily_rollup_shows_empty_days(spark):
+    rows = [("a", at(h), float(h), 0.1 * h, 1.0) for h in (0, 1, 50, 75, 96, 121, 150, 175, 200)]
+    df = spark.createDataFrame(rows, "symbol string, hour timestamp_ntz, close double, sentiment_score double, tweet_count double")
+    daily = report.daily_rollup(df)
+    got = [r["close"] for r in daily.orderBy("day").collect()]
+    assert got == [0.5, None, 50.0, 75.0, 96.0, 121.0, 150.0, 175.0, 200.0]
+    smooth = [r["sentiment_ma"] for r in report.chart_posts(daily).orderBy("day").collect()]
+    assert smooth[:8] == [None] * 8 and smooth[8] == pytest.approx(0.1 * (50 + 75 + 96 + 121 + 150 + 175 + 200) / 7)
+    limited = report.daily_rollup(df, "2024-01-03", "2024-01-05")
+    assert limited.count() == 3
+
+
+def test_kpis_and_charts(table):
+    df, x, y = table
+    row = report.kpis(df).first()
+    assert row["active_hours"] == 300 and row["mean_volatility_pct"] == pytest.approx(y.mean() * 100)
+    assert row["posts"] == pytest.approx(x[:, FEATURES.index("tweet_count")].sum())
+    daily = report.daily_rollup(df)
+    assert report.chart_price(daily).columns == ["symbol", "day", "close", "bollinger_h", "bollinger_l"]
+    assert report.chart_vol_sentiment(daily).count() == 13
+    assert report.series(df, "rsi").columns == ["symbol", "hour", "rsi"]
+    assert report.chart_predictions(df, 150).count() == 150
