@@ -73,7 +73,7 @@ def test_warm_up_rows(bars):
     assert indicators.price_features(bars).count() == N - 33 - 24
 
 
-@pytest.mark.parametrize("alpha", [2 / 13, 2 / 27, 2 / 10, 1 / 14, 0.9])
+@pytest.mark.parametrize("alpha", [2 / 13, 2 / 27, 2 / 10, 1 / 14, 0.002, 0.9, 1.0])
 @pytest.mark.parametrize("block", [4096, 50])
 def test_decayed_scan(spark, walk, alpha, block):
     values = [None, None, *[float(v) for v in walk]]

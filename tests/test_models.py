@@ -58,6 +58,17 @@ def test_save_and_load(table, tmp_path):
     assert both.filter("again != LinearRegression").count() == 0
 
 
+def test_scaler_and_weights_survive_a_round_trip(spark, table, tmp_path):
+    df, _, _ = table
+    scaler = MinMax.fit(df, FEATURES)
+    scaler.save(spark, str(tmp_path / "scaler"))
+    assert MinMax.load(spark, str(tmp_path / "scaler")) == scaler
+    weights = neural.random_cnn_bilstm_weights()
+    neural.save_weights(spark, weights, str(tmp_path / "weights"))
+    again = neural.load_weights(spark, str(tmp_path / "weights"))
+    assert again.keys() == weights.keys() and all(np.array_equal(again[k], weights[k]) for k in weights)
+
+
 # --- recurrent scoring against step-by-step loops -------------------------------------------------
 
 

@@ -36,3 +36,13 @@ def fixed(c: Column | str, digits: int = 6) -> Column:
 
 def fmt_metrics(df: DataFrame, cols=("MAE", "RMSE", "R2"), digits: int = 6) -> DataFrame:
     return df.withColumns({c: fixed(c, digits) for c in cols})
+
+
+def fmt_kpis(df: DataFrame) -> DataFrame:
+    """The header figures as text: whole numbers with separators, the volatility as a percentage."""
+    return df.select(
+        F.format_number("active_hours", 0).alias("active_hours"),
+        F.format_number("posts", 0).alias("posts"),
+        fixed("mean_sentiment", 4).alias("mean_sentiment"),
+        F.concat(fixed("mean_volatility_pct", 3), F.lit("%")).alias("mean_volatility_pct"),
+    )

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volfuse.functions.casts import finite_columns
 from volfuse.operators.series import HOURLY, Series, number_rows, to_panel
-from volfuse.schema import COUNT_FEATURES, FEATURES, LOOKBACK, TARGET
+from volfuse.schema import COUNT_FEATURES, FEATURES, LOOKBACK, SCALER, TARGET
 from volfuse.session import stage
+from volfuse.sources.tables import read_table, write_table
 
 # --- filters ----------------------------------------------------------------------------------
 
@@ -45,21 +47,27 @@ def model_matrix(fused: DataFrame, start=None, end=None, spec: Series = HOURLY)
     return log_counts(drop_incomplete(finite_columns(project(inside, [*spec.keys, spec.time, *FEATURES, TARGET]))))
 
 
+def union_all(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of several tables, matched by column name; columns a table lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 # --- first and last rows ----------------------------------------------------------------------
 
 
 def first_n(df: DataFrame, n: int, order: tuple[str, str] = ("timestamp", "post_id")) -> DataFrame:
     """The first ``n`` rows by time, then id (unique); rows without a time come last.
 
-    A limit over a sort would send up to ``n`` whole rows per task to one task. Here only the two key
-    columns are range-partitioned and counted; the one partition that holds row ``n`` yields the key
-    to cut at, and the rows themselves are filtered in place.
+    A limit over a sort would send up to ``n`` whole rows per task to one task. Here the two key columns
+    alone are written, range-partitioned and counted; the one partition that holds row ``n`` yields
+    the key to cut at, and the rows themselves are filtered in place.
     """
     time, ident = order
     if n <= 0:
         return df.limit(0)
-    keys = df.select(time, ident).repartitionByRange(F.col(time).asc_nulls_last(), F.col(ident))
-    keys = stage(keys.withColumn("_part", F.spark_partition_id()), "first-n-keys")
+    in_order = F.col(time).asc_nulls_last(), F.col(ident)
+    keys = stage(df.select(time, ident), "first-n-keys").repartitionByRange(*in_order)
+    keys = stage(keys.withColumn("_part", F.spark_partition_id()), "first-n-order")
     sizes = keys.groupBy("_part").count().orderBy("_part").collect()  # one row per shuffle partition
     before = 0
     for size in sizes:
@@ -69,7 +77,7 @@ def first_n(df: DataFrame, n: int, order: tuple[str, str] = ("timestamp", "post_
     else:
         return df
     inside = keys.filter(F.col("_part") == size["_part"])
-    by_key = Window.partitionBy("_part").orderBy(F.col(time).asc_nulls_last(), F.col(ident))
+    by_key = Window.partitionBy("_part").orderBy(*in_order)
     ranked = inside.withColumn("_rank", F.row_number().over(by_key)).filter(F.col("_rank") == n - before)
     cut = ranked.select(F.col(time).cast("string").alias("at"), F.col(ident).alias("id")).first()
     same_or_earlier = F.col(ident) <= cut["id"]
@@ -147,6 +155,15 @@ class MinMax:
     def transform(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         return df.withColumns({c: self.scale(F.col(c), c) for c in (cols or self.low) if c in df.columns})
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(c, float(self.low[c]), float(self.high[c])) for c in self.low]
+        write_table(spark.createDataFrame(rows, SCALER), path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MinMax:
+        rows = read_table(spark, path, SCALER, "parquet").collect()  # one row per column
+        return cls({r["column"]: r["low"] for r in rows}, {r["column"]: r["high"] for r in rows})
+
     def inverse(self, df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
         """``cols`` maps a scaled column to the column whose range it was scaled with."""
         return df.withColumns({c: self.unscale(F.col(c), source) for c, source in cols.items()})

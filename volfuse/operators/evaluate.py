@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volfuse.operators.dataset import union_all
+
 # Fixed value: share of the convolutional model in the stored ensemble.
 ENSEMBLE_WEIGHT = 0.88
 
@@ -80,9 +82,7 @@ def leaderboard(results: Sequence[DataFrame]) -> DataFrame:
         df.select(F.lit(i).alias("source"), "model", "MAE", "RMSE", "R2")
         for i, df in enumerate(results)
     ]
-    table = ranked[0]
-    for more in ranked[1:]:
-        table = table.unionByName(more, allowMissingColumns=True)
+    table = union_all(ranked)
     everything = Window.partitionBy()  # one row per model: a handful
     order = F.struct(*_rank(), "source", "model")
     return table.withColumn("best", order == F.min(order).over(everything))

@@ -10,10 +10,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from volfuse.schema import FEATURES
+from volfuse.schema import FEATURES, WEIGHTS
+from volfuse.sources.tables import read_table, write_table
 
 Weights = Mapping[str, np.ndarray]
 
@@ -58,6 +59,16 @@ def random_cnn_bilstm_weights(
     }
 
 
+def save_weights(spark: SparkSession, weights: Weights, path: str) -> None:
+    rows = [(name, list(map(int, w.shape)), w.ravel().tolist()) for name, w in weights.items()]
+    write_table(spark.createDataFrame(rows, WEIGHTS), path)
+
+
+def load_weights(spark: SparkSession, path: str) -> Weights:
+    rows = read_table(spark, path, WEIGHTS, "parquet").collect()  # one row per weight matrix
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
+
+
 def lstm_forward():
     """Returns the LSTM forward pass as a self-contained function, so that tasks need no import."""
 

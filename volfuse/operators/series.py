@@ -113,12 +113,12 @@ _EXPONENT_RANGE = 1100.0  # natural-log width that doubles hold with room for th
 
 def decay_halo(*alphas: float) -> int:
     """Rows after which scans chained one after another have forgotten where they started."""
-    return sum(math.ceil(math.log(_NEGLIGIBLE) / math.log(1 - a)) for a in alphas)
+    return sum(math.ceil(math.log(_NEGLIGIBLE) / math.log(1 - a)) for a in alphas if a < 1)
 
 
 def decay_rows(alphas: Sequence[float], before: int, after: int, limit: int) -> int:
     """Largest block, up to ``limit``, in which the scaled sums of every scan stay within doubles."""
-    fits = min(int(_EXPONENT_RANGE / -math.log(1 - a)) for a in alphas)
+    fits = min((int(_EXPONENT_RANGE / -math.log(1 - a)) for a in alphas if a < 1), default=limit)
     return max(min(limit, fits - before - after), before, after)
 
 
@@ -128,6 +128,8 @@ def decayed_sum(panel: Panel, weight: Column, alpha: float) -> Column:
     y(t) = weight(t) + (1 - alpha) * y(t-1), written as a plain running sum of rescaled weights. The
     exponent is centred on the block, which keeps both factors inside the range of doubles.
     """
+    if alpha >= 1:
+        return weight
     power = F.pow(F.lit(1.0 - alpha), panel.position() - F.lit(panel.width // 2))
     return power * F.sum(weight / power).over(panel.so_far)
 

@@ -279,7 +279,7 @@ _FINAL: dict[str, str] = {
     "hourly_bars": f"SELECT symbol, hour, {_rounded(_BAR)} FROM bars",
     "bars_filled": f"SELECT symbol, hour, {_rounded(_BAR)} FROM filled",
     "resample_mean": "SELECT symbol, date_trunc('hour', ts)::timestamp AS hour, "
-    + ", ".join(_r(f"avg({c})", c, 10) for c in ["bar_id", "open", "high", "low", "close", "volume"])
+    + ", ".join(_r(f"avg({c})", c, 8) for c in ["bar_id", "open", "high", "low", "close", "volume"])
     + " FROM bars_raw GROUP BY symbol, date_trunc('hour', ts)",
     "returns_fwdvol": f"SELECT symbol, hour, {_rounded(['return', TARGET])} FROM indicators",
     "rsi": f"SELECT symbol, hour, {_rounded(['rsi'])} FROM indicators",
@@ -338,6 +338,11 @@ FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING)""",
     "kpi_summary": f"""
 SELECT count(*) AS active_hours, {_r("sum(tweet_count)", "posts")}, {_r("avg(sentiment_score)", "mean_sentiment")},
        {_r(f"avg({TARGET}) * 100", "mean_volatility_pct")}
+FROM fused WHERE hour BETWEEN TIMESTAMP '{START} 00:00:00' AND TIMESTAMP '{END} 00:00:00'""",
+    "kpi_text": f"""
+SELECT format('{{:,}}', count(*)) AS active_hours, format('{{:,}}', round(sum(tweet_count))::bigint) AS posts,
+       printf('%.4f', avg(sentiment_score)) AS mean_sentiment,
+       printf('%.3f', avg({TARGET}) * 100) || '%' AS mean_volatility_pct
 FROM fused WHERE hour BETWEEN TIMESTAMP '{START} 00:00:00' AND TIMESTAMP '{END} 00:00:00'""",
     "vol_regimes": f"""
 SELECT symbol, CASE WHEN {TARGET} < 0.005 THEN 'low' WHEN {TARGET} < 0.015 THEN 'normal' ELSE 'high' END AS regime,
@@ -352,6 +357,7 @@ SELECT count(*) AS n, {_r(f"regr_slope({TARGET}, atr)", "slope")}, {_r(f"regr_in
 FROM matrix""",
     "scenario_features": f"SELECT symbol, preset, hour, is_last, {_scenario_columns()} FROM recent, {_preset_rows()}",
 }
+_FINAL["posts_scored_batches"] = _FINAL["posts_scored"]
 _FINAL["stream_bars"] = _FINAL["hourly_bars"]
 _FINAL["stream_sentiment"] = _FINAL["hourly_sentiment"]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volfuse.functions import casts
-from volfuse.functions.scores import fmt_metrics
+from volfuse.functions.scores import fmt_kpis, fmt_metrics
 from volfuse.operators import bars, dataset, evaluate, fusion, indicators, models, neural, report, scenario, sentiment
 from volfuse.plans import pipeline
 from volfuse.schema import FEATURES, RESULTS, TARGET
@@ -57,7 +57,7 @@ def bars_filled(spark, d):
     return pipeline.filled(spark, d)
 
 
-@partial(query, digits=10)  # means of many prices with two decimals often end in a 5 at the seventh
+@partial(query, digits=8)  # means of many prices with two decimals often end in a 5 at the seventh
 def resample_mean(spark, d):
     return bars.resample_mean(fixtures.bars_raw(spark, d))
 
@@ -126,6 +126,28 @@ def posts_scored(spark, d):
     return pipeline.scored(spark, d).select("post_id", "label", "probability", "sentiment_score")
 
 
+@query
+def posts_scored_batches(spark, d):
+    """The same word lists behind the interface for any model: batches of texts in Python workers."""
+    signs = {**dict.fromkeys(sentiment.POSITIVE, 1), **dict.fromkeys(sentiment.NEGATIVE, -1)}
+    word_break = sentiment.WORD_BREAK
+
+    def load():
+        import re
+
+        split = re.compile(word_break).split
+
+        def score(text):
+            hits = [signs[w] for w in split(text.lower()) if w in signs]
+            balance = sum(hits) / len(hits) if hits else 0.0
+            return ("positive" if balance > 0 else "negative" if balance < 0 else "neutral", abs(balance))
+
+        return lambda texts: [score(t) for t in texts]
+
+    scored = sentiment.score_posts(pipeline.posts(spark, d), load)
+    return scored.select("post_id", "label", "probability", "sentiment_score")
+
+
 @query
 def hourly_sentiment(spark, d):
     return pipeline.hourly(spark, d)
@@ -273,6 +295,11 @@ def kpi_summary(spark, d):
     return report.kpis(dataset.time_range(pipeline.fused(spark, d), pipeline.START, pipeline.END))
 
 
+@query
+def kpi_text(spark, d):
+    return fmt_kpis(report.kpis(dataset.time_range(pipeline.fused(spark, d), pipeline.START, pipeline.END)))
+
+
 @query
 def vol_regimes(spark, d):
     return report.regimes(pipeline.prepared(spark, d).scaled, TARGET)

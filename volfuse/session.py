@@ -27,6 +27,19 @@ def require_utc(df: DataFrame) -> None:
         raise ValueError(f"spark.sql.session.timeZone is {zone!r}; call use_utc(spark) first")
 
 
+def spread(df: DataFrame, share: int = 32 << 20) -> DataFrame:
+    """Give every core a part of a small input before costly work on its rows.
+
+    A small file is one split, whatever the number of cores. Inputs above ``share`` bytes per core
+    have splits enough and are left alone, so no large input is ever shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < share * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a private folder only for a local master without one."""
     global _local_root
