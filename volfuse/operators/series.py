@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from volfuse.session import require_utc
 
-IDX, HOME, BLOCK = "_idx", "_home", "_block"
+IDX, HOME, BLOCK, CENTRED = "_idx", "_home", "_block", "_centred"
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Series:
 
     def index(self) -> Column:
         """Position on the grid that all series share (steps since the epoch)."""
-        return F.floor(F.unix_seconds(F.col(self.time).cast("timestamp")) / F.lit(self.step))
+        return F.expr(f"floor(unix_seconds(cast(`{self.time}` as timestamp)) / {self.step})")
 
     def time_at(self, index: Column) -> Column:
         return F.timestamp_seconds(index * F.lit(self.step)).cast("timestamp_ntz")
@@ -66,14 +66,6 @@ class Panel:
             raise ValueError(f"frame {first}..{last} exceeds the halo {self.before}/{self.after}")
         return self.window.rowsBetween(first, last)
 
-    @property
-    def width(self) -> int:
-        return self.before + self.rows + self.after
-
-    def position(self) -> Column:
-        """0 .. width-1 within the block and its halo."""
-        return F.col(IDX) - F.col(BLOCK) * F.lit(self.rows) + F.lit(self.before)
-
     def add(self, **columns: Column) -> Panel:
         return replace(self, df=self.df.withColumns(columns))
 
@@ -81,7 +73,7 @@ class Panel:
         return replace(self, df=self.df.drop(*columns))
 
     def home(self) -> DataFrame:
-        return self.df.filter(F.col(BLOCK) == F.col(HOME)).drop(IDX, HOME, BLOCK)
+        return self.df.filter(F.col(BLOCK) == F.col(HOME)).drop(IDX, HOME, BLOCK, CENTRED)
 
 
 def to_panel(
@@ -95,14 +87,18 @@ def to_panel(
     """Arrange ``df`` in blocks. ``index`` replaces the grid position, e.g. by a dense row number."""
     require_utc(df)
     rows = max(rows or spec.rows, before, after, 1)
-    offset = F.pmod(F.col(IDX), F.lit(rows))
-    first = F.col(HOME) - F.when(offset < after, 1).otherwise(0)
-    last = F.col(HOME) + F.when(offset >= rows - before, 1).otherwise(0)
-    placed = df.withColumn(IDX, spec.index() if index is None else index).withColumn(
-        HOME, F.floor(F.col(IDX) / F.lit(rows))
+    width = before + rows + after
+    offset = f"pmod({IDX}, {rows})"
+    first = f"{HOME} - if({offset} < {after}, 1, 0)"
+    last = f"{HOME} + if({offset} >= {rows - before}, 1, 0)"
+    copies = f"explode(sequence({first}, {last}))" if before or after else HOME
+    placed = (
+        df.withColumn(IDX, spec.index() if index is None else index)
+        .withColumn(HOME, F.expr(f"floor({IDX} / {rows})"))
+        .withColumn(BLOCK, F.expr(copies))
+        .withColumn(CENTRED, F.expr(f"{IDX} - {BLOCK} * {rows} + {before} - {width // 2}"))
     )
-    copies = F.explode(F.sequence(first, last)) if before or after else F.col(HOME)
-    return Panel(placed.withColumn(BLOCK, copies), spec.keys, rows, before, after)
+    return Panel(placed, spec.keys, rows, before, after)
 
 
 # --- decayed scans ----------------------------------------------------------------------------
@@ -130,7 +126,7 @@ def decayed_sum(panel: Panel, weight: Column, alpha: float) -> Column:
     """
     if alpha >= 1:
         return weight
-    power = F.pow(F.lit(1.0 - alpha), panel.position() - F.lit(panel.width // 2))
+    power = F.pow(F.lit(1.0 - alpha), F.col(CENTRED))
     return power * F.sum(weight / power).over(panel.so_far)
 
 
@@ -156,7 +152,7 @@ def ema(panel: Panel, x: Column, seen: Column, alpha: float, start: int = 1, see
 
 def _block(spec: Series) -> Column:
     # Never null, which keeps the planner from adding a filter to one reader of a shared exchange only.
-    return F.coalesce(F.floor(spec.index() / F.lit(spec.rows)), F.lit(0).cast("bigint"))
+    return F.coalesce(F.floor(spec.index() / spec.rows), F.lit(0).cast("bigint"))
 
 
 def _carried(df: DataFrame, cols: Sequence[str], spec: Series) -> DataFrame:
