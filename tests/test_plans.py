@@ -84,7 +84,7 @@ def test_last_rows_are_cut_before_the_shuffle(spark):
 
 def test_text_is_cleaned_once_and_in_python_only_for_entities(spark):
     cleaned = sentiment.clean_posts(fixtures.posts_raw(spark, SF))
-    assert plan(cleaned).count("ArrowEvalPython") == 1 and plan(cleaned).count("http[^") == 1
+    assert plan(cleaned).count("ArrowEvalPython") == 1 and plan(cleaned).count("(?U)http") == 1
     scored = sentiment.lexicon_scorer(sentiment.clean_posts(fixtures.posts_raw(spark, SF), entities=False))
     assert "Python" not in plan(sentiment.hourly_sentiment(scored))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from volfuse.session import spread
 # Placeholder word lists for the invented prose of the given documents.
 POSITIVE = ["with", "for", "that", "was", "der", "la"]
 NEGATIVE = ["is", "it", "on", "as", "die", "le"]
-WORD_BREAK = "[^a-zà-ÿ]+"
+LETTER = "[a-zà-ÿ]"  # a word is a longest run of these in the lower-cased text
 
 
 def clean_posts(df: DataFrame, ts: str = "timestamp", min_length: int = 3, entities: bool = True) -> DataFrame:
@@ -44,12 +45,16 @@ def min_chars(df: DataFrame, n: int, col: str = "text") -> DataFrame:
 def lexicon_scorer(
     df: DataFrame, positive: Iterable[str] = POSITIVE, negative: Iterable[str] = NEGATIVE, text: str = "text"
 ) -> DataFrame:
-    """Label, probability and signed score from counts of listed words; stays inside the JVM."""
-    listed = {"_pos": list(positive), "_neg": list(negative)}
-    words = F.split(F.lower(text), WORD_BREAK)
-    hits = df.withColumn("_hits", F.filter(words, lambda w: w.isin(*listed["_pos"], *listed["_neg"])))
-    pos = F.size(F.filter("_hits", lambda w: w.isin(*listed["_pos"])))
-    counted = hits.withColumn("_balance", F.coalesce(F.try_divide(2.0 * pos - F.size("_hits"), F.size("_hits")), F.lit(0.0)))
+    """Label, probability and signed score from counts of listed words; stays inside the JVM.
+
+    One search finds the listed words; the words of a text are never all spelled out as an array.
+    """
+    positive, negative = list(positive), list(negative)
+    listed = "|".join(re.escape(w) for w in [*positive, *negative])
+    search = F.lit(f"(?<!{LETTER})(?:{listed})(?!{LETTER})")
+    found = df.withColumn("_hits", F.regexp_extract_all(F.lower(text), search, F.lit(0)))
+    pos, hits = F.size(F.filter("_hits", lambda w: w.isin(*positive))), F.size("_hits")
+    counted = found.withColumn("_balance", F.coalesce(F.try_divide(2.0 * pos - hits, hits), F.lit(0.0)))
     label = F.when(F.col("_balance") > 0, "positive").when(F.col("_balance") < 0, "negative").otherwise("neutral")
     scored = counted.withColumns({"label": label, "probability": F.abs("_balance")})
     return scored.withColumn("sentiment_score", signed_score("label", "probability")).drop("_hits", "_balance")

@@ -130,15 +130,15 @@ def posts_scored(spark, d):
 def posts_scored_batches(spark, d):
     """The same word lists behind the interface for any model: batches of texts in Python workers."""
     signs = {**dict.fromkeys(sentiment.POSITIVE, 1), **dict.fromkeys(sentiment.NEGATIVE, -1)}
-    word_break = sentiment.WORD_BREAK
+    letters = sentiment.LETTER + "+"
 
     def load():
         import re
 
-        split = re.compile(word_break).split
+        words = re.compile(letters).findall
 
         def score(text):
-            hits = [signs[w] for w in split(text.lower()) if w in signs]
+            hits = [signs[w] for w in words(text.lower()) if w in signs]
             balance = sum(hits) / len(hits) if hits else 0.0
             return ("positive" if balance > 0 else "negative" if balance < 0 else "neutral", abs(balance))
 
