@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from volfuse.session import require_utc
@@ -48,18 +48,10 @@ class Panel:
     """A table arranged in blocks with halo rows; ``home()`` removes the halo again."""
 
     df: DataFrame
-    keys: tuple[str, ...]
-    rows: int
     before: int
     after: int
-
-    @property
-    def window(self):
-        return Window.partitionBy(*self.keys, BLOCK).orderBy(IDX)
-
-    @property
-    def so_far(self):
-        return self.window.rowsBetween(Window.unboundedPreceding, 0)
+    window: WindowSpec
+    so_far: WindowSpec
 
     def frame(self, first: int, last: int):
         if first < -self.before or last > self.after:
@@ -98,7 +90,8 @@ def to_panel(
         .withColumn(BLOCK, F.expr(copies))
         .withColumn(CENTRED, F.expr(f"{IDX} - {BLOCK} * {rows} + {before} - {width // 2}"))
     )
-    return Panel(placed, spec.keys, rows, before, after)
+    window = Window.partitionBy(*spec.keys, BLOCK).orderBy(IDX)
+    return Panel(placed, before, after, window, window.rowsBetween(Window.unboundedPreceding, 0))
 
 
 # --- decayed scans ----------------------------------------------------------------------------
@@ -152,14 +145,15 @@ def ema(panel: Panel, x: Column, seen: Column, alpha: float, start: int = 1, see
 
 def _block(spec: Series) -> Column:
     # Never null, which keeps the planner from adding a filter to one reader of a shared exchange only.
-    return F.coalesce(F.floor(spec.index() / spec.rows), F.lit(0).cast("bigint"))
+    index = f"floor(unix_seconds(cast(`{spec.time}` as timestamp)) / {spec.step})"
+    return F.expr(f"coalesce(floor({index} / {spec.rows}), 0L)")
 
 
 def _carried(df: DataFrame, cols: Sequence[str], spec: Series) -> DataFrame:
     """One row per block: the latest non-null value of each column before the block starts, and the
     grid position at which the next block that has rows starts."""
     require_utc(df)
-    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(spec.time))).alias(f"_last_{c}") for c in cols]
+    latest = [F.expr(f"max_by(`{c}`, if(`{c}` is null, null, `{spec.time}`)) as `_last_{c}`") for c in cols]
     ends = df.groupBy(*spec.keys, _block(spec).alias(BLOCK)).agg(F.min(spec.index()).alias("_first"), *latest)
     blocks = Window.partitionBy(*spec.keys).orderBy(BLOCK)  # one row per `rows` grid steps
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
