@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from helpers import at, column, trade, trades
+from helpers import at, trade, trades
 from volfuse.operators.bars import fill_bars, hourly_bars, resample_mean
 from volfuse.operators.series import Series
 

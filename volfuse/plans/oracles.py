@@ -314,7 +314,8 @@ WHERE hour BETWEEN (SELECT min(hour) FROM features) AND (SELECT max(hour) FROM f
     "minmax_scaled": f"SELECT symbol, hour, {_rounded([*FEATURES, TARGET])}, split FROM scaled",
     "minmax_inverse": f"SELECT symbol, hour, {_rounded(['close', 'atr', TARGET])} FROM matrix",
     "sequence_windows": f"""
-SELECT symbol, label_ts, {_r("label", "label")}, CASE WHEN rn - 12 <= floor((n - 12) * 0.8::double) THEN 'train' ELSE 'test' END AS split,
+SELECT symbol, label_ts, {_r("label", "label")},
+       CASE WHEN rn - 12 <= floor((n - 12) * 0.8::double) THEN 'train' ELSE 'test' END AS split,
        {12 * len(FEATURES)}::bigint AS n_cells, {_rounded(["first_close", "last_close", "last_vwap", "weighted_close"])}
 FROM (SELECT symbol, hour AS label_ts, {TARGET} AS label, rn, n, {_seq(12, _CLOSE)} AS first_close,
              {_seq(1, _CLOSE)} AS last_close, {_seq(1, "vwap")} AS last_vwap,

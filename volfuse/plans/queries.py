@@ -165,7 +165,8 @@ def sentiment_in_range(spark, d):
 
 @query
 def text_scorer(spark, d):
-    given = fixtures.table(spark, d, "labels").select(F.col("doc_id").alias("post_id"), F.col("quality").cast("double").alias("label"))
+    quality = F.col("quality").cast("double").alias("label")
+    given = fixtures.table(spark, d, "labels").select(F.col("doc_id").alias("post_id"), quality)
     posts = stage(pipeline.posts(spark, d).select("post_id", "text"), "posts")
     model = sentiment.fit_text_scorer(posts.join(given, "post_id"))
     return sentiment.margin_scores(model, posts).select("post_id", "sentiment_score")

@@ -39,7 +39,8 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv", symbol: str | No
     if "close" not in named.columns:
         named = named.withColumn("close", F.col(resolve_price_col(raw.drop(ts))))
     key = F.col("symbol") if "symbol" in named.columns else F.lit(symbol or "series")
-    at = F.col(ts).cast("timestamp_ntz") if isinstance(raw.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)) else to_ts(ts)
+    timed = isinstance(raw.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType))
+    at = F.col(ts).cast("timestamp_ntz") if timed else to_ts(ts)
     wanted = [f.name.lower() for f in BARS_CSV.fields[1:]]
     values = [F.col(c).cast("double") if c in named.columns else F.lit(None).cast("double").alias(c) for c in wanted]
     return named.select(key.alias("symbol"), at.alias("ts"), *values)
