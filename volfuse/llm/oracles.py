@@ -1,7 +1,30 @@
-"""The queries that SQL can express, for another engine."""
+"""The queries that SQL can express, for another engine. Nothing here is taken from the operators."""
 
 from __future__ import annotations
 
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+                      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM w
+), x AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), e AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id,
+       least(n.doc_id, coalesce(m.b, n.doc_id)) = n.doc_id AS kept
+FROM n LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = n.doc_id
+"""
+
 
 def registered() -> dict[str, str]:
-    return {}
+    return {"op6_minhash_near_dedup": NEAR_DEDUP}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.llm import bpe, packing, quality
+from volfuse.llm import bpe, langid, minhash, packing, quality
 from volfuse.llm.texts import read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,17 @@ END_ID = 2
 CAPACITY = 4096
 
 
+def fold() -> Column:
+    """Rows where it is 0 are held out of everything that is learned."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by models of the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, fold() != 0)).withColumn("held_out", fold() == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -29,6 +40,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of near copies of every document."""
+    return minhash.near_copies(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -45,4 +61,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op7_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op6_minhash_near_dedup, op7_quality_rules, op9_packing)}
