@@ -26,5 +26,19 @@ FROM n LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = n.doc_
 """
 
 
+WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda i: translate(
+         to_base(('0x' || h[5*i+1:5*i+5])::BIGINT, 32, 4),
+         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
+
 def registered() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": NEAR_DEDUP}
+    return {"op5_warc": WARC, "op6_minhash_near_dedup": NEAR_DEDUP}

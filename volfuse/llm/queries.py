@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.llm import bpe, langid, minhash, packing, quality
+from volfuse.llm import bpe, langid, minhash, packing, quality, toxicity, url_filter, warc
 from volfuse.llm.texts import read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4096
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def fold() -> Column:
@@ -28,6 +29,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, fold() != 0)).withColumn("held_out", fold() == 0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a field of the labelled rows that aren't held out, and its toxic spans."""
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), fold() != 0))
+    return scored.withColumns({"held_out": fold() == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -40,6 +48,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of every page, after they were written and read again."""
+    pages = read(spark, sf_dir, "pages")
+    records = warc.archived(pages.select("page_id", "url", F.encode("html", "UTF-8").alias("payload")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and component of near copies of every document."""
     return minhash.near_copies(read(spark, sf_dir, "documents"))
@@ -61,4 +81,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op6_minhash_near_dedup, op7_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_byte_bpe, op4_url_filter, op5_warc, op6_minhash_near_dedup, op7_quality_rules, op9_packing)}

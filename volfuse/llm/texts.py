@@ -60,12 +60,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word."""
+def words(raw: np.ndarray, at: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word; ``solid`` marks the bytes of words, if other than usual."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[raw]
+    solid = ~SPACE[raw] if solid is None else solid
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
     before = np.empty(len(raw), bool)
