@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.llm import bpe, langid, minhash, packing, quality, toxicity, url_filter, warc
+from volfuse.llm import ann, bpe, langid, minhash, packing, quality, suffix, toxicity, url_filter, warc
 from volfuse.llm.texts import read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -71,6 +71,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur twice or more, in any document."""
+    return suffix.passages(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of every document lies, with a checksum of its ids."""
     path = public_tokenizers.path(WORD_TOKENIZER)
@@ -80,5 +85,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_byte_bpe, op4_url_filter, op5_warc, op6_minhash_near_dedup, op7_quality_rules, op9_packing)}
+    every = (
+        op1_language_id, op2_toxicity, op3_byte_bpe, op4_url_filter, op5_warc, op6_minhash_near_dedup, op7_quality_rules,
+        op8_suffix_dedup, op9_packing, op10_nearest,
+    )
+    return {f.__name__: f for f in every}
