@@ -1,0 +1,63 @@
+"""Hosts, paths and rules against plain Python."""
+
+import re
+
+import pytest
+
+from volfuse.llm import queries, url_filter
+
+RULES = queries.URL_RULES
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def decide(host, path):
+    fits = []
+    for kind, rule in RULES:
+        name, _, rest = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + rest):
+            fits.append((len(rule), rule, kind))
+    return max(fits)[1:] if fits else (None, None)
+
+
+ODD = [
+    None, "", "x", "http://", "http://A.Example.NET/en/1", "http://example.net/en", "ftp://example.net/EN/", "http://net/x", "http://fishnet/x",
+    "http://a.net?x=/en/", "http://a.net#/", "http://a.org/fr/?q", "http://x/://b.org/fr/", "://a.org/fr/x", "http://EXAMPLE.com/de/#a", "http://É.net/",
+    "http://a b.net/\n/", "http://example.net.org/fr/1", "http://example.com/de",
+]
+
+
+def test_rules(spark):
+    rows = [(k, u, "x") for k, u in enumerate(ODD)] + [(1, "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    for r in url_filter.judge(pages, RULES).collect():
+        host, path = split(ODD[r.page_id])
+        rule, kind = decide(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == kind or kind is None and r.verdict in ("allow", "block")
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_query(spark, sf):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    rows = queries.op4_url_filter(spark, f"/root/testdata/{sf}").collect()
+    assert {r.page_id for r in rows} == set(urls) and len(rows) == len(urls)
+    for r in rows:
+        host, path = split(urls[r.page_id])
+        rule, kind = decide(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert (r.verdict == kind) if kind else r.verdict == ("block" if r.score >= 0.5 else "allow")
+    if sf == "sf0.1":
+        right = sum((r.score >= 0.5) == (r.verdict == "block") for r in rows if r.rule)
+        assert right >= 0.95 * sum(r.rule is not None for r in rows)
+
+
+def test_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.de/"), (2, None)], "page_id long, url string")
+    assert {r.verdict for r in url_filter.judge(pages, RULES).collect()} == {"allow"}
+    assert url_filter.judge(pages.limit(0), RULES).collect() == []

@@ -143,15 +143,18 @@ class Model(NamedTuple):
         out[known] += weight.rows[row[known]]
         return out
 
-    def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a symbol of each text in each language, and the number of symbols."""
+    def entropies(self, column: pa.Array, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy a symbol of each text in each language, and the number of symbols; ``step`` symbols at once."""
         codes, at, age = symbols(column)
         n = np.diff(at)
-        log_p = self.log_probability(history(codes, age, ORDER))
-        total = np.zeros((len(n), len(self.languages)))
         owner = np.repeat(np.arange(len(n)), n)
-        for k in range(len(self.languages)):
-            total[:, k] = np.bincount(owner, log_p[:, k], len(n))
+        total = np.zeros((len(n), len(self.languages)))
+        for a in range(0, len(codes), step):
+            back = max(0, a - ORDER + 1)
+            parts = [p[a - back :] for p in history(codes[back : a + step], age[back : a + step], ORDER)]
+            log_p = self.log_probability(parts)
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(owner[a : a + step], log_p[:, k], len(n))
         return -total / np.maximum(1, n)[:, None], n
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

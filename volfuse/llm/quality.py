@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.llm.models import fit_dense, fit_sparse, sigmoid
-from volfuse.llm.texts import SPACE, U64, bounded_sample, hash_spans, mix, per_text, pieces, share, text_bytes, windows, words
+from volfuse.llm.texts import SPACE, U64, bounded_sample, hash_spans, mix, per_text, pieces, text_bytes, windows, words
 
 #: Symbols that count as junk; fixed by the rule.
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), part.column("y"), *lists], ["doc_id", "y", "feature", "share"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, held: float = 0.25) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, held: float = 0.25) -> Model | None:
     """A model from about ``rows`` labelled documents at most, ``held`` of them for the calibration."""
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
     sample = bounded_sample(known, "doc_id", rows)

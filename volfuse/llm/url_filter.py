@@ -4,7 +4,7 @@ A rule is a host and a path, such as ``net/`` or ``example.net/en/``; it fits it
 the URL's path starts with the rule's, and the longest rule wins (block before allow among equals). URLs that
 a rule decides are the labelled ones: gradient-boosted trees are fitted on a bounded sample of them, on
 lengths, depth, digit share, character entropy, counts of parameters, labels and marks, and on how often the
-rules block and allow URLs of the same host suffix, over all URLs.
+rules block and allow URLs of the same host suffix and of the same first part of the path, over all URLs.
 
 Null URLs and those without ``://`` have an empty host and path; no rule fits them and the trees see zeros.
 Without labelled URLs of both kinds there are no trees, and what no rule decides is allowed.
@@ -27,7 +27,7 @@ from volfuse.llm.texts import share
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = [
     "length", "host_length", "path_length", "depth", "labels", "digits", "hyphens", "parameters", "entropy", "fragment",
-    "suffix_block", "suffix_allow", "domain_block", "domain_allow",
+    "suffix_block", "suffix_allow", "domain_block", "domain_allow", "section_block", "section_allow",
 ]
 
 Rule = tuple[str, str]
@@ -60,7 +60,8 @@ def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def lexical(df: DataFrame) -> DataFrame:
-    """Columns of lexical features; ``suffix`` and ``domain`` are the last one and two labels of the host."""
+    """Columns of lexical features; ``suffix`` and ``domain`` are the last one and two labels of the host,
+    ``section`` is the first part of the path."""
     url = F.coalesce("url", F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     letters = F.array_distinct(F.split(url, ""))
@@ -78,7 +79,11 @@ def lexical(df: DataFrame) -> DataFrame:
         "entropy": F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(F.greatest(p, F.lit(1e-9)))),
         "fragment": gone("#"),
     }
-    named = {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}
+    named = {
+        "suffix": F.substring_index("host", ".", -1),
+        "domain": F.substring_index("host", ".", -2),
+        "section": F.regexp_extract("path", "^/([^/]*)/", 1),
+    }
     return df.withColumns({k: c.cast("double") for k, c in columns.items()} | named)
 
 
@@ -97,7 +102,7 @@ def statistics(df: DataFrame, name: str, smooth: float = 20.0) -> DataFrame:
 def judge(pages: DataFrame, rules: list[Rule], rows: int = 10_000, trees: int = 20, depth: int = 4, threshold: float = 0.5) -> DataFrame:
     """Per page: id, host, path, the rule that fits, the verdict, and the trees' probability of a block."""
     seen = lexical(ruled(pages, rules))
-    tables = {name: stage(statistics(seen, name), name) for name in ("suffix", "domain")}
+    tables = {name: stage(statistics(seen, name), name) for name in ("suffix", "domain", "section")}
     full = reduce(lambda df, name: with_statistics(df, tables[name], name), tables, seen)
     model = fit(full, rows, trees, depth)
     if model is None:

@@ -45,7 +45,7 @@ def base32_sha1(data: Column) -> Column:
 
 def with_revisits(records: DataFrame, least: int = 0) -> DataFrame:
     """Adds digest, length and, for revisits, the id of the response."""
-    whole = records.withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    whole = records.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     whole = whole.withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.length("payload").cast("long")})
     same = whole.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
     same = stage(same.where("n > 1").drop("n"), "payloads")
