@@ -1,12 +1,10 @@
-import math
-
 import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from helpers import at
-from volfuse.operators import dataset, evaluate, models, neural, report, scenario
+from volfuse.operators import dataset, evaluate, models, report, scenario
 from volfuse.operators.dataset import MinMax
 from volfuse.schema import FEATURES, TARGET
 
@@ -58,74 +56,11 @@ def test_save_and_load(table, tmp_path):
     assert both.filter("again != LinearRegression").count() == 0
 
 
-def test_scaler_and_weights_survive_a_round_trip(spark, table, tmp_path):
+def test_scaler_survives_a_round_trip(spark, table, tmp_path):
     df, _, _ = table
     scaler = MinMax.fit(df, FEATURES)
     scaler.save(spark, str(tmp_path / "scaler"))
     assert MinMax.load(spark, str(tmp_path / "scaler")) == scaler
-    weights = neural.random_cnn_bilstm_weights()
-    neural.save_weights(spark, weights, str(tmp_path / "weights"))
-    again = neural.load_weights(spark, str(tmp_path / "weights"))
-    assert again.keys() == weights.keys() and all(np.array_equal(again[k], weights[k]) for k in weights)
-
-
-# --- recurrent scoring against step-by-step loops -------------------------------------------------
-
-
-def sigmoid(v):
-    return 1 / (1 + math.exp(-v))
-
-
-def loop_cell(steps, w, suffix=""):
-    wi, wh = w[f"w_ih{suffix}"], w[f"w_hh{suffix}"]
-    size = wh.shape[1]
-    h, c = [0.0] * size, [0.0] * size
-    for x in steps:
-        z = [
-            sum(wi[r, k] * x[k] for k in range(len(x))) + sum(wh[r, k] * h[k] for k in range(size))
-            + w[f"b_ih{suffix}"][r] + w[f"b_hh{suffix}"][r]
-            for r in range(4 * size)
-        ]
-        c = [sigmoid(z[size + u]) * c[u] + sigmoid(z[u]) * math.tanh(z[2 * size + u]) for u in range(size)]
-        h = [sigmoid(z[3 * size + u]) * math.tanh(c[u]) for u in range(size)]
-    return h
-
-
-def loop_cnn(steps, w):
-    n, channels = len(steps), w["w_conv"].shape[0]
-    conv = [
-        [
-            max(0.0, w["b_conv"][o] + sum(
-                w["w_conv"][o, i, k] * steps[t + k - 1][i]
-                for k in range(3) if 0 <= t + k - 1 < n for i in range(len(steps[0]))
-            ))
-            for o in range(channels)
-        ]
-        for t in range(n)
-    ]
-    pooled = [[max(a, b) for a, b in zip(conv[2 * t], conv[2 * t + 1])] for t in range(n // 2)]
-    forward = loop_cell(pooled, w, "_fwd")
-    backward = loop_cell([pooled[-1]], w, "_bwd")
-    return float(w["w_out"][0] @ np.array(forward + backward) + w["b_out"][0])
-
-
-def test_recurrent_scores_match_loops(spark, table):
-    df, _, _ = table
-    seq = dataset.sequences(df).limit(4)
-    lstm = neural.random_lstm_weights(7, hidden=5)
-    cnn = neural.random_cnn_bilstm_weights(8, channels=6, hidden=4)
-    rows = neural.score_cnn_bilstm(neural.score_lstm(seq, lstm), cnn).collect()
-    assert len(rows) == 4
-    for row in rows:
-        want = float(lstm["w_out"][0] @ np.array(loop_cell(row["x"], lstm)) + lstm["b_out"][0])
-        assert row["LSTM"] == pytest.approx(want, abs=1e-12)
-        assert row["CNN_BiLSTM"] == pytest.approx(loop_cnn(row["x"], cnn), abs=1e-12)
-
-
-def test_weight_shapes():
-    lstm, cnn = neural.random_lstm_weights(), neural.random_cnn_bilstm_weights()
-    assert lstm["w_ih"].shape == (128, 18) and lstm["w_hh"].shape == (128, 32) and lstm["w_out"].shape == (1, 32)
-    assert cnn["w_conv"].shape == (32, 18, 3) and cnn["w_ih_bwd"].shape == (128, 32) and cnn["w_out"].shape == (1, 64)
 
 
 # --- metrics --------------------------------------------------------------------------------------

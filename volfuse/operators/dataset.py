@@ -58,33 +58,32 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
 def first_n(df: DataFrame, n: int, order: tuple[str, str] = ("timestamp", "post_id")) -> DataFrame:
     """The first ``n`` rows by time, then id (unique); rows without a time come last.
 
-    A limit over a sort would send up to ``n`` whole rows per task to one task. Here the two key columns
-    alone are written, range-partitioned and counted; the one partition that holds row ``n`` yields
-    the key to cut at, and the rows themselves are filtered in place.
+    The rows are written once. Counts per hour name the hour that holds row ``n``; of that hour's rows, or of
+    those without a time, the two key columns of the first ones are ordered to find the key to cut at, and
+    the rows are filtered in place.
     """
     time, ident = order
     if n <= 0:
         return df.limit(0)
-    in_order = F.col(time).asc_nulls_last(), F.col(ident)
-    keys = stage(df.select(time, ident), "first-n-keys").repartitionByRange(*in_order)
-    keys = stage(keys.withColumn("_part", F.spark_partition_id()), "first-n-order")
-    sizes = keys.groupBy("_part").count().orderBy("_part").collect()  # one row per shuffle partition
-    before = 0
-    for size in sizes:
-        if before + size["count"] >= n:
-            break
-        before += size["count"]
-    else:
-        return df
-    inside = keys.filter(F.col("_part") == size["_part"])
-    by_key = Window.partitionBy("_part").orderBy(*in_order)
-    ranked = inside.withColumn("_rank", F.row_number().over(by_key)).filter(F.col("_rank") == n - before)
-    cut = ranked.select(F.col(time).cast("string").alias("at"), F.col(ident).alias("id")).first()
+    rows = stage(df, "first-n")
+    hour = F.date_trunc("hour", time)
+    counts = rows.groupBy(hour.alias("hour")).agg(F.count("*").alias("n"))
+    so_far = Window.orderBy(F.col("hour").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # one row an hour
+    place = counts.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") >= n)
+    at = place.agg(F.min_by(F.struct("hour", "n", "upto"), "upto").alias("at")).first()["at"]
+    if at is None:
+        return rows
+    left = n - (at["upto"] - at["n"])
+    timed = at["hour"] is not None
+    inside = rows.where(hour == F.lit(at["hour"])) if timed else rows.where(F.col(time).isNull())
+    first = inside.select(time, ident).orderBy(F.col(time), F.col(ident)).limit(left)
+    cut = first.agg(F.max(F.struct(F.col(time), F.col(ident))).alias("cut")).select("cut.*")
+    cut = cut.select(F.col(time).cast("string").alias("at"), F.col(ident).alias("id")).first()
     same_or_earlier = F.col(ident) <= cut["id"]
-    if cut["at"] is None:
-        return df.filter(F.col(time).isNotNull() | same_or_earlier)
-    at = F.lit(cut["at"]).cast(df.schema[time].dataType)
-    return df.filter((F.col(time) < at) | ((F.col(time) == at) & same_or_earlier))
+    if not timed:
+        return rows.filter(F.col(time).isNotNull() | same_or_earlier)
+    moment = F.lit(cut["at"]).cast(rows.schema[time].dataType)
+    return rows.filter((F.col(time) < moment) | ((F.col(time) == moment) & same_or_earlier))
 
 
 def last_n(df: DataFrame, n: int, spec: Series = HOURLY) -> DataFrame:
@@ -141,6 +140,8 @@ class MinMax:
     @classmethod
     def fit(cls, train: DataFrame, cols: Sequence[str]) -> MinMax:
         seen = train.agg(*[F.min(c).alias(f"low_{c}") for c in cols], *[F.max(c).alias(f"high_{c}") for c in cols]).first()
+        if empty := [c for c in cols if seen[f"low_{c}"] is None]:
+            raise ValueError(f"no training row has a value in {', '.join(empty)}")
         return cls({c: seen[f"low_{c}"] for c in cols}, {c: seen[f"high_{c}"] for c in cols})
 
     def _width(self, col: str) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from volfuse.functions.scores import weighted_sentiment
 from volfuse.operators.series import HOURLY, Series, ffill
+from volfuse.session import stage
 
 CARRIED = ["sentiment_score", "weighted_sentiment"]
 WEIGHED = ["sentiment_score", "likes", "retweets"]
@@ -39,7 +40,8 @@ def fuse(price: DataFrame, sentiment: DataFrame, spec: Series = HOURLY, max_age:
     side = sentiment.withColumnsRenamed(clashes)
     if max_age is not None:
         side = side.withColumn("_known_at", F.col(spec.time))
-    merged = price.na.drop("any", subset=[*spec.keys, spec.time]).join(side, spec.time, "left")
+    # Written once: the carry-forward reads it twice, the second time a few columns only.
+    merged = stage(price.na.drop("any", subset=[*spec.keys, spec.time]).join(side, spec.time, "left"), "merged")
     carried = [c for c in CARRIED if c in merged.columns]
     marks = ["_known_at"] if max_age is not None else []
     merged = ffill(merged, carried + marks, spec)

@@ -16,8 +16,10 @@ from volfuse.operators.series import (
     Series,
     decay_halo,
     decay_rows,
+    decayed_scan,
     decayed_sum,
     ema,
+    ffill,
     to_panel,
 )
 
@@ -71,10 +73,18 @@ def _rsi_scans(panel: Panel, n: int) -> dict[str, Column]:
     return {"_up": ema(panel, F.col("_gain"), rn, alpha), "_dn": ema(panel, F.col("_loss"), rn, alpha)}
 
 
-def _rsi(n: int) -> Column:
+def _rsi(n: int) -> dict[str, Column]:
+    """The index on rows with a move, and whether enough rows came before. A step without a move shrinks both
+    averages alike, so it leaves the index as it was however long ago the last move is: see ``_carry_rsi``."""
     strength = F.try_divide("_up", "_dn")
-    index = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength)
-    return F.when(F.col("_rn") >= n, F.coalesce(index, F.lit(100.0)))
+    index = F.coalesce(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength), F.lit(100.0))
+    return {"rsi": F.when(F.col("_gain") + F.col("_loss") > 0, index), "_ready": F.col("_rn") >= n}
+
+
+def _carry_rsi(df: DataFrame, spec: Series) -> DataFrame:
+    """The index of the last move; 100 where nothing was lost because nothing ever moved."""
+    carried = ffill(df, ["rsi"], spec)
+    return carried.withColumn("rsi", F.when(F.col("_ready"), F.coalesce("rsi", F.lit(100.0)))).drop("_ready")
 
 
 def _macd_scans(panel: Panel, fast: int, slow: int, col: str) -> dict[str, Column]:
@@ -115,6 +125,12 @@ def _decay_panel(df: DataFrame, spec: Series, alphas: list[float], before: int,
     return to_panel(df, spec, before, after, rows=decay_rows(alphas, before, after, spec.rows))
 
 
+def _together(alphas: list[float], before: int, after: int = 0) -> bool:
+    """Whether one block size suits all scans: a fast one allows short blocks only, a slow one needs long ones."""
+    needed = before + after + max(before, after, 1)
+    return decay_rows(alphas, 0, 0, needed) >= needed
+
+
 def returns(df: DataFrame, kind: str = "simple", col: str = "close", out: str = "return", spec: Series = HOURLY):
     """Change against the previous step; null on the first row and after a zero price."""
     panel = to_panel(df, spec, before=1)
@@ -151,20 +167,35 @@ def rsi(df: DataFrame, n: int = 14, col: str = "close", spec: Series = HOURLY) -
     """Relative strength from Wilder averages of gains and losses; 100 when nothing was lost."""
     panel = _decay_panel(df, spec, [1.0 / n], decay_halo(1.0 / n) + n)
     panel = panel.add(**_neighbours(panel, col)).add(**_moves(col))
-    return _given(df, panel.add(**_rsi_scans(panel, n)).add(rsi=_rsi(n)).home(), "rsi")
+    panel = panel.add(**_rsi_scans(panel, n)).add(**_rsi(n))
+    return _given(df, _carry_rsi(_given(df, panel.home(), "rsi", "_ready"), spec), "rsi")
 
 
 def macd(
     df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close", spec: Series = HOURLY
 ) -> DataFrame:
     """Difference of two exponential means, and the exponential mean of that difference."""
-    before = max(decay_halo(_span(slow), _span(signal)), decay_halo(_span(fast), _span(signal))) + slow
-    panel = _decay_panel(df, spec, [_span(fast), _span(slow), _span(signal)], before)
+    spans = [_span(fast), _span(slow), _span(signal)]
+    before = max(decay_halo(spans[1], spans[2]), decay_halo(spans[0], spans[2])) + slow
+    if not _together(spans, before):
+        return _macd_apart(df, fast, slow, signal, col, spec)
+    panel = _decay_panel(df, spec, spans, before)
     panel = panel.add(**_neighbours(panel, col))
     panel = panel.add(**_macd_scans(panel, fast, slow, col)).add(macd=_macd(slow))
     return _given(df, panel.add(macd_signal=_signal(panel, slow, signal)).home(), "macd", "macd_signal")
 
 
+def _macd_apart(df: DataFrame, fast: int, slow: int, signal: int, col: str, spec: Series) -> DataFrame:
+    """The same with blocks of its own for every scan, for spans that are far apart."""
+    panel = to_panel(df, spec, before=slow + signal)
+    out = panel.add(_inputs=F.count(col).over(panel.so_far)).home()
+    out = decayed_scan(decayed_scan(out, col, _span(fast), "_fast", spec), col, _span(slow), "_slow", spec)
+    difference = F.when(F.col("_inputs") >= slow, F.col("_fast") - F.col("_slow"))
+    out = decayed_scan(out.withColumn("macd", difference), "macd", _span(signal), "macd_signal", spec)
+    full = F.when(F.col("_inputs") >= slow + signal - 1, F.col("macd_signal"))
+    return _given(df, out.withColumn("macd_signal", full), "macd", "macd_signal")
+
+
 def atr(df: DataFrame, n: int = 14, spec: Series = HOURLY) -> DataFrame:
     """Wilder average of the true range, started by the mean of the first ``n``."""
     panel = _decay_panel(df, spec, [1.0 / n], decay_halo(1.0 / n) + n)
@@ -175,6 +206,9 @@ def atr(df: DataFrame, n: int = 14, spec: Series = HOURLY) -> DataFrame:
 # --- all of them ------------------------------------------------------------------------------
 
 
+ADDED = ["rsi", "macd", "macd_signal", "bollinger_h", "bollinger_l", "atr", "return", "future_volatility"]
+
+
 def indicator_table(
     bars: DataFrame,
     rsi_n: int = 14,
@@ -194,6 +228,10 @@ def indicator_table(
         max(decay_halo(_span(slow), _span(signal)), decay_halo(_span(fast), _span(signal))) + slow,
         bands[0],
     )
+    if not _together(alphas, before, label_n):
+        out = macd(atr(rsi(bars, rsi_n, spec=spec), atr_n, spec), *macd_spans, spec=spec)
+        out = returns_and_label(bollinger(out, *bands, spec=spec), kind, label_n, spec)
+        return _given(bars, out, *ADDED)
     panel = _decay_panel(bars, spec, alphas, before, label_n)
     panel = panel.add(**_neighbours(panel), **_bands(panel, *bands, "close"))
     panel = panel.add(**_moves("close"), _tr=_true_range(), **{"return": _return(kind, "close")})
@@ -203,10 +241,9 @@ def indicator_table(
         atr=_atr(panel, atr_n),
         future_volatility=_label(panel, label_n, "return"),
     )
-    panel = panel.add(rsi=_rsi(rsi_n), macd=_macd(slow))
+    panel = panel.add(**_rsi(rsi_n), macd=_macd(slow))
     panel = panel.add(macd_signal=_signal(panel, slow, signal))
-    added = ["rsi", "macd", "macd_signal", "bollinger_h", "bollinger_l", "atr", "return", "future_volatility"]
-    return _given(bars, panel.home(), *added)
+    return _given(bars, _carry_rsi(_given(bars, panel.home(), *ADDED, "_ready"), spec), *ADDED)
 
 
 def price_features(bars: DataFrame, **settings) -> DataFrame:

@@ -31,10 +31,10 @@ def fit_forest(
     features: str = "features",
     out: str = "RandomForest",
     trees: int = 100,
-    depth: int = 15,
+    depth: int = 30,
     seed: int = 42,
 ) -> Model:
-    """Random forest in which every split may use every feature. Trees stop at ``depth`` (at most 30)."""
+    """Random forest in which every split may use every feature. Trees grow to ``depth``, at most the 30 that the library allows."""
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, predictionCol=out, numTrees=trees, maxDepth=depth, seed=seed,
         featureSubsetStrategy="all", maxMemoryInMB=1024, cacheNodeIds=True,

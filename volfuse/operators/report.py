@@ -13,11 +13,13 @@ from volfuse.operators.evaluate import bounds
 from volfuse.operators.indicators import moving_avg
 from volfuse.operators.dataset import last_n, time_range
 from volfuse.operators.series import DAILY, HOURLY, Series, fill_grid
+from volfuse.session import stage
 
 
 def daily_rollup(df: DataFrame, start=None, end=None, keys: Sequence[str] = ("symbol",), time: str = "hour") -> DataFrame:
     """Mean of every numeric column per day; days without rows are there, with nulls."""
-    means = resample_mean(time_range(df, start, end, time), keys, time, "1 day", "day")
+    # One row for each day: written once, as filling reads it twice.
+    means = stage(resample_mean(time_range(df, start, end, time), keys, time, "1 day", "day"), "days")
     return fill_grid(means, carry=[], spec=Series(tuple(keys), "day", DAILY.step))
 
 

@@ -17,7 +17,6 @@ from volfuse.functions.casts import parse_ts, to_count
 from volfuse.functions.scores import signed_score, weighted_sentiment
 from volfuse.functions.text import clean_text
 from volfuse.operators.bars import floor_time
-from volfuse.session import spread
 
 # Placeholder word lists for the invented prose of the given documents.
 POSITIVE = ["with", "for", "that", "was", "der", "la"]
@@ -32,7 +31,7 @@ def clean_posts(df: DataFrame, ts: str = "timestamp", min_length: int = 3, entit
     # A filter on the cleaned text would be pushed below the cleaning and evaluate it a second time;
     # an array of one text or none is evaluated once.
     kept = F.filter(F.array(clean_text("text", entities)), lambda text: F.char_length(text) >= min_length)
-    return spread(df).withColumns({ts: parse_ts(ts), "text": F.explode(kept), **read})
+    return df.withColumns({ts: parse_ts(ts), "text": F.explode(kept), **read})
 
 
 def min_chars(df: DataFrame, n: int, col: str = "text") -> DataFrame:
@@ -85,8 +84,8 @@ def score_posts(
     return scored.withColumn("sentiment_score", signed_score("label", "probability")).drop("_scored")
 
 
-def fit_text_scorer(train: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14) -> PipelineModel:
-    """Classifier for 0/1 labels on hashed word frequencies."""
+def fit_text_scorer(train: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 18) -> PipelineModel:
+    """Classifier for 0/1 labels on hashed word frequencies; ``features`` is the number of slots words share."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),

@@ -101,7 +101,11 @@ _EXPONENT_RANGE = 1100.0  # natural-log width that doubles hold with room for th
 
 
 def decay_halo(*alphas: float) -> int:
-    """Rows after which scans chained one after another have forgotten where they started."""
+    """Rows after which what came before is lost in the rounding of scans chained one after another.
+
+    That holds for sums that the newest rows contribute to; a quotient of two scans may stay the same
+    however long neither gets anything new, and has to be carried forward instead.
+    """
     return sum(math.ceil(math.log(_NEGLIGIBLE) / math.log(1 - a)) for a in alphas if a < 1)
 
 

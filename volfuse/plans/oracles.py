@@ -6,10 +6,31 @@ into blocks.
 
 from __future__ import annotations
 
-from volfuse.operators.scenario import LIMITS, PRESETS
-from volfuse.operators.sentiment import NEGATIVE, POSITIVE
-from volfuse.plans.pipeline import END, START
-from volfuse.schema import COUNT_FEATURES, FEATURES, PRICE_COLUMNS, SENTIMENT_COLUMNS, TARGET
+# Written out here, so that a wrong value in the library shows.
+START, END = "2024-01-05", "2024-01-25"
+POSITIVE, NEGATIVE = ["with", "for", "that", "was", "der", "la"], ["is", "it", "on", "as", "die", "le"]
+PRICE_COLUMNS = [
+    "open", "high", "low", "close", "volume", "vwap", "rsi", "macd", "macd_signal",
+    "bollinger_h", "bollinger_l", "atr", "return", "future_volatility",
+]
+SENTIMENT_COLUMNS = ["sentiment_score", "tweet_count", "likes", "retweets", "weighted_sentiment"]
+FEATURES = [
+    "open", "high", "low", "close", "volume", "rsi", "macd", "macd_signal", "bollinger_h",
+    "bollinger_l", "return", "sentiment_score", "tweet_count", "likes", "retweets",
+    "weighted_sentiment", "atr", "vwap",
+]
+COUNT_FEATURES = ["volume", "tweet_count", "likes", "retweets"]
+TARGET = "future_volatility"
+LIMITS = {
+    "close_factor": (0.8, 1.2), "ret": (-0.1, 0.1), "sentiment": (-1.0, 1.0),
+    "tweets": (0.0, 10000.0), "likes": (0.0, 50000.0), "retweets": (0.0, 25000.0),
+}
+PRESETS = {
+    "last_hour": (1.0, None, None, None, None, None),
+    "bull": (1.08, 0.065, 0.82, 5200, 16000, 4500),
+    "crash": (0.91, -0.09, -0.78, 7800, 22000, 8500),
+    "quiet": (1.0, 0.0, 0.05, 280, 650, 180),
+}
 
 # Each name may use the names before it.
 _PARTS: dict[str, str] = {}
@@ -32,12 +53,12 @@ def _list(words) -> str:
 
 
 _PARTS["bars_raw"] = """
-SELECT event_type AS symbol, ts, event_id AS bar_id, value AS open,
+SELECT symbol, ts, event_id AS bar_id, value AS open,
        value + (event_id % 7)::double / 10.0::double + 0.2::double AS high,
        greatest(value - (event_id % 5)::double / 10.0::double, 0::double) AS low,
        CASE WHEN event_id % 53 <> 0 THEN value + (event_id % 3)::double / 10.0::double END AS close,
        regexp_extract(props, '[0-9]+')::double AS volume
-FROM events"""
+FROM (SELECT event_type AS symbol, ts, event_id, value + pow(2::double, length(event_type)) * 125::double AS value, props FROM events)"""
 
 _PARTS["bars"] = """
 SELECT symbol, hour, open, high, low, close, volume,
@@ -106,23 +127,25 @@ WINDOW m AS (PARTITION BY t.symbol ORDER BY t.hour ROWS 19 PRECEDING),
 _PARTS["features"] = "SELECT * FROM indicators WHERE " + " AND ".join(f"{_q(c)} IS NOT NULL" for c in PRICE_COLUMNS)
 
 _PARTS["posts_raw"] = """
-SELECT doc_id AS post_id,
+SELECT post_id,
        CASE WHEN doc_id % 101 = 100 THEN 'bad'
             ELSE strftime(TIMESTAMP '2023-12-31 06:00:00' + to_days((doc_id % 32)::int)
                           + to_minutes((doc_id * 7919) % 960), '%Y-%m-%d %H:%M:%S') END AS "timestamp",
-       CASE WHEN doc_id % 97 = 0 THEN 'RT' WHEN doc_id % 89 = 1 THEN NULL
-            WHEN doc_id % 5 = 0 THEN 'RT @user_' || doc_id || ' ' || text || ' https://t.co/x' || doc_id || ' #topic'
-            ELSE text END AS text,
-       (doc_id % 3)::varchar AS replies,
+       text, (doc_id % 3)::varchar AS replies,
        CASE WHEN doc_id % 11 = 0 THEN 'n/a' WHEN doc_id % 7 = 0 THEN '3.7' ELSE (n_chars % 97)::varchar END AS likes,
        (doc_id % 13)::varchar AS retweets
-FROM documents"""
+FROM (SELECT doc_id, doc_id AS post_id, n_chars, CASE WHEN doc_id % 5 = 0
+               THEN 'RT @user_' || doc_id || ' Tom &amp; Al ' || text || ' https://t.co/x' || doc_id || ' #topic' ELSE text END AS text
+      FROM documents
+      UNION ALL
+      SELECT doc_id, -1 - doc_id, n_chars, CASE WHEN doc_id % 97 = 0 THEN 'RT' END FROM documents
+      WHERE doc_id % 97 = 0 OR doc_id % 89 = 1)"""
 
 _PARTS["posts"] = r"""
 SELECT * FROM (
   SELECT post_id, try_cast("timestamp" AS timestamp) AS "timestamp",
          trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(
-           coalesce(text, ''), 'http\S+', '', 'g'), '@[\pL\pN_]+', '', 'g'), '\bRT\b', '', 'g'), '#', ''),
+           replace(coalesce(text, ''), '&amp;', '&'), 'http\S+', '', 'g'), '@[\pL\pN_]+', '', 'g'), '\bRT\b', '', 'g'), '#', ''),
            '\s+', ' ', 'g')) AS text,
          coalesce(trunc(try_cast(replies AS double)), 0)::bigint AS replies,
          coalesce(trunc(try_cast(likes AS double)), 0)::bigint AS likes,
@@ -156,7 +179,7 @@ WINDOW w AS (PARTITION BY p.symbol ORDER BY p.hour ROWS UNBOUNDED PRECEDING)"""
 
 _PARTS["matrix"] = f"""
 SELECT symbol, hour, {", ".join(f"ln(1 + {c}) AS {c}" if c in COUNT_FEATURES else _q(c) for c in FEATURES)}, {TARGET}
-FROM fused WHERE hour BETWEEN TIMESTAMP '{START} 00:00:00' AND TIMESTAMP '{END} 00:00:00'"""
+FROM fused"""
 
 _PARTS["split"] = """
 SELECT *, CASE WHEN rn <= floor(n * 0.8::double) THEN 'train' ELSE 'test' END AS split
@@ -235,7 +258,7 @@ def _preset_rows() -> str:
     def value(v):
         return "NULL::double" if v is None else f"{float(v)!r}::double"
 
-    rows = [f"('{p.name}', " + ", ".join(value(getattr(p, f)) for f in LIMITS) + ")" for p in PRESETS]
+    rows = [f"('{name}', " + ", ".join(map(value, values)) + ")" for name, values in PRESETS.items()]
     return f"(VALUES {', '.join(rows)}) AS p(preset, {', '.join('p_' + f for f in LIMITS)})"
 
 
@@ -260,6 +283,42 @@ def _scenario_columns() -> str:
     return ", ".join(_r(value[c], c) for c in FEATURES)
 
 
+_PARTS["ranged"] = "SELECT * FROM fused WHERE hour >= TIMESTAMP '2024-01-10 05:00:00'"
+_PARTS["ranged_daily"] = _daily("ranged", _DAILY)
+
+_PARTS["quiet"] = """
+SELECT symbol, hour, seen, row_number() OVER w AS rn, close, coalesce(greatest(close - lag(close) OVER w, 0), 0) AS gain,
+       coalesce(greatest(lag(close) OVER w - close, 0), 0) AS loss
+FROM (SELECT symbol, hour, close, count(close) OVER (PARTITION BY symbol ORDER BY hour ROWS UNBOUNDED PRECEDING) AS seen
+      FROM (SELECT symbol, hour, CASE WHEN symbol = 'view' AND hour >= TIMESTAMP '2024-01-04 00:00:00' THEN 2050::double ELSE close END AS close
+            FROM filled))
+WINDOW w AS (PARTITION BY symbol ORDER BY hour)"""
+
+_PARTS["quiet_scan"] = """
+SELECT symbol, rn, gain AS up, loss AS dn FROM quiet WHERE rn = 1
+UNION ALL
+SELECT b.symbol, b.rn, (13 * s.up + b.gain) / 14, (13 * s.dn + b.loss) / 14
+FROM quiet_scan s JOIN quiet b ON b.symbol = s.symbol AND b.rn = s.rn + 1"""
+
+
+def _spans(name: str, fast: int, slow: int, signal: int) -> None:
+    """Exponential means of the quiet bars and of their difference, by recursion."""
+
+    def step(kept: str, new: str, span: int) -> str:
+        return f"coalesce(({span - 1} * {kept} + 2 * {new}) / {span + 1}, {new}, {kept})"
+
+    _PARTS[f"{name}_scan"] = f"""
+SELECT symbol, rn, seen, close AS fast, close AS slow, CASE WHEN seen >= {slow} THEN 0::double END AS signal FROM quiet WHERE rn = 1
+UNION ALL
+SELECT symbol, rn, seen, fast, slow,
+       CASE WHEN seen >= {slow} THEN {step("signal", "(fast - slow)", signal)} END
+FROM (SELECT b.symbol, b.rn, b.seen, {step("s.fast", "b.close", fast)} AS fast, {step("s.slow", "b.close", slow)} AS slow, s.signal
+      FROM {name}_scan s JOIN quiet b ON b.symbol = s.symbol AND b.rn = s.rn + 1)"""
+
+
+_spans("fast", 2, 26, 9)
+_spans("slow", 12, 200, 3)
+
 _PARTS["recent"] = """
 SELECT *, back = 1 AS is_last
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour DESC) AS back FROM fused) WHERE back <= 12"""
@@ -309,7 +368,9 @@ SELECT {_SENT} FROM sentiment
 WHERE hour BETWEEN (SELECT min(hour) FROM features) AND (SELECT max(hour) FROM features)""",
     "fused_dataset": f"SELECT symbol, hour, {_rounded([*PRICE_COLUMNS, *SENTIMENT_COLUMNS])} FROM fused",
     "fusion_match": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE tweet_count > 0) AS n_matched FROM fused",
-    "model_matrix": f"SELECT symbol, hour, {_rounded([*FEATURES, TARGET])} FROM matrix",
+    "model_matrix": f"""
+SELECT symbol, hour, {_rounded([*FEATURES, TARGET])} FROM matrix
+WHERE hour BETWEEN TIMESTAMP '{START} 00:00:00' AND TIMESTAMP '{END} 00:00:00'""",
     "split_bounds": _bounds("matrix", "hour", "hour") + " UNION ALL " + _bounds("matrix_daily", "day", "day"),
     "minmax_scaled": f"SELECT symbol, hour, {_rounded([*FEATURES, TARGET])}, split FROM scaled",
     "minmax_inverse": f"SELECT symbol, hour, {_rounded(['close', 'atr', TARGET])} FROM matrix",
@@ -347,7 +408,7 @@ SELECT format('{{:,}}', count(*)) AS active_hours, format('{{:,}}', round(sum(tw
 FROM fused WHERE hour BETWEEN TIMESTAMP '{START} 00:00:00' AND TIMESTAMP '{END} 00:00:00'""",
     "vol_regimes": f"""
 SELECT symbol, CASE WHEN {TARGET} < 0.005 THEN 'low' WHEN {TARGET} < 0.015 THEN 'normal' ELSE 'high' END AS regime,
-       count(*) AS hours, {_r(f"avg({TARGET})", "mean")} FROM scaled GROUP BY ALL""",
+       count(*) AS hours, {_r(f"avg({TARGET})", "mean")} FROM features GROUP BY ALL""",
     "data_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {str(c not in ('symbol', 'ts')).upper()} AS is_numeric, count(*) AS n_rows, "
         f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM bars_raw"
@@ -358,6 +419,36 @@ SELECT count(*) AS n, {_r(f"regr_slope({TARGET}, atr)", "slope")}, {_r(f"regr_in
 FROM matrix""",
     "scenario_features": f"SELECT symbol, preset, hour, is_last, {_scenario_columns()} FROM recent, {_preset_rows()}",
 }
+
+
+def _spread(name: str, slow: int, signal: int) -> str:
+    return f"""
+SELECT q.symbol, q.hour, {_r(f"CASE WHEN q.seen >= {slow} THEN s.fast - s.slow END", "macd")},
+       {_r(f"CASE WHEN q.seen >= {slow + signal - 1} THEN s.signal END", "macd_signal")}
+FROM quiet q JOIN {name}_scan s ON s.symbol = q.symbol AND s.rn = q.rn"""
+
+
+_FINAL["quiet_rsi"] = f"""
+SELECT q.symbol, q.hour, {_r("CASE WHEN q.rn >= 14 THEN coalesce(100 - 100 / (1 + s.up / nullif(s.dn, 0)), 100) END", "rsi")}
+FROM quiet q JOIN quiet_scan s ON s.symbol = q.symbol AND s.rn = q.rn"""
+_FINAL["macd_fast"], _FINAL["macd_slow"] = _spread("fast", 26, 9), _spread("slow", 200, 3)
+_FINAL["bars_csv"] = f"""
+SELECT symbol, hour, {_rounded(_BAR)} FROM (
+  SELECT symbol, hour, open, high, low, close, volume, coalesce(tpv / nullif(volume, 0), close) AS vwap
+  FROM (SELECT symbol, date_trunc('hour', ts)::timestamp AS hour,
+               first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low,
+               last(close ORDER BY ts) FILTER (WHERE close IS NOT NULL) AS close, coalesce(sum(volume), 0) AS volume,
+               coalesce(sum((high + low + close) / 3.0::double * volume), 0) AS tpv FROM bars_raw GROUP BY ALL))"""
+_FINAL["posts_csv"] = f"SELECT {_POST_AT}, text, likes, retweets, 0::bigint AS replies FROM posts"
+_FINAL["minmax_reloaded"] = _FINAL["minmax_scaled"]
+_FINAL["linreg_residuals"] = "SELECT unnest([" + _list(FEATURES) + "]) AS feature, 0::double AS product FROM (SELECT count(*) FROM matrix)"
+_FINAL["daily_rollup_range"] = f"SELECT symbol, day, {_rounded(_DAILY)} FROM ranged_daily"
+_FINAL["chart_price"] = f"SELECT symbol, day, {_rounded(['close', 'bollinger_h', 'bollinger_l'])} FROM daily"
+_FINAL["chart_vol_sentiment"] = f"SELECT symbol, day, {_rounded([TARGET, 'sentiment_score'])} FROM daily"
+_FINAL["series_close"] = f"SELECT symbol, hour, {_rounded(['close'])} FROM features"
+_FINAL["stream_bars_closed"] = f"""
+SELECT symbol, hour, {_rounded(_BAR)} FROM bars
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM bars_raw) - INTERVAL 2 HOUR"""
 _FINAL["posts_scored_batches"] = _FINAL["posts_scored"]
 _FINAL["stream_bars"] = _FINAL["hourly_bars"]
 _FINAL["stream_sentiment"] = _FINAL["hourly_sentiment"]

@@ -11,7 +11,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.operators import dataset, evaluate, models, neural, sentiment
+from volfuse.operators import dataset, evaluate, models, sentiment
 from volfuse.operators.bars import fill_bars, hourly_bars
 from volfuse.operators.dataset import MinMax
 from volfuse.operators.fusion import fuse
@@ -21,10 +21,6 @@ from volfuse.schema import FEATURES, TARGET
 from volfuse.session import stage, stage_all
 from volfuse.sources import fixtures
 
-# The modelled period of the given events.
-START, END = "2024-01-05", "2024-01-25"
-
-
 def bars(spark: SparkSession, d: str) -> DataFrame:
     return hourly_bars(fixtures.bars_raw(spark, d), tie="bar_id")
 
@@ -53,8 +49,8 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     return fuse(*stage_all(features=features(spark, d), sentiment=hourly(spark, d)))
 
 
-def matrix(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.model_matrix(fused(spark, d), START, END)
+def matrix(spark: SparkSession, d: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    return dataset.model_matrix(fused(spark, d), start, end)
 
 
 @dataclass
@@ -75,7 +71,7 @@ def prepared(spark: SparkSession, d: str) -> Prepared:
 
 
 def prepare(fused_table: DataFrame) -> Prepared:
-    table = stage(dataset.model_matrix(fused_table, START, END), "matrix")
+    table = stage(dataset.model_matrix(fused_table), "matrix")
     split = dataset.time_split(table)
     scaler = MinMax.fit(split.filter("split = 'train'"), [*FEATURES, TARGET])
     return Prepared(table, split, scaler)
@@ -109,14 +105,6 @@ def scaled_sequences(p: Prepared) -> DataFrame:
     return dataset.sequences(p.scaler.transform(p.matrix), share=0.8)
 
 
-def recurrent_predictors() -> dict[str, object]:
-    """Given networks; here with weights drawn from a fixed seed."""
-    return {
-        "LSTM": neural.lstm_predictor(neural.random_lstm_weights()),
-        "CNN_BiLSTM": neural.cnn_bilstm_predictor(neural.random_cnn_bilstm_weights()),
-    }
-
-
 def prediction_table(p: Prepared, forest: Model | None = None) -> DataFrame:
     """One row per test sequence: time, actual value and one column per model, on the target's scale.
 
@@ -128,9 +116,6 @@ def prediction_table(p: Prepared, forest: Model | None = None) -> DataFrame:
     linear = models.fit_linear(flat.filter("split = 'train'"), label="actual")
     test = linear.transform(flat.filter("split = 'test'"))
     test = forest.transform(test) if forest is not None else test.withColumn("RandomForest", F.lit(0.0))
-    test = test.select("symbol", "label_ts", "x", "actual", "LinearRegression", "RandomForest")
-    nets = neural.score_sequences(test, recurrent_predictors()).drop("x")
-    nets = stage(p.scaler.inverse(nets, {"LSTM": TARGET, "CNN_BiLSTM": TARGET}), "predictions")
-    w = evaluate.best_weight(evaluate.blend_search(nets, "actual", "CNN_BiLSTM", "LSTM"))
-    return nets.withColumn("Ensemble", evaluate.blend("CNN_BiLSTM", "LSTM", w))
-
+    test = stage(test.select("symbol", "label_ts", "actual", "LinearRegression", "RandomForest"), "predictions")
+    w = evaluate.best_weight(evaluate.blend_search(test, "actual", "RandomForest", "LinearRegression"))
+    return test.withColumn("Ensemble", evaluate.blend("RandomForest", "LinearRegression", w))

@@ -8,19 +8,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volfuse.functions import casts
 from volfuse.functions.scores import fmt_kpis, fmt_metrics
-from volfuse.operators import bars, dataset, evaluate, fusion, indicators, models, neural, report, scenario, sentiment
+from volfuse.operators import bars, dataset, evaluate, fusion, indicators, models, report, scenario, sentiment
 from volfuse.plans import pipeline
 from volfuse.schema import FEATURES, RESULTS, TARGET
 from volfuse.session import stage, stage_path, use_utc
 from volfuse.sources import fixtures, tables
 from volfuse.streaming import streams
 
+#: The period of the queries whose feature it is.
+START, END = "2024-01-05", "2024-01-25"
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 
@@ -93,6 +97,40 @@ def price_features(spark, d):
     return pipeline.features(spark, d)
 
 
+def _quiet(spark, d) -> DataFrame:
+    """Bars of which one symbol's price stands still for weeks."""
+    still = (F.col("symbol") == "view") & (F.col("hour") >= F.lit("2024-01-04").cast("timestamp_ntz"))
+    price = {c: F.when(still, F.lit(2050.0)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
+    return pipeline.filled(spark, d).withColumns(price)
+
+
+@query
+def quiet_rsi(spark, d):
+    return indicators.rsi(_quiet(spark, d)).select("symbol", "hour", "rsi")
+
+
+@query
+def macd_fast(spark, d):
+    return indicators.macd(_quiet(spark, d), 2, 26, 9).select("symbol", "hour", "macd", "macd_signal")
+
+
+@query
+def macd_slow(spark, d):
+    return indicators.macd(_quiet(spark, d), 12, 200, 3).select("symbol", "hour", "macd", "macd_signal")
+
+
+@query
+def bars_csv(spark, d):
+    """The trades written as a file of the feed's form, without a column named close, read, made into bars."""
+    raw, path = fixtures.bars_raw(spark, d), stage_path(spark, "bars-csv")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("decimal(20,6)")
+    columns = {"Timestamp": at, "Venue": F.lit("x1"), " Price": "close", "Open": "open", "High": "high", "Low": "low", "Volume": "volume", "symbol": "symbol"}
+    rows = raw.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+    tables.write_table(rows, path, "csv")
+    tables.require(spark, path)
+    return bars.hourly_bars(tables.read_bars(spark, path))
+
+
 # --- posts ------------------------------------------------------------------------------------
 
 
@@ -118,7 +156,19 @@ def posts_clean(spark, d):
 
 @query
 def posts_sample(spark, d):
-    return dataset.first_n(pipeline.posts(spark, d), 500).select("post_id", "timestamp", "likes", "retweets")
+    return dataset.first_n(pipeline.posts(spark, d).select("post_id", "timestamp", "likes", "retweets"), 500)
+
+
+@query
+def posts_csv(spark, d):
+    """The posts written as a file of the feed's form, read, cleaned."""
+    raw, path = fixtures.posts_raw(spark, d), stage_path(spark, "posts-csv")
+    one_line = F.regexp_replace("text", "[\\r\\n]+", " ")
+    rows = raw.select(F.col("post_id").cast("string").alias(" id"), "timestamp", one_line.alias("text "), "likes", "retweets")
+    rows.write.options(header=True, escape='"', sep=";").csv(path)
+    tables.require(spark, path)
+    posts = sentiment.clean_posts(tables.read_posts(spark, path))
+    return posts.select("timestamp", "text", "likes", "retweets", "replies")
 
 
 @query
@@ -129,20 +179,25 @@ def posts_scored(spark, d):
 @query
 def posts_scored_batches(spark, d):
     """The same word lists behind the interface for any model: batches of texts in Python workers."""
-    signs = {**dict.fromkeys(sentiment.POSITIVE, 1), **dict.fromkeys(sentiment.NEGATIVE, -1)}
-    letters = sentiment.LETTER + "+"
+    positive, negative, gap = sentiment.POSITIVE, sentiment.NEGATIVE, sentiment.LETTER.replace("[", "[^") + "+"
 
     def load():
-        import re
-
-        words = re.compile(letters).findall
-
-        def score(text):
-            hits = [signs[w] for w in words(text.lower()) if w in signs]
-            balance = sum(hits) / len(hits) if hits else 0.0
-            return ("positive" if balance > 0 else "negative" if balance < 0 else "neutral", abs(balance))
-
-        return lambda texts: [score(t) for t in texts]
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def score(texts):
+            words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), gap)
+            owner, flat = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
+            up, down = (
+                np.bincount(owner, pc.is_in(flat, pa.array(listed)).to_numpy(zero_copy_only=False), len(texts))
+                for listed in (positive, negative)
+            )
+            balance = (up - down) / np.maximum(1, up + down)
+            label = np.select([balance > 0, balance < 0], ["positive", "negative"], "neutral")
+            return list(zip(label.tolist(), np.abs(balance).tolist(), strict=True))
+
+        return score
 
     scored = sentiment.score_posts(pipeline.posts(spark, d), load)
     return scored.select("post_id", "label", "probability", "sentiment_score")
@@ -165,11 +220,12 @@ def sentiment_in_range(spark, d):
 
 @query
 def text_scorer(spark, d):
+    """Fitted on the labelled posts of even ids, applied to all posts."""
     quality = F.col("quality").cast("double").alias("label")
-    given = fixtures.table(spark, d, "labels").select(F.col("doc_id").alias("post_id"), quality)
-    posts = stage(pipeline.posts(spark, d).select("post_id", "text"), "posts")
-    model = sentiment.fit_text_scorer(posts.join(given, "post_id"))
-    return sentiment.margin_scores(model, posts).select("post_id", "sentiment_score")
+    given = fixtures.table(spark, d, "labels").select(F.col("doc_id").alias("post_id"), quality).where("post_id % 2 = 0")
+    raw = fixtures.posts_raw(spark, d)
+    model = sentiment.fit_text_scorer(stage(sentiment.clean_posts(raw.join(given, "post_id")).select("text", "label"), "labelled"))
+    return sentiment.margin_scores(model, sentiment.clean_posts(raw).select("post_id", "text")).select("post_id", "sentiment_score")
 
 
 # --- fusion and model inputs --------------------------------------------------------------------
@@ -187,7 +243,7 @@ def fusion_match(spark, d):
 
 @query
 def model_matrix(spark, d):
-    return pipeline.matrix(spark, d)
+    return pipeline.matrix(spark, d, START, END)
 
 
 @query
@@ -205,6 +261,14 @@ def minmax_scaled(spark, d):
     return pipeline.prepared(spark, d).scaled
 
 
+@query
+def minmax_reloaded(spark, d):
+    """The ranges stored and loaded again, as a later run has them."""
+    p, path = pipeline.prepared(spark, d), stage_path(spark, "scaler")
+    p.scaler.save(spark, path)
+    return dataset.MinMax.load(spark, path).transform(p.split)
+
+
 @query
 def minmax_inverse(spark, d):
     p = pipeline.prepared(spark, d)
@@ -291,19 +355,40 @@ def sentiment_ma7(spark, d):
     return report.chart_posts(stage(_daily(spark, d), "daily"))
 
 
+@query
+def daily_rollup_range(spark, d):
+    """Days of a chosen range; the open end is the data's own."""
+    return report.daily_rollup(pipeline.fused(spark, d), start="2024-01-10 05:00:00")
+
+
+@query
+def chart_price(spark, d):
+    return report.chart_price(_daily(spark, d))
+
+
+@query
+def chart_vol_sentiment(spark, d):
+    return report.chart_vol_sentiment(_daily(spark, d))
+
+
+@query
+def series_close(spark, d):
+    return report.series(pipeline.features(spark, d), "close")
+
+
 @query
 def kpi_summary(spark, d):
-    return report.kpis(dataset.time_range(pipeline.fused(spark, d), pipeline.START, pipeline.END))
+    return report.kpis(dataset.time_range(pipeline.fused(spark, d), START, END))
 
 
 @query
 def kpi_text(spark, d):
-    return fmt_kpis(report.kpis(dataset.time_range(pipeline.fused(spark, d), pipeline.START, pipeline.END)))
+    return fmt_kpis(report.kpis(dataset.time_range(pipeline.fused(spark, d), START, END)))
 
 
 @query
 def vol_regimes(spark, d):
-    return report.regimes(pipeline.prepared(spark, d).scaled, TARGET)
+    return report.regimes(pipeline.features(spark, d), TARGET)
 
 
 @query
@@ -327,12 +412,27 @@ def linreg_univariate(spark, d):
     )
 
 
-@query
-def linreg_metrics(spark, d):
+def _linear(spark, d, kind: str = "test") -> DataFrame:
+    """Scaled rows of one side with the prediction of a least squares model that was stored and loaded again."""
     p = pipeline.prepared(spark, d)
     ready = stage(models.assemble(p.scaler.transform(p.split, FEATURES)), "model-rows")
-    model = models.fit_linear(ready.filter("split = 'train'"))
-    return _scores(model.transform(ready.filter("split = 'test'")), TARGET, "LinearRegression")
+    path = stage_path(spark, "linear")
+    models.save_model(models.fit_linear(ready.filter("split = 'train'")), path)
+    return models.load_model(LinearRegressionModel, path).transform(ready.filter(F.col("split") == kind))
+
+
+@query
+def linreg_metrics(spark, d):
+    return _scores(_linear(spark, d), TARGET, "LinearRegression")
+
+
+@query
+def linreg_residuals(spark, d):
+    """What least squares promises: residuals of the training rows are orthogonal to all features."""
+    fitted = _linear(spark, d, "train")
+    residual = F.col("LinearRegression") - F.col(TARGET)
+    products = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.avg(F.col(c) * residual), 8).alias("product")) for c in FEATURES])
+    return fitted.agg(products.alias("all")).select(F.inline("all"))
 
 
 @query
@@ -357,13 +457,6 @@ def lagged_metrics(spark, d):
     return _scores(test, "label", "lagged_linear", "lagged_gbt")
 
 
-@query
-def seq_scores(spark, d):
-    seq = pipeline.scaled_sequences(pipeline.prepared(spark, d))
-    scored = neural.score_sequences(seq, pipeline.recurrent_predictors())
-    return scored.select("symbol", "label_ts", "label", "LSTM", "CNN_BiLSTM")
-
-
 @query
 def test_predictions(spark, d):
     p = pipeline.prepared(spark, d)
@@ -381,16 +474,13 @@ def scenario_features(spark, d):
 
 @query
 def scenario_scores(spark, d):
+    """The least squares model on the newest step of every scenario."""
     fused = stage(pipeline.fused(spark, d), "fused")
     p = pipeline.prepare(fused)
     linear = models.fit_linear(models.assemble(p.scaled).filter("split = 'train'"), out="Linear")
-    raw = scenario.apply_scenarios(dataset.time_range(fused, pipeline.START, pipeline.END))
-    windows = neural.score_sequences(scenario.scenario_windows(raw, p.scaler), pipeline.recurrent_predictors())
-    windows = linear.transform(models.assemble(dataset.last_step(windows)))
-    predictions: dict[str, Column] = {c: F.col(c) for c in ("Linear", "LSTM", "CNN_BiLSTM")}
-    predictions["Ensemble"] = evaluate.blend("CNN_BiLSTM", "LSTM")
-    scored = scenario.score_scenarios(windows, p.scaler, predictions)
-    return scored.select("symbol", "preset", *predictions, *[f"{c}_regime" for c in predictions])
+    windows = dataset.last_step(scenario.scenario_windows(scenario.apply_scenarios(fused), p.scaler))
+    scored = scenario.score_scenarios(linear.transform(models.assemble(windows)), p.scaler, {"Linear": F.col("Linear")})
+    return scored.select("symbol", "preset", "Linear", "Linear_regime")
 
 
 # --- streams ------------------------------------------------------------------------------------
@@ -402,6 +492,13 @@ def stream_bars(spark, d):
     return streams.drain(spark, streams.stream_bars(trades, tie="bar_id"), "stream-bars")
 
 
+@query
+def stream_bars_closed(spark, d):
+    """Only windows that the watermark has passed; their state is dropped."""
+    trades = fixtures.bars_from_events(fixtures.stream_table(spark, d, "events"))
+    return streams.drain(spark, streams.stream_bars(trades, tie="bar_id"), "stream-closed", mode="append")
+
+
 @query
 def stream_sentiment(spark, d):
     posts = sentiment.clean_posts(fixtures.posts_from_documents(fixtures.stream_table(spark, d, "documents")))

@@ -24,13 +24,6 @@ RESULTS = T.StructType([T.StructField("model", _S), *_doubles("MAE", "RMSE", "R2
 IMPORTANCES = T.StructType([T.StructField("feature", _S), *_doubles("importance")])
 
 SCALER = T.StructType([T.StructField("column", _S), *_doubles("low", "high")])
-WEIGHTS = T.StructType(
-    [
-        T.StructField("name", _S),
-        T.StructField("shape", T.ArrayType(T.IntegerType())),
-        T.StructField("values", T.ArrayType(_D)),
-    ]
-)
 
 PRICE_COLUMNS = [
     "open", "high", "low", "close", "volume", "vwap", "rsi", "macd", "macd_signal",

@@ -27,31 +27,32 @@ def require_utc(df: DataFrame) -> None:
         raise ValueError(f"spark.sql.session.timeZone is {zone!r}; call use_utc(spark) first")
 
 
-def spread(df: DataFrame, share: int = 32 << 20) -> DataFrame:
-    """Give every core a part of a small input before costly work on its rows.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    A small file is one split, whatever the number of cores. Inputs above ``share`` bytes per core
-    have splits enough and are left alone, so no large input is ever shuffled for this.
+    On a cluster the setting is needed and must not lie in a machine's folder for temporary files. A local
+    master without it, as in tests, gets a private folder.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < share * cores else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private folder only for a local master without one."""
     global _local_root
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local"):
+        if not folder and _local_root is None:
+            _local_root = tempfile.mkdtemp(prefix="volfuse-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+        return (folder or _local_root).rstrip("/")
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="volfuse-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
+    refuse_temporary(spark, folder)
+    return folder.rstrip("/")
+
+
+def refuse_temporary(spark: SparkSession, folder: str) -> None:
+    """Raise if ``folder`` is one of a single machine: other executors would not see what is written there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = path.toUri().getPath()
+    if files.getScheme() == "file" and place.startswith(("/tmp/", "/var/tmp/", tempfile.gettempdir() + "/")):
+        raise RuntimeError(f"spark.checkpoint.dir is {folder!r}, a machine's temporary folder")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

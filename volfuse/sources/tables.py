@@ -14,7 +14,7 @@ from volfuse.schema import BARS_CSV, FUSED, POST_COLUMNS, RESULTS
 from volfuse.operators.bars import rename_ohlcv
 from volfuse.sources.columns import numeric_cols, resolve_price_col, resolve_ts_col
 
-_TEXT = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+_TEXT = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
 
 def _trimmed(df: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv", symbol: str | No
 
     The time column is found by name. CSV numbers are read as text and cast leniently, so that no
     pass over the data is spent on guessing types. A file without a price column called close keeps
-    its first numeric column under that name.
+    its first numeric column under that name; which CSV columns are numeric takes one pass.
     """
     if fmt == "csv":
         raw = _trimmed(spark.read.options(header=True).csv(path))
         ts = resolve_ts_col(raw)
-        raw = raw.withColumns({c: F.col(c).try_cast("double") for c in raw.columns if c not in (ts, "symbol")})
+        given = [c for c in raw.columns if c not in (ts, "symbol")]
+        if not any(c.lower() == "close" for c in given):
+            given = _numeric(raw, given)
+        raw = raw.withColumns({c: F.col(c).try_cast("double") for c in given})
     else:
         raw = spark.read.format(fmt).load(path)
         ts = resolve_ts_col(raw)
@@ -46,9 +49,20 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv", symbol: str | No
     return named.select(key.alias("symbol"), at.alias("ts"), *values)
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";") -> DataFrame:
-    """The five post columns as text. Quoted texts may span lines; missing columns are left out."""
-    raw = spark.read.options(**_TEXT, sep=sep).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+def _numeric(raw: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The text columns all of whose values are numbers, at least one."""
+    facts = [F.struct(F.count(c), F.count(F.col(c).try_cast("double"))).alias(f"_{i}") for i, c in enumerate(cols)]
+    counts = raw.agg(*facts).first() if cols else []
+    return [c for c, (given, parsed) in zip(cols, counts, strict=True) if given == parsed and parsed]
+
+
+def read_posts(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";", multi_line: bool = False) -> DataFrame:
+    """The five post columns as text; missing columns are left out.
+
+    Files are split between tasks. With ``multi_line`` quoted texts may span lines, and a file is read by one task.
+    """
+    text = {**_TEXT, "sep": sep, "multiLine": multi_line}
+    raw = spark.read.options(**text).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     raw = _trimmed(raw)
     return raw.select(*[F.col(c).cast("string") for c in POST_COLUMNS if c in raw.columns])
 

@@ -43,11 +43,12 @@ def stream_sentiment(
     return hourly.withColumn("weighted_sentiment", weighted_sentiment("sentiment_score", "likes", "retweets"))
 
 
-def drain(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def drain(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete", may_be_empty: bool = False) -> DataFrame:
     """Process everything the source holds now and return the result table.
 
-    ``append`` emits a window once the watermark has passed it, so the newest windows stay open and
-    files are only ever added; ``complete`` rewrites the whole result and shows the open ones too.
+    ``append`` emits a window once the watermark has passed it, so the newest windows stay open, state is
+    dropped and files are only ever added; ``complete`` keeps all state and rewrites the whole result, with
+    the open windows. A source that gives no row at all raises unless it ``may_be_empty``.
     """
     out, state = stage_path(spark, name), stage_path(spark, f"{name}-state")
     writer = sdf.writeStream.trigger(availableNow=True).option("checkpointLocation", state).outputMode(mode)
@@ -58,9 +59,11 @@ def drain(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete"
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    if not may_be_empty and not sum(p["numInputRows"] for p in query.recentProgress):
+        raise RuntimeError(f"the source of {name} gave no rows")
     try:
         return spark.read.schema(sdf.schema).parquet(out)
-    except AnalysisException as error:  # an empty source writes nothing
+    except AnalysisException as error:  # nothing was written: no rows came, or no window is closed yet
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], sdf.schema)
