@@ -1,10 +1,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import at, column, prices
 from volfuse.operators import indicators
 from volfuse.operators.series import Series, decayed_scan, ffill, number_rows, with_halo
+from volfuse.session import stage
 
 N = 400
 EXACT = {"rtol": 1e-9, "atol": 1e-9}
@@ -169,3 +171,51 @@ def test_halo_filter_keeps_what_windows_need(spark, walk):
     full = indicators.bollinger(bars).filter("hour between '2024-01-05' and '2024-01-06'").orderBy("hour").toPandas()
     cut = indicators.bollinger(part).filter("hour between '2024-01-05' and '2024-01-06'").orderBy("hour").toPandas()
     pd.testing.assert_frame_equal(full, cut, rtol=1e-9)
+
+
+# --- long stretches without a move, spans far apart -------------------------------------------------
+
+
+def plain_ema(x, span):
+    out = [x[0]]
+    for v in x[1:]:
+        out.append(out[-1] + 2.0 / (span + 1) * (v - out[-1]))
+    return np.array(out)
+
+
+def quiet(n=7000):
+    rng = np.random.default_rng(7)
+    return [*(100 + rng.normal(size=200).cumsum()), *[77.0] * n]
+
+
+@pytest.mark.parametrize("block", [64, 700, 4096])
+def test_rsi_stays_where_nothing_moves(spark, block):
+    closes = quiet()
+    up, down, want = 0.0, 0.0, []
+    for i, c in enumerate(closes):
+        change = c - closes[i - 1] if i else 0.0
+        if change:
+            last = i
+        up, down = (13 * up + max(change, 0)) / 14, (13 * down + max(-change, 0)) / 14
+        want.append(100 - 100 / (1 + up / down) if down > 1e-250 and i == last else want[-1] if want else 100.0)
+    df = stage(prices(spark, closes), "quiet")
+    got = column(indicators.rsi(df, spec=Series(rows=block)), "rsi")
+    assert got[:13] == [None] * 13
+    np.testing.assert_allclose(got[13:], want[13:], atol=1e-9)
+    table = indicators.indicator_table(df.withColumns({"volume": F.lit(1.0)}), spec=Series(rows=block))
+    np.testing.assert_allclose(column(table, "rsi")[13:], want[13:], atol=1e-9)
+
+
+@pytest.mark.parametrize("spans", [(2, 26, 9), (12, 200, 3), (2, 2000, 2), (1, 5, 1)])
+def test_macd_at_any_spans(spark, spans):
+    fast, slow, signal = spans
+    closes = quiet(3000)
+    difference = plain_ema(closes, fast) - plain_ema(closes, slow)
+    smooth = plain_ema(difference[slow - 1 :], signal)
+    df = stage(prices(spark, closes), "quiet")
+    for rows_ in (64, 4096):
+        out = indicators.macd(df, *spans, spec=Series(rows=rows_))
+        np.testing.assert_allclose(column(out, "macd")[slow - 1 :], difference[slow - 1 :], atol=1e-9)
+        np.testing.assert_allclose(column(out, "macd_signal")[slow + signal - 2 :], smooth[signal - 1 :], atol=1e-9)
+    table = indicators.indicator_table(df, macd_spans=spans)
+    np.testing.assert_allclose(column(table, "macd")[slow - 1 :], difference[slow - 1 :], atol=1e-9)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import prices
-from volfuse.operators import dataset, evaluate, indicators, sentiment
+from volfuse.operators import dataset, evaluate, indicators, report, sentiment
 from volfuse.operators.bars import fill_bars, hourly_bars
 from volfuse.operators.fusion import fuse
 from volfuse.operators.series import Series, ffill, number_rows
@@ -95,6 +95,21 @@ def test_metrics_of_all_models_take_one_scan(spark):
     assert plan(evaluate.blend_search(df, "y", "a", "b")).count("FileScan") == 1
 
 
+def scans(df):
+    return re.findall(r"FileScan parquet [^\n]*?volfuse/([a-z-]+)-[0-9a-f]{32}", ran(df))
+
+
+def test_fusion_joins_once(spark, large):
+    """The joined hours are written once; what is read from them is read for the rows and for the block ends."""
+    assert sorted(scans(pipeline.fused(spark, SF))) == ["merged", "merged"]
+    assert sorted(scans(report.daily_rollup(pipeline.fused(spark, SF)))) == ["days", "days"]
+
+
+def test_first_rows_are_cleaned_once(spark):
+    text = plan(dataset.first_n(pipeline.posts(spark, SF).select("post_id", "timestamp"), 50))
+    assert "FileScan" in text and "http" not in text and "Window" not in text
+
+
 def test_fusion_has_no_cross_join(spark, large):
     price = stage(prices(spark, [1.0] * 50), "price")
     index = stage(price.select("hour", F.lit(0.5).alias("sentiment_score"), F.lit(1).alias("tweet_count")), "index")

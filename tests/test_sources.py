@@ -5,7 +5,7 @@ from helpers import at, column, prices, trade, trades
 from volfuse.operators.bars import hourly_bars
 from volfuse.operators.sentiment import clean_posts
 from volfuse.schema import RESULTS
-from volfuse.session import clear_stages, shared_dir, stage
+from volfuse.session import clear_stages, refuse_temporary, shared_dir, stage
 from volfuse.sources import tables
 from volfuse.sources.columns import numeric_cols, resolve_price_col, resolve_ts_col
 
@@ -103,3 +103,26 @@ def test_stages_live_in_the_shared_folder(spark):
     clear_stages(spark)
     with pytest.raises(Exception):
         staged.count()
+
+
+def test_price_is_the_first_column_of_numbers(spark, tmp_path):
+    path = text_file(tmp_path, "v.csv", "Timestamp,Venue,Price,Size\n1704067260,x1,3.5,2\n1704067320,x2,,4\n")
+    rows = tables.read_bars(spark, path).orderBy("ts").collect()
+    assert [r["close"] for r in rows] == [3.5, None]
+
+
+def test_long_post_files_are_split(spark, tmp_path):
+    path = text_file(tmp_path, "posts.csv", "timestamp;text\n" + "2024-01-01 00:00:00;with it\n" * 40_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert tables.read_posts(spark, path).rdd.getNumPartitions() > 3
+        assert tables.read_posts(spark, path, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_machines_own_folder_is_refused(spark):
+    for folder in ("/tmp/x", "file:///tmp/x/y"):
+        with pytest.raises(RuntimeError, match="temporary"):
+            refuse_temporary(spark, folder)
+    refuse_temporary(spark, "file:///mnt/shared/x")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from helpers import BAR_SCHEMA, at, trade, trades
 from volfuse.operators import sentiment
 from volfuse.operators.bars import hourly_bars
+from volfuse.plans import queries
 from volfuse.streaming import streams
 
 
@@ -68,4 +69,18 @@ def test_empty_source(spark, tmp_path):
     path = tmp_path / "empty"
     path.mkdir()
     stream = spark.readStream.schema(BAR_SCHEMA).parquet(str(path))
-    assert streams.drain(spark, streams.stream_bars(stream), "bars").count() == 0
+    assert streams.drain(spark, streams.stream_bars(stream), "bars", may_be_empty=True).count() == 0
+    with pytest.raises(RuntimeError, match="gave no rows"):
+        streams.drain(spark, streams.stream_bars(stream), "bars")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_several_files(spark, tmp_path, files):
+    """A table is a folder of files on any cluster; all of them belong to the stream."""
+    for name in ("events", "documents"):
+        given = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        given.repartition(files).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for stream, batch in (("stream_bars", "hourly_bars"), ("stream_sentiment", "hourly_sentiment")):
+        got = queries.registered()[stream](spark, str(tmp_path))
+        want = queries.registered()[batch](spark, str(tmp_path)).select(got.columns)
+        assert rows(got) == rows(want) and got.count() > 50
