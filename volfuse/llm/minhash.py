@@ -9,10 +9,11 @@ agreeing ones is concentrated around its mean; mostly one round is enough.
 
 Equal sets are one class, represented by the smallest id. Representatives that agree in a whole band of
 coordinates are candidates; with 32 bands of 4, a pair of similarity 0.75 is missed in 5 of a million cases.
-A bucket's members are compared with a centre, not with each other; members that no centre was compared with
-and that lie in different components get new centres, four times as many each round, until no such pair is
-left in any bucket. Every candidate pair whose sizes allow the similarity is verified on the full sets. The
-rounds end as each makes centres of some members.
+A bucket's members are compared with a centre, not with each other: with the one that meets most others in its
+buckets. Members of buckets that still hold several components get new, exact buckets by their rarest shingles,
+in which members of the smallest components are the centres, 16 times as many each round, until no bucket holds
+members of several components that no centre was compared with. Pairs whose sizes allow the similarity are
+verified on the full sets. The rounds end as each makes centres of some members.
 
 Null texts and texts without words have an empty set and no links. Rows without an id are dropped; rows that
 share an id are one document with the links of all of them, and each gives a row of the result.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volfuse.llm.components import components
@@ -112,11 +113,20 @@ def _sets(size: int):
                 owner, elements = shingle_sets(part.column("text"), size)
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
                 data = [elements[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "elements"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(data, pa.binary())], ["id", "elements"])
 
     return run
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sets as one row for each element."""
+    for batch in batches:
+        for part in pieces(batch, "elements"):
+            raw, at = text_bytes(part.column("elements"))
+            owner = np.repeat(part.column("id").to_numpy(), np.diff(at) // 8)
+            yield pa.record_batch([pa.array(owner), pa.array(np.frombuffer(raw.tobytes(), np.int64))], ["id", "h"])
+
+
 def _similar(percent: int):
     """Batches of pairs with both sets, reduced to those that are similar enough."""
 
@@ -149,55 +159,77 @@ def classes(docs: DataFrame, bands: int = 32, rows: int = 4, size: int = 5) -> t
     return members.select("doc_id", "n_shingles", "class_id"), heads
 
 
-def links(docs: DataFrame, heads: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """Verified links between representatives, enough of them to connect every component."""
-    # Buckets with more than one member: (key, id, n).
-    rows = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    held = stage(rows.join(stage(full, "keys"), "key"), "buckets")
+def linked(docs: DataFrame, heads: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """``node`` and ``component`` of the representatives with verified links, of which enough are found."""
     spark = docs.sparkSession
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    tested = found
-    component = None
+    rows = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    full = stage(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
+    held = stage(rows.join(full, "key"), "buckets")
+    # A member of many large buckets is like many others: the best centre.
+    weight = stage(held.groupBy("id").agg(F.sum("members").alias("weight")), "weights")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = stage(text.mapInArrow(_sets(size), "id bigint, elements binary"), "sets")
+    own = held.drop("members").join(weight, "id").withColumn("component", F.col("id"))
+    found = tested = spark.createDataFrame([], "a bigint, b bigint")
     centres = 1
     while True:
-        # A bucket whose members are all in one component is settled.
-        own = held
-        if component is not None:
-            own = held.join(component.withColumnRenamed("node", "id"), "id", "left")
-            own = own.withColumn("component", F.coalesce("component", "id"))
-        else:
-            own = held.withColumn("component", F.col("id"))
-        unsettled = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        own = stage(own.join(stage(unsettled.select("key"), "unsettled"), "key"), "members")
-        if is_empty(own):
-            return found
-        slot = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
-        centre = own.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
-        centre = stage(centre.select("key", "c.*").toDF("key", "c_id", "c_n", "c_component"), "centres")
-        pairs = (
-            own.join(centre, "key")
-            .where("component != c_component and 100 * least(n, c_n) >= %d * greatest(n, c_n)" % percent)
-            .select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
-            .distinct()
-        )
+        centre, pairs = starred(own, centres, percent)
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = stage(verified(docs, pairs, percent, size), "verified")
+        found = found.union(stage(verified(pairs, sets, percent), "verified"))
         tested = tested.union(pairs)
-        if not is_empty(good):
-            found = found.union(good)
-            component = stage(components(found, "a", "b"), "components")
-        held = stage(
-            own.drop("component").join(centre.select("key", F.col("c_id").alias("id")), ["key", "id"], "left_anti"), "rest"
-        )
-        centres *= 4
-
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+        component = stage(components(found, "a", "b"), "components")
+        left = own.join(centre.select("key", F.col("c_id").alias("id")), ["key", "id"], "left_anti")
+        own = mixed(left, component)
+        if centres == 1 and not is_empty(own):
+            own = mixed(prefixes(own, sets, percent), component)
+        if is_empty(own):
+            return component
+        centres *= 16
+
+
+def starred(own: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Up to ``centres`` members of each bucket, the heaviest of as many parts of it, and the pairs they make with
+    members of other components whose sizes allow the similarity."""
+    slot = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
+    best = F.max(F.struct("weight", (-F.col("id")).alias("back"), "id", "n", "component")).alias("c")
+    centre = own.groupBy("key", slot.alias("slot")).agg(best)
+    centre = stage(centre.select("key", "c.id", "c.n", "c.component").toDF("key", "c_id", "c_n", "c_component"), "centres")
+    pairs = own.join(centre, "key").where("component != c_component and 100 * least(n, c_n) >= %d * greatest(n, c_n)" % percent)
+    return centre, pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
+
+
+def mixed(held: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components; those of small components are the centres to come."""
+    many = component.groupBy("component").agg((-F.count("*")).alias("weight"))
+    named = component.withColumnRenamed("node", "id").join(many, "component")
+    own = held.select("key", "id", "n").join(named, "id", "left")
+    own = own.withColumns({"component": F.coalesce("component", "id"), "weight": F.coalesce("weight", F.lit(-1))})
+    several = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least_n"))
+    return stage(own.join(several.where("x != y").select("key", "least_n"), "key"), "members")
+
+
+def prefixes(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets by shingle in which every possible link between these members meets.
+
+    Sets of sizes n and m that are similar enough share at least percent * (n + m) / (100 + percent) shingles, so
+    with all shingles in one order, rare ones first, the first n + 1 less that number of either have one in
+    common. A set that differs from its like in many places has only rare shingles there, and meets hardly any.
+    """
+    least = F.greatest(F.min("least_n"), F.ceil(F.col("n") * percent / 100))
+    sizes = own.groupBy("id", "n").agg(least.alias("m"))
+    shared = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    sizes = stage(sizes.select("id", "n", (F.col("n") - shared + 1).alias("first")), "sizes")
+    shingles = sets.join(sizes.select("id"), "id", "left_semi").mapInArrow(_flat, "id bigint, h bigint")
+    shingles = stage(shingles, "shingles")
+    often = stage(shingles.groupBy("h").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    ranked = shingles.join(often, "h", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rare = Window.partitionBy("id").orderBy("often", "h")  # the shingles of one document
+    ranked = ranked.withColumn("place", F.row_number().over(rare)).where("often > 1")
+    return ranked.join(sizes, "id").where("place <= first").select(F.col("h").alias("key"), "id", "n")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(stage(ids, "ids"), "doc_id", "left_semi")
-    sets = stage(text.mapInArrow(_sets(size), "doc_id bigint, elements binary"), "sets")
     side = lambda x: sets.toDF(x, f"elements_{x}")
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(percent), "a bigint, b bigint")
 
@@ -205,7 +237,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75, size: int = 5
 def near_copies(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
     """Per document: id, size of its set, component and whether it stands for it."""
     members, heads = classes(docs, bands, rows, size)
-    component = components(links(docs, heads, percent, size), "a", "b").withColumnRenamed("node", "class_id")
+    component = linked(docs, heads, percent, size).withColumnRenamed("node", "class_id")
     out = members.join(component, "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
