@@ -185,7 +185,7 @@ def plain_ema(x, span):
 
 def quiet(n=7000):
     rng = np.random.default_rng(7)
-    return [*(100 + rng.normal(size=200).cumsum()), *[77.0] * n]
+    return [float(v) for v in 100 + rng.normal(size=200).cumsum()] + [77.0] * n
 
 
 @pytest.mark.parametrize("block", [64, 700, 4096])

@@ -42,7 +42,7 @@ def test_posts_csv(spark, tmp_path):
         tmp_path, "t.csv",
         'id;timestamp ;text;likes;retweets;replies\n1;2018-01-01 00:00:01+00;"two\nlines; ""q""";3;4;5\n2;x;üç;a;;\n',
     )
-    posts = tables.read_posts(spark, path)
+    posts = tables.read_posts(spark, path, multi_line=True)
     assert posts.columns == ["timestamp", "text", "replies", "likes", "retweets"]
     got = clean_posts(posts, min_length=1).orderBy("text").collect()
     assert [(r["text"], r["likes"], r["retweets"], r["replies"]) for r in got] == [('two lines; "q"', 3, 4, 5), ("üç", 0, 0, 0)]
