@@ -22,6 +22,7 @@ from volfuse.operators.series import (
     ffill,
     to_panel,
 )
+from volfuse.session import stage
 
 
 def _span(n: int) -> float:
@@ -82,8 +83,11 @@ def _rsi(n: int) -> dict[str, Column]:
 
 
 def _carry_rsi(df: DataFrame, spec: Series) -> DataFrame:
-    """The index of the last move; 100 where nothing was lost because nothing ever moved."""
-    carried = ffill(df, ["rsi"], spec)
+    """The index of the last move; 100 where nothing was lost because nothing ever moved.
+
+    Carrying forward reads the rows twice, so they are written once.
+    """
+    carried = ffill(stage(df, "moves"), ["rsi"], spec)
     return carried.withColumn("rsi", F.when(F.col("_ready"), F.coalesce("rsi", F.lit(100.0)))).drop("_ready")
 
 
