@@ -56,7 +56,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say of every page, after they were written and read again."""
     pages = read(spark, sf_dir, "pages")
-    records = warc.archived(pages.select("page_id", "url", F.encode("html", "UTF-8").alias("payload")))
+    records = warc.archived(pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
