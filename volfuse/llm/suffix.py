@@ -121,12 +121,13 @@ def _found(h, ids, at, first_id, first_at, edge=False) -> pa.RecordBatch:
 def _neighbours(same: list[str]):
     """Of a task's sorted rows, those whose hash a neighbour has too, with the first row of that hash.
 
-    Rows that equal the one before in the columns ``same`` are passed over. The task's first and last hash are
-    given out as edges, and rows of them even if they are alone: the neighbour may be another task's.
+    Rows that equal the one before in the columns ``same`` are passed over. A task's first and last hash may go
+    on in its neighbours: for these two it also gives an edge, a row with their number in place of the position,
+    and their rows even if they are alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, edge, open_, head, waiting = None, None, None, None, None
+        before, edge, last, waiting = None, None, None, None  # edge and last: hash, rows so far, first id and position
         for batch in batches:
             if same and batch.num_rows:
                 parts = [batch.column(c).to_numpy() for c in same]
@@ -144,25 +145,30 @@ def _neighbours(same: list[str]):
             many = ~new | np.append(~new[1:], False)
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             first_id, first_at = ids[start].copy(), at[start].copy()
-            if edge is None:
-                edge, many[0] = h[0], True
-            if open_ is not None and h[0] == open_:
+            begins = np.flatnonzero(new)
+            runs = [[h[i], n, ids[i], at[i]] for i, n in ((begins[0], np.append(begins, len(h))[1]), (begins[-1], len(h) - begins[-1]))]
+            if last is None:
+                many[0] = True
+            if last is not None and h[0] == last[0]:
                 lead = start == 0
-                first_id[lead], first_at[lead] = head
+                first_id[lead], first_at[lead] = last[2:]
                 many[0] = True
                 if waiting is not None:
                     yield waiting
-            last = slice(len(h) - 1, len(h))
-            lone = not many[-1]
-            waiting = _found(h[last], ids[last], at[last], first_id[last], first_at[last]) if lone else None
-            open_, head = h[-1], (first_id[-1], first_at[-1])
+                runs[0] = [h[0], runs[0][1] + last[1], *last[2:]]
+            elif last is not None:
+                edge = edge or last
+            if len(begins) > 1:
+                edge = edge or runs[0]
+            last, end = runs[1] if len(begins) > 1 else runs[0], slice(len(h) - 1, len(h))
+            waiting = None if many[-1] else _found(h[end], ids[end], at[end], first_id[end], first_at[end])
             if many.any():
                 yield _found(h[many], ids[many], at[many], first_id[many], first_at[many])
         if waiting is not None:
             yield waiting
-        if edge is not None:
-            two = np.array([edge, open_])
-            yield _found(two, two, [0, 0], two, [0, 0], True)
+        if last is not None:
+            hashes, counts, first_id, first_at = zip(*([edge, last] if edge else [last]), strict=True)
+            yield _found(hashes, first_id, counts, first_id, first_at, True)
 
     return run
 
@@ -170,19 +176,16 @@ def _neighbours(same: list[str]):
 def repeated(rows: DataFrame, order: list[str], same: list[str], name: str) -> DataFrame:
     """The rows whose hash ``h`` occurs twice or more, with the first id and position that has it.
 
-    All rows are sorted over all tasks, so rows of one hash may fill many tasks. The hashes at the edges of
-    tasks, two for each task at most, are counted again over all of them.
+    All rows are sorted over all tasks, so rows of one hash may fill many tasks. The edges of tasks, two rows for
+    each at most, tell how often their hashes occur over all of them, and where first.
     """
     held = stage(rows, name)
     ordered = held.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stage(ordered.mapInArrow(_neighbours(same), FOUND), f"{name}-found")
-    edges = F.broadcast(found.where("edge").select("h").distinct())
-    found = found.where("not edge").drop("edge")
-    inner = found.join(edges, "h", "left_anti").select("doc_id", "at", "first_doc_id", "first_at")
-    outer = found.join(edges, "h", "left_semi")
-    whole = outer.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("first_doc_id", "first_at")).alias("f"))
-    outer = outer.select("h", "doc_id", "at").join(F.broadcast(whole.where("n > 1")), "h")
-    return inner.union(outer.select("doc_id", "at", "f.first_doc_id", "f.first_at"))
+    whole = found.where("edge").groupBy("h").agg(F.sum("at").alias("n"), F.min(F.struct("first_doc_id", "first_at")).alias("f"))
+    out = found.where("not edge").join(F.broadcast(whole), "h", "left").where("n is null or n > 1")
+    first = [F.coalesce(F.col(f"f.{c}"), F.col(c)).alias(c) for c in ("first_doc_id", "first_at")]
+    return out.select("doc_id", "at", *first)
 
 
 def _joined(least: int):
