@@ -66,3 +66,25 @@ def test_steps_do_not_change_entropies(model):
     column = pa.array(["un deux trois quatre " * 40, None, "the one of them"])
     a, b = model.entropies(column)[0], model.entropies(column, step=7)[0]
     assert np.allclose(a, b)
+
+
+def test_rejects_noise_and_a_language_left_out(spark):
+    """On a table that has long odd texts among those left aside."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    fitted = langid.fit(docs, (queries.fold() != 0) & (F.col("lang") != "de"))
+    rng = np.random.default_rng(3)
+    noise = [(k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), size))) for size in (50, 100, 300) for k in range(20)]
+    assert not any(r.accepted for r in langid.identify(spark.createDataFrame(noise, "doc_id long, text string"), fitted).collect())
+    rows = langid.identify(docs.where((queries.fold() == 0) & (F.length("text") > 300)), fitted).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    odd, known = ([r.accepted for r in rows if (r.lang == "de") == left_out] for left_out in (True, False))
+    assert len(odd) > 100 and np.mean(odd) < 0.05 and np.mean(known) >= 0.998
+
+
+def test_odd_texts_do_not_set_the_limits(spark, model):
+    """One mislabelled text and one of noise, both long, among the texts left aside."""
+    held = spark.read.parquet(f"{SF}/documents.parquet").where(queries.fold() == 0).select("lang", "text")
+    noise = "".join(np.random.default_rng(2).choice(list("qxzjkvwq "), 20_000))
+    odd = spark.createDataFrame([("es", "der und die den das nicht " * 2000), ("fr", noise)], "lang string, text string")
+    clean, mixed = langid.calibrated(model, held), langid.calibrated(model, held.union(odd))
+    assert np.allclose(clean.limits, mixed.limits, rtol=0.02) and np.allclose(clean.spread, mixed.spread, rtol=0.25)
+    assert (mixed.spread < 10).all()

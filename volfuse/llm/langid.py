@@ -121,7 +121,7 @@ class Model(NamedTuple):
     floor: np.ndarray  # of a symbol never met
     temperature: float = 1.0
     limits: np.ndarray | None = None
-    spread: float = 0.0
+    spread: np.ndarray | None = None  # by language: how far chance carries the entropy of a text, times the root of its symbols
 
     def log_probability(self, parts: list[np.ndarray]) -> np.ndarray:
         """For each symbol and language."""
@@ -164,7 +164,7 @@ class Model(NamedTuple):
         low = h[np.arange(len(h)), best]
         share_ = 1 / np.exp(np.clip((low[:, None] - h) * np.sqrt(n)[:, None] * self.temperature, -700, 0)).sum(axis=1)
         some = n > 0
-        accepted = some & (low <= self.limits[best] + self.spread / np.sqrt(np.maximum(1, n)))
+        accepted = some & (low <= self.limits[best] + self.spread[best] / np.sqrt(np.maximum(1, n)))
         names = [self.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
         return names, np.where(some, share_, 0.0), accepted, low
 
@@ -253,8 +253,12 @@ def fit(docs: DataFrame, learn: Column, characters: int = 3_000_000, aside: floa
     return calibrated(model, sample.where(test))
 
 
-def calibrated(model: Model, held: DataFrame) -> Model:
-    """Temperature and limits of rejection from texts left aside: their entropies are gathered, one row a text."""
+def calibrated(model: Model, held: DataFrame, deviations: float = 4.0, enough: int = 20) -> Model:
+    """Temperature and limits of rejection from texts left aside: their entropies are gathered, one row a text.
+
+    Short texts get room for ``deviations`` standard deviations, told by the median so that odd texts don't count;
+    a language with fewer than ``enough`` texts aside gets the room of all languages.
+    """
     box, some = held.sparkSession.sparkContext.broadcast(model), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +271,23 @@ def calibrated(model: Model, held: DataFrame) -> Model:
     table = held.mapInArrow(run, "lang string, h array<double>, n bigint").toArrow().to_pydict()
     place = {name: k for k, name in enumerate(model.languages)}
     rows = [(place[a], h, n) for a, h, n in zip(table["lang"], table["h"], table["n"], strict=True) if a in place and n >= 20]
-    limits = np.full(some, np.inf)
+    limits, spread = np.full(some, np.inf), np.zeros(some)
     if not rows:
-        return model._replace(limits=limits)
+        return model._replace(limits=limits, spread=spread)
     truth, h, n = (np.array(x) for x in zip(*rows, strict=True))
     own = h[np.arange(len(h)), truth]
-    spread = 0.0
-    for k in range(some):
-        mine, other = own[truth == k], h[truth != k, k]
-        if len(mine) and len(other):
-            limits[k] = (np.median(mine) + np.median(other)) / 2
-            spread = max(spread, float((np.abs(mine - np.median(mine)) * np.sqrt(n[truth == k])).max()))
+    # A text that another language fits better may be mislabelled: it says nothing of the limits.
+    sure = h.argmin(axis=1) == truth
+    if sure.any():
+        usual = np.full(some, np.median(own[sure]))
+        for k in np.unique(truth[sure]):
+            usual[k] = np.median(own[sure & (truth == k)])
+        off = np.abs(own - usual[truth]) * np.sqrt(n)
+        for k in range(some):
+            mine, other = sure & (truth == k), h[sure & (truth != k), k]
+            if len(other):
+                limits[k] = (usual[k] + np.median(other)) / 2
+            spread[k] = deviations * 1.4826 * np.median(off[mine if mine.sum() >= enough else sure])
 
     def loss(t: float) -> float:
         z = (own[:, None] - h) * np.sqrt(n)[:, None] * t
