@@ -71,3 +71,16 @@ def test_without_labels(spark):
 def test_no_tokens(field):
     p, _, _, text = field.tag(pa.array(["", None, "1 2"], pa.string()))
     assert len(p) == len(text) == 0
+
+
+def test_scores_mean_the_same_when_the_sample_is_bounded(spark):
+    """A tenth is toxic, half of it without a sign: a text without one is toxic in 1 of 19 cases, however few rows are drawn."""
+    rng = np.random.default_rng(7)
+    words = ["one", "two", "three", "four", "five"]
+    rows = [(k, " ".join([*rng.choice(words, 20), *(["grubby"] if k % 20 == 0 else [])]), int(k % 10 == 0)) for k in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain = spark.createDataFrame([(1, "two three one five"), (2, "one grubby two")], "doc_id long, text string")
+    for toxic_rows, clean_rows in ((600, 10_000), (600, 500), (120, 240)):
+        field = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), table["doc_id"] >= 0, toxic_rows, clean_rows)
+        out = {r.doc_id: r.score for r in toxicity.score(plain, field).collect()}
+        assert 0.03 < out[1] < 0.08 and out[2] > 0.9

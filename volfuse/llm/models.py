@@ -28,14 +28,15 @@ def fit_sparse(
     return out, float(b)
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on a few columns by Newton's method; both classes keep their frequency."""
+def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on a few columns by Newton's method; both classes keep their frequency, or that of their weights."""
     a = np.column_stack([x, np.ones(len(x))])
+    part = np.full(len(y), 1 / len(y)) if weight is None else weight / weight.sum()
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = sigmoid(a @ w)
-        g = a.T @ (p - y) / len(y) + l2 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + l2 * np.eye(len(w))
+        g = a.T @ (part * (p - y)) + l2 * w
+        h = (a * (part * p * (1 - p))[:, None]).T @ a + l2 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-8:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.llm.models import fit_dense, sigmoid
-from volfuse.llm.texts import LOWER, U64, bounded_sample, hash_spans, mix, pieces, text_bytes, words
+from volfuse.llm.texts import LOWER, U64, hash_spans, mix, pieces, share, text_bytes, words
 
 BITS = 18
 LETTER = np.zeros(256, bool)
@@ -149,29 +149,31 @@ def toxic_marks(features: np.ndarray, text: np.ndarray, y: np.ndarray, most_clea
     return np.array(taken, np.int64)
 
 
-def train(features: np.ndarray, begins: np.ndarray, label: np.ndarray, steps: int = 60, rate: float = 0.2, l2: float = 1e-6) -> Field:
-    """Weights and transitions that raise the likelihood of the labels, by Adam steps on all tokens."""
-    size, n = 1 << BITS, len(label)
+def train(
+    features: np.ndarray, begins: np.ndarray, label: np.ndarray, times: np.ndarray, steps: int = 60, rate: float = 0.2, l2: float = 1e-6
+) -> Field:
+    """Weights and transitions that raise the likelihood of the labels, by Adam steps on all tokens; each counts ``times``."""
+    size, n = 1 << BITS, times.sum()
     w, trans = np.zeros(size), np.zeros(6)  # transitions: two to start with, then 00, 01, 10, 11
     m, v = np.zeros(size + 6), np.zeros(size + 6)
     truth = label.astype(float)
     inner = np.flatnonzero(~begins)
-    seen = np.bincount(label[inner - 1] * 2 + label[inner], minlength=4).astype(float)
-    seen_start = np.bincount(label[begins], minlength=2).astype(float)
+    seen = np.bincount(label[inner - 1] * 2 + label[inner], times[inner], 4)
+    seen_start = np.bincount(label[begins], times[begins], 2)
     for t in range(1, steps + 1):
         score = w[features].sum(axis=1)
         start, move = np.exp(trans[:2]), np.exp(trans[2:]).reshape(2, 2)
         ahead, behind = chain(score, begins, start, move)
         p = marginals(ahead, behind)
-        error = (p - truth) / n
+        error = times * (p - truth) / n
         g = np.zeros(size + 6)
         for k in range(features.shape[1]):
             g[:size] += np.bincount(features[:, k], error, size)
         g[:size] += l2 * w
         before, up, after = ahead[inner - 1], np.exp(np.clip(score[inner], -30, 30)), behind[inner]
         joint = np.array([(1 - before) * move[0, 0] * (1 - after), (1 - before) * move[0, 1] * up * after, before * move[1, 0] * (1 - after), before * move[1, 1] * up * after])
-        g[size + 2 :] = ((joint / joint.sum(axis=0)).sum(axis=1) - seen) / n
-        g[size : size + 2] = (np.array([(1 - p[begins]).sum(), p[begins].sum()]) - seen_start) / n
+        g[size + 2 :] = ((joint / joint.sum(axis=0)) @ times[inner] - seen) / n
+        g[size : size + 2] = (np.array([(1 - p[begins]) @ times[begins], p[begins] @ times[begins]]) - seen_start) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= change[:size]
@@ -180,10 +182,16 @@ def train(features: np.ndarray, begins: np.ndarray, label: np.ndarray, steps: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 600, clean_rows: int = 1200) -> Field | None:
-    """A field from labelled rows where ``learn`` holds, a bounded number of either kind."""
+    """A field from labelled rows where ``learn`` holds, a bounded number of either kind.
+
+    Each row drawn stands for as many as its kind has for one drawn, so that a score means the same for tables of any size.
+    """
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("y"))
-    sample = bounded_sample(known.where("y = 1"), "doc_id", toxic_rows).union(bounded_sample(known.where("y = 0"), "doc_id", clean_rows))
-    table = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").toArrow()
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    rate = {k: most / max(most, total.get(k, 0)) for k, most in ((0, clean_rows), (1, toxic_rows))}
+    sample = known.where(share(F.col("doc_id")) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    table = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").toArrow()
     table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = table.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
@@ -198,11 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 600
         return None
     begins = np.ones(len(text), bool)
     begins[1:] = text[1:] != text[:-1]
-    field = train(features, begins, label)
-    # Scores are calibrated on the same documents, by how often each kind occurs among the labels.
+    times = np.where(y == 1, total[1] / drawn[1], total[0] / drawn[0])
+    field = train(features, begins, label, times[text])
+    # Scores are calibrated on the same documents, by how often each kind occurs among all labels.
     p, _, _, text = field.tag(column)
     x = summary(p, text, len(y))
-    slope, shift = fit_dense(x, y.astype(float))
+    slope, shift = fit_dense(x, y.astype(float), weight=times)
     return field._replace(slope=slope, shift=shift)
 
 
