@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volfuse.llm import langid, queries
+from volfuse.llm.texts import share
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,3 +89,40 @@ def test_odd_texts_do_not_set_the_limits(spark, model):
     clean, mixed = langid.calibrated(model, held), langid.calibrated(model, held.union(odd))
     assert np.allclose(clean.limits, mixed.limits, rtol=0.02) and np.allclose(clean.spread, mixed.spread, rtol=0.25)
     assert (mixed.spread < 10).all()
+
+
+def test_all_rows_are_counted(spark):
+    """A language of a few long texts is learned however much there is of the others, and n-grams are counted exactly."""
+    words = ["tak", "nie", "czy", "jest", "dla", "przez", "oraz"]
+    ids = spark.range(10_000, 11_000).where((share(F.col("id"), 7) > 0.9) & (share(F.col("id"), 8) > 0.2)).limit(3).collect()
+    long = [(r.id, " ".join(np.random.default_rng(r.id).choice(words, 150_000)), "pl") for r in ids]
+    other = [(k, "the one of them and this is that " * 3, "en") for k in range(200)]
+    docs = spark.createDataFrame([*long, *other, (20_000, "hei sitten kanssa", "fi"), (20_001, "42", "fi"), (20_002, "1 2", "xx")], "doc_id long, text string, lang string")
+    fitted = langid.fit(docs.repartition(3), F.lit(True))
+    assert fitted.languages == ["en", "fi", "pl"]
+    texts = spark.createDataFrame([(1, "czy to jest dla nie oraz tak przez"), (2, "this is the one"), (3, "hei kanssa")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(texts, fitted).collect()} == {1: "pl", 2: "en", 3: "fi"}
+
+
+def test_counts_are_those_of_all_symbols(spark):
+    import pyarrow as pa
+
+    batches = [pa.record_batch([["en", "de", "en"], ["The then, the", "the", t]], ["lang", "text"]) for t in ("", "a1b then", None)]
+    want = {}
+    for batch in batches:
+        for lang, text in zip(*batch.to_pydict().values(), strict=True):
+            codes, _, age = langid.symbols(pa.array([text], pa.string()))
+            for gram in zip(*(p.tolist() for p in langid.history(codes, age, langid.ORDER)), strict=True):
+                want[lang, *gram] = want.get((lang, *gram), 0) + 1
+    for most in (1 << 19, 2):
+        got = {}
+        for out in langid._counts(iter(batches), most):
+            for *gram, n in zip(*out.to_pydict().values(), strict=True):
+                got[tuple(gram)] = got.get(tuple(gram), 0) + n
+        assert got == want
+
+
+def test_rare_grams_go_first(spark):
+    counts = spark.createDataFrame([("a", n) for n in (1, 1, 2, 3, 4, 9)] + [("b", 1)], "lang string, n long")
+    assert langid._least(counts, 10) == ({"a": 1, "b": 1}, {"a": (2, 1), "b": (1, 0)})
+    assert langid._least(counts, 4)[0] == {"a": 2, "b": 1} and langid._least(counts, 3)[0] == {"a": 4, "b": 1}

@@ -1,8 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Letters are lower-cased, everything else is a word bound; a model of order n predicts every letter of a word,
-and its end, from the n - 1 symbols before, which reach back to the beginning of the word. Counts of n-grams
-come from a sample of the labelled rows whose characters are bounded. All orders are read from the highest
+and its end, from the n - 1 symbols before, which reach back to the beginning of the word. All labelled rows but
+the texts left aside are counted, whatever their size; of more n-grams than a model may have, those go that
+occur less often than a power of two. All orders are read from the highest
 one's counts, with a discount for each. An n-gram's probabilities in all languages lie in one row of a table
 whose 64-bit keys are sorted and indexed by their leading bits; n-grams not in it back off order by order.
 
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volfuse.llm.texts import U64, mix, per_text, pieces, share, text_bytes
+from volfuse.llm.staging import stage
+from volfuse.llm.texts import U64, mix, per_text, pieces, ragged, share, text_bytes
 
 ORDER = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
@@ -169,23 +171,54 @@ class Model(NamedTuple):
         return names, np.where(some, share_, 0.0), accepted, low
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the highest order's n-grams by language."""
+def _added(keys: np.ndarray, rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    own, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    return own, rows[first], np.bincount(same, count, len(own)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Counts of the highest order's n-grams by language, added up in memory as long as ``most`` kinds hold them."""
+    names: dict[str, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        _, gram, count = held[0]
+        columns = [pa.array(np.array(list(names), object)[gram[:, 0]], pa.string()), *(pa.array(gram[:, j + 1], pa.int32()) for j in range(ORDER)), pa.array(count)]
+        return pa.record_batch(columns, ["lang", *(f"c{j}" for j in range(ORDER)), "n"])
+
     for batch in batches:
         for part in pieces(batch):
-            names, lang = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             codes, at, age = symbols(part.column("text"))
-            owner = np.repeat(lang, np.diff(at))
-            table = np.column_stack([owner, *history(codes, age, ORDER)]).astype(np.int64)
-            if not len(table):
+            if not len(codes):
                 continue
-            gram, count = np.unique(table, axis=0, return_counts=True)
-            columns = [pa.array(names[gram[:, 0]]), *(pa.array(gram[:, j + 1], pa.int32()) for j in range(ORDER)), pa.array(count)]
-            yield pa.record_batch(columns, ["lang", *(f"c{j}" for j in range(ORDER)), "n"])
-
-
-def kneser_ney(languages: list[str], owner: np.ndarray, grams: np.ndarray, count: np.ndarray) -> Model:
-    """Models from the counts of highest-order n-grams; ``grams`` has the symbol first, then the ones before it."""
+            lang = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()])
+            # Every different word is cut into n-grams once.
+            start = np.flatnonzero(age == 0)
+            own = lang[np.searchsorted(at, start, "right") - 1]
+            size = np.diff(np.append(start, len(codes)))
+            hashes = np.add.reduceat(key([codes, age]), start)
+            _, one, times = np.unique(key([own, hashes]), return_index=True, return_counts=True)
+            take, size = ragged(start[one], size[one]), size[one]
+            table = [np.repeat(own[one], size), *history(codes[take], age[take], ORDER)]
+            held.append(_added(key(table), np.column_stack(table).astype(np.int32), np.repeat(times, size)))
+            if sum(len(x[0]) for x in held[1:]) > most:
+                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > most:
+                    yield rows()
+                    held = []
+    if held:
+        held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+        yield rows()
+
+
+def kneser_ney(
+    languages: list[str], owner: np.ndarray, grams: np.ndarray, count: np.ndarray, singles: np.ndarray | None = None, pairs: np.ndarray | None = None
+) -> Model:
+    """Models from the counts of highest-order n-grams; ``grams`` has the symbol first, then the ones before it.
+
+    ``singles`` and ``pairs`` are the numbers of n-grams that occur once and twice, by language, if ``grams`` lacks rare ones.
+    """
     order, some = grams.shape[1], len(languages)
     levels = []
     own, now, value = owner, grams, count.astype(float)
@@ -208,6 +241,8 @@ def kneser_ney(languages: list[str], owner: np.ndarray, grams: np.ndarray, count
         np.add.at(total, ctx_row, seen)
         np.add.at(kinds, ctx_row, (seen > 0).astype(float))
         once, twice = (seen == 1).sum(axis=0), (seen == 2).sum(axis=0)
+        if n == order and singles is not None:
+            once, twice = singles, pairs
         discount = np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.9)
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(total > 0, discount * kinds / total, 1.0)
@@ -230,27 +265,42 @@ def kneser_ney(languages: list[str], owner: np.ndarray, grams: np.ndarray, count
     return model
 
 
-def fit(docs: DataFrame, learn: Column, characters: int = 3_000_000, aside: float = 0.2) -> Model | None:
-    """A model from rows where ``learn`` holds, of about ``characters`` in all at most; ``aside`` of them calibrate."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+def fit(docs: DataFrame, learn: Column, kinds: int = 400_000, texts: int = 20_000, aside: float = 0.2) -> Model | None:
+    """A model from all rows where ``learn`` holds, but those that calibrate it: of each language the share ``aside``,
+    about ``texts`` in all at most, and never its last text. Beyond ``kinds`` n-grams, the rarest of a language go."""
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
-    if not any(sizes.values()):
-        return None
-    each = characters / len(sizes)
-    rates = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / max(1, v))))))
-    sample = known.where(share(F.col("doc_id"), 7) < rates[F.col("lang")])
-    test = share(F.col("doc_id"), 8) < aside
-    names = ", ".join(f"c{j} int" for j in range(ORDER))
-    counts = sample.where(~test).mapInArrow(_counts, f"lang string, {names}, n bigint")
-    table = counts.groupBy("lang", *(f"c{j}" for j in range(ORDER))).agg(F.sum("n").alias("n")).toArrow()
-    if not table.num_rows:
+    known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("place", share(F.col("doc_id"), 8))
+    sizes = {r[0]: r[1:] for r in known.groupBy("lang").agg(F.count("*"), F.max("place")).collect()}
+    if not sizes:
         return None
+    each = {k: min(aside, texts / len(sizes) / n, last) for k, (n, last) in sizes.items()}
+    test = F.col("place") < F.create_map(*(x for k, v in each.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("lang")]
+    names = [f"c{j}" for j in range(ORDER)]
+    counts = known.where(~test).select("lang", "text").mapInArrow(_counts, f"lang string, {' int, '.join(names)} int, n bigint")
+    counts = stage(counts.groupBy("lang", *names).agg(F.sum("n").alias("n")), "grams")
+    least, rare = _least(counts, kinds // len(sizes))
+    table = counts.where(F.col("n") >= F.create_map(*(x for k, v in least.items() for x in (F.lit(k), F.lit(v))))[F.col("lang")]).toArrow()
     languages, owner = np.unique(table.column("lang").to_numpy().astype(str), return_inverse=True)
-    grams = np.column_stack([table.column(f"c{j}").to_numpy() for j in range(ORDER)]).astype(np.int64)
+    grams = np.column_stack([table.column(c).to_numpy() for c in names]).astype(np.int64)
     by = np.lexsort((*grams.T, owner))
-    model = kneser_ney(languages.tolist(), owner[by], grams[by], table.column("n").to_numpy()[by])
-    return calibrated(model, sample.where(test))
+    once, twice = np.array([rare[k] for k in languages.tolist()]).T
+    model = kneser_ney(languages.tolist(), owner[by], grams[by], table.column("n").to_numpy()[by], once, twice)
+    return calibrated(model, known.where(test))
+
+
+def _least(counts: DataFrame, most: int) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
+    """By language: the lowest power of two that at most ``most`` n-grams reach, and how many occur once and twice."""
+    level = F.floor(F.log2(F.col("n") + F.lit(0.5))).alias("level")
+    of = {}
+    for r in counts.groupBy("lang", level).agg(F.count("*"), *(F.count_if(F.col("n") == k) for k in (1, 2))).collect():
+        of.setdefault(r[0], []).append(r[1:])
+    least, rare = {}, {k: (sum(x[2] for x in v), sum(x[3] for x in v)) for k, v in of.items()}
+    for k, v in of.items():
+        levels = sorted(v, reverse=True)
+        total = np.cumsum([x[1] for x in levels])
+        least[k] = 1 << levels[max(0, int((total <= most).sum()) - 1)][0]
+    return least, rare
 
 
 def calibrated(model: Model, held: DataFrame, deviations: float = 4.0, enough: int = 20) -> Model:
