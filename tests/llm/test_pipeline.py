@@ -67,6 +67,16 @@ def test_packed_ids(stages):
     assert got == want and result.columns == [f.split()[0] for f in packing.SCHEMA.split(", ")]
 
 
+def test_run_writes_between_stages(spark, monkeypatch):
+    """Each stage is given the written table of the one before, not its plan."""
+    given = []
+    steps = [(str(k), lambda s, docs, d: given.append(docs.inputFiles()) or docs.limit(9)) for k in range(3)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", steps)
+    assert corpus_pipeline.run(spark, SF).count() == 9
+    assert not any("/volfuse-llm/" in f for f in given[0]) and len(given) == 3
+    assert all(files and all("/volfuse-llm/documents-" in f for f in files) for files in given[1:])
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).select("doc_id", "start").count() >= stages[-1][0].count()
 
