@@ -5,6 +5,7 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import functions as F
@@ -77,3 +78,13 @@ def test_bounded_sample_is_fixed(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"))
     a = {r.doc_id for r in bounded_sample(df, "doc_id", 500).collect()}
     assert 400 < len(a) < 600 and a == {r.doc_id for r in bounded_sample(df.repartition(3), "doc_id", 500).collect()}
+
+
+def test_all_of_3000_labelled_rows_are_used(spark, monkeypatch):
+    used, fit_dense = [], quality.fit_dense
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id") % 2).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "fit_sparse", lambda row, feature, value, y, size: used.append(len(y)) or (np.zeros(size), 0.0))
+    monkeypatch.setattr(quality, "fit_dense", lambda x, y: used.append(len(y)) or fit_dense(x, y))
+    quality.fit(docs, labels)
+    assert sum(used) == 3000
