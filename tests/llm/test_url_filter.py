@@ -61,3 +61,15 @@ def test_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.de/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge(pages, RULES).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), RULES).collect() == []
+
+
+def test_a_rare_label_is_drawn(spark):
+    """One blocked URL in 2,000, and a sample of 20: both labels are drawn, so there are trees."""
+    rows = [(k, f"http://a{k}.org/fr/page") for k in range(3998)] + [(k, f"http://b{k}.net/x") for k in (5000, 5001)]
+    pages = spark.createDataFrame([*rows, (6000, "http://c.com/de")], "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge(pages, RARE, rows=20, trees=2).collect()}
+    assert out[6000].score != 0.0 and out[6000].rule is None
+    assert out[5000].score > out[3].score
+
+
+RARE = [("block", "net/"), ("allow", "org/fr/")]

@@ -114,15 +114,18 @@ def judge(pages: DataFrame, rules: list[Rule], rows: int = 10_000, trees: int =
 
 
 def fit(full: DataFrame, rows: int, trees: int, depth: int) -> PipelineModel | None:
-    """Boosted trees from about ``rows`` of the URLs that a rule decides at most."""
+    """Boosted trees from about ``rows`` of the URLs that a rule decides at most: of the rarer label up to a half of them,
+    of the other one the rest. Each counts for as many as its label has for one drawn."""
     known = full.where("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(count) < 2:
         return None
-    some = known.where(share(F.coalesce(F.col("page_id").cast("string"), "url"), 3) < rows / max(rows, sum(count.values())))
+    rare, other = sorted(count, key=count.get)
+    drawn = {rare: min(count[rare], max(rows // 2, rows - count[other]))}
+    drawn[other] = min(count[other], rows - drawn[rare])
+    rate = F.when(F.col("label") == rare, drawn[rare] / count[rare]).otherwise(drawn[other] / count[other])
+    some = known.withColumn("weight", 1 / rate).where(share(F.coalesce(F.col("page_id").cast("string"), "url"), 3) < rate)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = stage(some.select("label", *FEATURES), "urls")
-    if sample.agg(F.countDistinct("label")).first()[0] < 2:
-        return None
-    boosted: GBTClassificationModel = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1).fit(assembler.transform(sample))
+    sample = stage(some.select("label", "weight", *FEATURES), "urls")
+    boosted: GBTClassificationModel = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, weightCol="weight").fit(assembler.transform(sample))
     return PipelineModel([assembler, boosted])
