@@ -1,0 +1,126 @@
+"""Merkle manifests against a tree built row by row."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from volfuse.llm import merkle, queries
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, tree int, place string, `a.b` int"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row, text):
+    fields = [row[0], row[1], row[2], row[3], text]
+    return h(*["-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields])
+
+
+def climb(nodes):
+    """Root, and for every node what stands beside it level by level."""
+    sides, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[k : k + 16] for k in range(0, len(nodes), 16)]
+        for i, place in enumerate(at):
+            run, j = runs[place // 16], place % 16
+            sides[i].append(("".join(run[:j]), "".join(run[j + 1 :])))
+            at[i] = place // 16
+        nodes = [h(*run) for run in runs]
+    return nodes[0], sides
+
+
+def brute(rows):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    trees = {}
+    for row in rows:
+        trees.setdefault(row[1], []).append(row)
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    found = []
+    for name in names:
+        own = sorted(trees[name], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4])))
+        found.append((own, *climb([leaf(r, r[4]) for r in own])))
+    root, over = climb([f[1] for f in found])
+    out = []
+    for (own, sub, sides), above in zip(found, over, strict=True):
+        for row, side in zip(own, sides, strict=True):
+            tampered = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0 and row[4] is not None
+            node, path = leaf(row, row[4].translate(lower) if tampered else row[4]), side + above
+            for a, b in path:
+                node = h(a, node, b)
+            out.append((row[0], leaf(row, row[4]), sub, root, h(*[a + b for a, b in path]), node, node == root))
+    return out
+
+
+def got(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    return [tuple(r) for r in merkle.manifest(docs, queries.fold() == 0).collect()]
+
+
+def same(a, b):
+    assert sorted(a, key=repr) == sorted(b, key=repr)
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 256, 257, 4097])
+def test_sizes(spark, n):
+    rows = [(i * 3, "s", "en", i, f"Text {i}") for i in range(n)]
+    same(got(spark, rows), brute(rows))
+
+
+def test_many_sources(spark):
+    names = [None, "", "é", "z", "Z", "\U0001f600", "￿", *(f"s{i}" for i in range(270))]
+    rows = [(i, names[i % len(names)], None, None, f"Row {i}") for i in range(600)]
+    same(got(spark, rows), brute(rows))
+
+
+def test_far_apart_ids(spark):
+    rng = np.random.default_rng(1)
+    ids = [-(2**63), 2**63 - 1, 0, -1, 1023, 1024, *map(int, rng.integers(-(2**63), 2**63 - 1, 400)), *range(5000, 5300)]
+    rows = [(i, "ab"[k % 2], "en", 1, f"T{k}") for k, i in enumerate(ids)]
+    same(got(spark, rows), brute(rows))
+
+
+def test_nulls_ties_and_repeats(spark):
+    rows = [(None, "s", None, None, None), (None, "s", "en", 1, "A"), (None, None, None, None, None)]
+    rows += [(7, "s", "en", 1, f"Same id {i % 5}") for i in range(40)] + [(8, "s", "en", 1, "")] * 20 + [(i, "s", "de", 2, None) for i in range(300)]
+    same(got(spark, rows), brute(rows))
+
+
+def test_empty_table(spark):
+    out = merkle.manifest(spark.createDataFrame([], SCHEMA), F.lit(True))
+    assert out.collect() == []
+    assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def test_bitmaps_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 700, 1024):
+        bits = np.sort(rng.choice(1024, n, replace=False))
+        for extra in (np.zeros(n, np.int64), rng.integers(0, 3, n)):
+            a, b = merkle.unpacked(merkle.packed(bits, extra))
+            assert a.tolist() == bits.tolist() and b.tolist() == extra.tolist()
+    dense = merkle.packed(np.arange(1024), np.zeros(1024, np.int64))
+    assert len(dense) == 129 and len(merkle.packed(np.arange(3), np.zeros(3, np.int64))) == 7
+
+
+def test_ranks_are_not_sorted(spark):
+    """Places come from bitmaps; the plan of the leaves has neither a sort by id nor a window over rows."""
+    docs = spark.createDataFrame([(i, "s", "en", 1, "x", 1, "x", 2) for i in range(100)], SCHEMA)
+    rows = merkle.leaves(docs, F.lit(False))
+    plan = merkle.bitmaps(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "doc_id#" not in plan.split("Sort")[-1].split("\n")[0]
+    places = {r.doc_id: r.place for r in merkle.placed(rows).collect()}
+    assert places == {i: i for i in range(100)}
+
+
+def test_hot_source_is_split(spark):
+    """A source with all rows is reduced in groups of 256 at most."""
+    rows = [(i, "s", "en", 1, f"x{i}") for i in range(3000)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    groups = merkle.blocks(merkle.placed(merkle.leaves(docs, F.lit(False))), "doc_id", "changed")
+    sizes = [len(r.members) for r in groups.collect()]
+    assert max(sizes) == 256 and sum(sizes) == 3000 and len(sizes) == 12

