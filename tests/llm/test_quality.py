@@ -84,7 +84,54 @@ def test_all_of_3000_labelled_rows_are_used(spark, monkeypatch):
     used, fit_dense = [], quality.fit_dense
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id") % 2).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
-    monkeypatch.setattr(quality, "fit_sparse", lambda row, feature, value, y, size: used.append(len(y)) or (np.zeros(size), 0.0))
-    monkeypatch.setattr(quality, "fit_dense", lambda x, y: used.append(len(y)) or fit_dense(x, y))
+    monkeypatch.setattr(quality, "fit_sparse", lambda bounds, feature, value, y, size: used.append(len(y)) or (np.zeros(size), 0.0))
+    monkeypatch.setattr(quality, "fit_dense", lambda x, y, weight: used.append(len(y)) or fit_dense(x, y, weight=weight))
     quality.fit(docs, labels)
     assert sum(used) == 3000
+
+
+def test_a_rare_label_is_learned(spark):
+    """Three bad rows in 20,000: the sample holds them all, whatever the bound."""
+    word = F.when(F.col("id") % 7000 == 5, "junk ").otherwise("good ")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(word, 60).alias("text"))
+    labels = docs.select("doc_id", (~F.col("text").startswith("junk")).cast("int").alias("quality"))
+    sample, stands_for = quality.both_labels(labels.withColumnRenamed("quality", "y"), 400)
+    counts = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    assert counts[0] == 3 and 330 < counts[1] < 470 and stands_for[0] == 1.0 and abs(stands_for[1] - 19997 / 397) < 1e-9
+    model = quality.fit(docs, labels, 400, held=0.0)
+    few = docs.where("doc_id % 1000 = 5")
+    got = {r.doc_id: r.score for r in quality.score(few, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 7000 != 5) for i in got)
+
+
+def test_scores_mean_the_same_at_every_size(spark):
+    """The share of good rows stays in the scores when the sample holds either label half and half."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words " * 20).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
+    for rows in (400, 4000):
+        score = quality.score(docs.limit(1), quality.fit(docs, labels, rows)).first().score
+        assert abs(score - 0.9) < 0.06
+
+
+def test_sparse_rows_equal_dense_ones(monkeypatch):
+    from volfuse.llm import models
+
+    rng = np.random.default_rng(1)
+    x = rng.random((40, 9)) * (rng.random((40, 9)) < 0.4)
+    x[7] = 0
+    y = (x[:, 2] > 0).astype(float)
+    bounds = np.concatenate([[0], np.cumsum((x > 0).sum(axis=1))])
+    feature, value = np.nonzero(x)[1].astype(np.int32), x[x > 0].astype(np.float32)
+    whole = models.fit_sparse(bounds, feature, value, y, 9)
+    monkeypatch.setattr(models, "ENTRIES", 5)
+    parts = models.fit_sparse(bounds, feature, value, y, 9)
+    np.testing.assert_allclose(whole[0], parts[0], atol=1e-9)
+    np.testing.assert_allclose(models.margins(bounds, feature, value, whole[0]), x.astype(np.float32) @ whole[0], atol=1e-6)
+    assert (((x @ whole[0] + whole[1]) > 0) == (y > 0)).mean() > 0.9
+
+
+def test_shares_have_fine_steps(spark):
+    from volfuse.llm.texts import share
+
+    low = spark.range(3_000_000).where(share(F.col("id")) < 1e-6).count()
+    assert low < 20 and spark.range(200_000).select(share(F.col("id")).alias("s")).distinct().count() == 200_000

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volfuse.llm.models import fit_dense, fit_sparse, sigmoid
-from volfuse.llm.texts import SPACE, U64, bounded_sample, hash_spans, mix, per_text, pieces, text_bytes, windows, words
+from volfuse.llm.models import fit_dense, fit_sparse, margins, sigmoid
+from volfuse.llm.texts import SPACE, U64, hash_spans, mix, per_text, pieces, share, text_bytes, windows, words
 
 #: Symbols that count as junk; fixed by the rule.
 SYMBOLS = "#*$%&|<>"
@@ -123,32 +123,47 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), part.column("y"), *lists], ["doc_id", "y", "feature", "share"])
 
 
+def both_labels(known: DataFrame, rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """About ``rows`` labelled rows at most, of either label half or all that there are, and how many rows of its
+    label each of them stands for."""
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    bad, good = total.get(0, 0), total.get(1, 0)
+    quota = {1: min(good, max(rows // 2, rows - bad))}
+    quota[0] = min(bad, rows - quota[1])
+    rate = {k: quota[k] / max(1, total.get(k, 0)) for k in (0, 1)}
+    sample = known.where(share(F.col("doc_id")) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    return sample, {k: 1 / r if r else 1.0 for k, r in rate.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, held: float = 0.25) -> Model | None:
-    """A model from about ``rows`` labelled documents at most, ``held`` of them for the calibration."""
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
-    sample = bounded_sample(known, "doc_id", rows)
-    joined = docs.select("doc_id", "text").join(sample, "doc_id")
-    table = joined.mapInArrow(_features, "doc_id bigint, y int, feature array<int>, share array<float>").toArrow()
+    """A model from about ``rows`` labelled documents at most, ``held`` of them for the calibration.
+
+    Either label gives half of the rows if it has as many. In the calibration each row stands for as many as its label
+    has for one drawn, so that a score means the same for tables of any size.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
+    sample, stands_for = both_labels(known, rows)
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    found = joined.mapInArrow(_features, "doc_id bigint, y int, feature array<int>, share array<float>")
+    found = found.withColumn("aside", share(F.col("doc_id"), 5) < held).orderBy("aside", "doc_id", "y")
+    table = found.select("aside", "y", "feature", "share").toArrow()
     if not table.num_rows:
         return None
-    table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    y = table.column("y").to_numpy().astype(float)
+    y, aside = table.column("y").to_numpy().astype(float), table.column("aside").to_numpy().astype(bool)
     if y.min() == y.max():
         return None
-    lists = table.column("feature").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(y)), size)
-    feature = lists.flatten().to_numpy()
-    value = table.column("share").combine_chunks().flatten().to_numpy().astype(float)
-    aside = mix(table.column("doc_id").to_numpy().astype(U64)) % U64(1000) < U64(int(1000 * held))
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside = np.zeros(len(y), bool)
-    use = ~aside[row]
-    number = np.cumsum(~aside) - 1
-    weights, intercept = fit_sparse(number[row[use]], feature[use], value[use], y[~aside], SIZE)
-    z = np.bincount(row, value * weights[feature], len(y)) + intercept
-    check = aside if aside.any() else ~aside
-    slope, shift = fit_dense(z[check][:, None], y[check])
+    size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table.column("feature").chunks])
+    bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    feature, value = (np.concatenate([c.flatten().to_numpy() for c in table.column(n).chunks]) for n in ("feature", "share"))
+    del table
+    learn = int((~aside).sum())
+    if len(set(y[:learn])) < 2 or len(set(y[learn:])) < 2:
+        learn = len(y)
+    weights, intercept = fit_sparse(bounds[: learn + 1], feature, value, y[:learn], SIZE)
+    z = margins(bounds, feature, value, weights) + intercept
+    check = slice(learn, None) if learn < len(y) else slice(None)
+    times = np.where(y > 0, stands_for[1], stands_for[0])
+    slope, shift = fit_dense(z[check][:, None], y[check], weight=times[check])
     return Model(weights.astype(np.float32), intercept, float(slope[0]), shift)
 
 

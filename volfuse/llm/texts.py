@@ -190,8 +190,9 @@ def bounded_sample(df: DataFrame, key: str, rows: int, salt: int = 0) -> DataFra
 
 
 def share(key: Column, salt: int = 0) -> Column:
-    """A number from 0 to 1 that depends on ``key`` alone."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    """A number from 0 to 1, in steps of 2**-52, that depends on ``key`` alone."""
+    h = F.xxhash64(key.cast("string"), F.lit(salt))
+    return F.pmod(h, F.lit(1 << 20)) / float(1 << 20) + F.pmod(F.shiftright(h, 20), F.lit(1 << 32)) / float(1 << 52)
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
