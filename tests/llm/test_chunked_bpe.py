@@ -108,7 +108,7 @@ def test_long_texts_in_parts(monkeypatch, coder):
     for text in ("ab cd 'll\n" * 300, "é" * 2000, "x " * 50 + "y" * 500):
         ids = coder.encode_long(np.frombuffer(text.encode(), np.uint8))
         assert ids.tolist() == library(coder, text)
-        assert coder.decode(ids).tobytes().decode() == text
+        assert coder.vocabulary.decode(ids).tobytes().decode() == text
 
 
 def test_colliding_hashes_stay_apart(monkeypatch, coder):

@@ -95,7 +95,7 @@ def same_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray
 
 
 class Memory:
-    """Runs of ids by bytes, in one array; beyond ``most`` bytes of keys and ids it starts anew."""
+    """Runs of ids by bytes, in one array; beyond ``most`` bytes, some 120 for each key included, it starts anew."""
 
     def __init__(self, most: int):
         self.most = most
@@ -121,21 +121,17 @@ class Memory:
                 self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.held += sum(map(len, new)) + 4 * len(ids)
+            self.held += sum(map(len, new)) + 4 * len(ids) + 120 * len(new)
         row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
         return self.start[row], self.length[row]
 
 
-class ChunkedBpe:
-    """A tokenizer, its chunks and its pre-tokens."""
-
-    def __init__(self, path: str, most: int = 32 << 20):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class Vocabulary:
+    """The bytes of every id."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        letters, added = byte_letters(), {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        names = self.tokenizer.get_vocab(with_added_tokens=False)
+    def __init__(self, tokenizer):
+        letters, added = byte_letters(), {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+        names = tokenizer.get_vocab(with_added_tokens=False)
         tokens = [b""] * (1 + max([*names.values(), *added]))
         for token, i in names.items():
             tokens[i] = bytes(letters[c] for c in token)
@@ -145,8 +141,20 @@ class ChunkedBpe:
         self.place = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.specials = [t.encode() for t in added.values()]
-        self.feed = names[next(c for c, b in letters.items() if b == 0x0A)]
-        self.words, self.chunks = Memory(most // 2), Memory(most)
+        self.feed = tokens.index(b"\n")
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[ragged(self.place[ids], self.size[ids])]
+
+
+class ChunkedBpe:
+    """A tokenizer, its chunks and its pre-tokens."""
+
+    def __init__(self, path: str, most: int = 24 << 20):
+        self.tokenizer = load(path)
+        self.vocabulary = Vocabulary(self.tokenizer)
+        self.size = self.vocabulary.size
+        self.words, self.chunks = Memory(most), Memory(most)
         self.met_chunks = self.fresh_chunks = 0
 
     def library(self, text: str) -> np.ndarray:
@@ -161,7 +169,7 @@ class ChunkedBpe:
         for k in range(0, len(plain), 256):
             own = plain[k : k + 256]
             ids = self.library("\n".join([texts[i] for i in own]))
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            ends = np.append(np.flatnonzero(ids == self.vocabulary.feed), len(ids))
             if len(ends) != len(own):
                 rest += own
                 continue
@@ -197,7 +205,7 @@ class ChunkedBpe:
         length = length[row]
         ids = self.words.ids[ragged(begin[row], length)]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(text, length, len(at) - 1).astype(np.int64))])
-        special = {int(np.searchsorted(at, p, "right")) - 1 for s in self.specials for p in occurrences(data, s)}
+        special = {int(np.searchsorted(at, p, "right")) - 1 for s in self.vocabulary.specials for p in occurrences(data, s)}
         if special:
             parts = np.split(ids, bounds[1:-1])
             for k in special:
@@ -273,9 +281,6 @@ class ChunkedBpe:
         parts = [self.encode(raw[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return np.concatenate([np.zeros(0, np.int32), *parts])
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        return self.bytes[ragged(self.place[ids], self.size[ids])]
-
 
 def merged(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Overlapping ranges as one; a range's bounds are those of its text."""
@@ -294,16 +299,28 @@ def occurrences(data: bytes, part: bytes) -> Iterator[int]:
         at = data.find(part, at + 1)
 
 
+def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkedBpe:
+def encoder(path: str) -> ChunkedBpe:
     return ChunkedBpe(path)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(load(path))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and its ids, an array of integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        coder = encoder(path)
         for batch in batches:
             for part in pieces(batch):
                 raw, at = text_bytes(part.column("text"))
@@ -322,7 +339,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded``, the text of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        coder = vocabulary(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
