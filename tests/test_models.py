@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegressionModel

@@ -1,8 +1,8 @@
 """Technical indicators and the volatility label, on gap-free bars.
 
 Each indicator is a few column expressions over a panel. They come in three layers (neighbouring
-rows, scans, scans of scans), and everything in one layer shares one window operator, so the whole
-feature table costs one shuffle, one sort and three window passes.
+rows, scans, scans of scans), and everything in one layer shares one window operator. Scans are continued
+from block to block by one summary row per block; the rows of the first two layers are written once.
 """
 
 from __future__ import annotations
@@ -10,18 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volfuse.operators.series import (
-    HOURLY,
-    Panel,
-    Series,
-    decay_halo,
-    decay_rows,
-    decayed_scan,
-    decayed_sum,
-    ema,
-    ffill,
-    to_panel,
-)
+from volfuse.operators.series import HOURLY, Panel, Scan, Series, carry_over, scan_blocks, to_panel
 from volfuse.session import stage
 
 
@@ -35,11 +24,7 @@ def _full(value: Column, counted: str, frame, n: int) -> Column:
 
 
 def _neighbours(panel: Panel, col: str = "close") -> dict[str, Column]:
-    return {
-        "_rn": F.row_number().over(panel.window),
-        "_seen": F.count(col).over(panel.so_far),
-        "_prev": F.lag(col).over(panel.window),
-    }
+    return {"_prev": F.lag(col).over(panel.window)}
 
 
 def _return(kind: str, col: str) -> Column:
@@ -69,40 +54,38 @@ def _moves(col: str) -> dict[str, Column]:
     return {"_gain": F.when(change > 0, change).otherwise(0.0), "_loss": F.when(change < 0, -change).otherwise(0.0)}
 
 
-def _rsi_scans(panel: Panel, n: int) -> dict[str, Column]:
-    rn, alpha = F.col("_rn"), 1.0 / n
-    return {"_up": ema(panel, F.col("_gain"), rn, alpha), "_dn": ema(panel, F.col("_loss"), rn, alpha)}
+def _rsi_scans(n: int) -> list[Scan]:
+    return [Scan("_up", "_gain", 1.0 / n), Scan("_dn", "_loss", 1.0 / n)]
 
 
-def _rsi(n: int) -> dict[str, Column]:
-    """The index on rows with a move, and whether enough rows came before. A step without a move shrinks both
-    averages alike, so it leaves the index as it was however long ago the last move is: see ``_carry_rsi``."""
+def _index() -> Column:
+    """The index on rows with a move. A step without a move shrinks both averages alike and leaves it as it was."""
     strength = F.try_divide("_up", "_dn")
     index = F.coalesce(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength), F.lit(100.0))
-    return {"rsi": F.when(F.col("_gain") + F.col("_loss") > 0, index), "_ready": F.col("_rn") >= n}
+    return F.when(F.col("_gain") + F.col("_loss") > 0, index)
 
 
-def _carry_rsi(df: DataFrame, spec: Series) -> DataFrame:
-    """The index of the last move; 100 where nothing was lost because nothing ever moved.
+def _rsi(n: int) -> Column:
+    """The index of the last move; 100 where nothing was lost because nothing ever moved."""
+    return F.when(F.col("_n__gain") >= n, F.coalesce("rsi", F.lit(100.0)))
 
-    Carrying forward reads the rows twice, so they are written once.
-    """
-    carried = ffill(stage(df, "moves"), ["rsi"], spec)
-    return carried.withColumn("rsi", F.when(F.col("_ready"), F.coalesce("rsi", F.lit(100.0)))).drop("_ready")
 
+def _macd_scans(fast: int, slow: int, col: str) -> list[Scan]:
+    return [Scan("_fast", col, _span(fast)), Scan("_slow", col, _span(slow))]
 
-def _macd_scans(panel: Panel, fast: int, slow: int, col: str) -> dict[str, Column]:
-    seen = F.col("_seen")
-    return {"_fast": ema(panel, F.col(col), seen, _span(fast)), "_slow": ema(panel, F.col(col), seen, _span(slow))}
 
+def _macd(slow: int, col: str) -> Column:
+    return F.when(F.col(f"_n_{col}") >= slow, F.col("_fast") - F.col("_slow"))
 
-def _macd(slow: int) -> Column:
-    return F.when(F.col("_seen") >= slow, F.col("_fast") - F.col("_slow"))
 
+def _signal(slow: int, signal: int, col: str) -> Column:
+    return F.when(F.col(f"_n_{col}") >= slow + signal - 1, F.col("macd_signal"))
 
-def _signal(panel: Panel, slow: int, signal: int) -> Column:
-    scan = ema(panel, F.col("macd"), F.col("_seen"), _span(signal), start=slow)
-    return F.when(F.col("_seen") >= slow + signal - 1, scan)
+
+def _scanned(panel: Panel, scans: list[Scan], **more: Column) -> Panel:
+    """The scans of the panel's own rows, from the first row of the series on; the rows are written once."""
+    inner = scan_blocks(panel, scans).add(**more)
+    return inner.over(carry_over(inner.over(stage(inner.placed(), "scans")), scans))
 
 
 def _true_range() -> Column:
@@ -110,14 +93,6 @@ def _true_range() -> Column:
     return F.greatest(high - low, F.abs(high - previous), F.abs(low - previous))
 
 
-def _atr(panel: Panel, n: int) -> Column:
-    """Wilder scan that starts, at row ``n``, from the plain mean of the first ``n`` ranges: dividing
-    by the decay still to come gives each of them the same share at that row."""
-    rn, keep = F.col("_rn"), 1.0 - 1.0 / n
-    share = F.when(rn <= n, F.pow(F.lit(keep), rn - n)).otherwise(1.0)
-    return F.when(rn >= n, decayed_sum(panel, F.col("_tr") * share / n, 1.0 / n))
-
-
 # --- one indicator at a time ------------------------------------------------------------------
 
 
@@ -125,16 +100,6 @@ def _given(df: DataFrame, out: DataFrame, *added: str) -> DataFrame:
     return out.select(*[c for c in df.columns if c not in added], *added)
 
 
-def _decay_panel(df: DataFrame, spec: Series, alphas: list[float], before: int, after: int = 0) -> Panel:
-    return to_panel(df, spec, before, after, rows=decay_rows(alphas, before, after, spec.rows))
-
-
-def _together(alphas: list[float], before: int, after: int = 0) -> bool:
-    """Whether one block size suits all scans: a fast one allows short blocks only, a slow one needs long ones."""
-    needed = before + after + max(before, after, 1)
-    return decay_rows(alphas, 0, 0, needed) >= needed
-
-
 def returns(df: DataFrame, kind: str = "simple", col: str = "close", out: str = "return", spec: Series = HOURLY):
     """Change against the previous step; null on the first row and after a zero price."""
     panel = to_panel(df, spec, before=1)
@@ -169,42 +134,27 @@ def moving_avg(df: DataFrame, col: str, n: int, out: str, spec: Series = HOURLY)
 
 def rsi(df: DataFrame, n: int = 14, col: str = "close", spec: Series = HOURLY) -> DataFrame:
     """Relative strength from Wilder averages of gains and losses; 100 when nothing was lost."""
-    panel = _decay_panel(df, spec, [1.0 / n], decay_halo(1.0 / n) + n)
-    panel = panel.add(**_neighbours(panel, col)).add(**_moves(col))
-    panel = panel.add(**_rsi_scans(panel, n)).add(**_rsi(n))
-    return _given(df, _carry_rsi(_given(df, panel.home(), "rsi", "_ready"), spec), "rsi")
+    panel = to_panel(df, spec, before=1)
+    panel = _scanned(panel.add(**_neighbours(panel, col)).add(**_moves(col)), _rsi_scans(n)).add(rsi=_index())
+    panel = panel.add(rsi=F.last("rsi", ignorenulls=True).over(panel.so_far))
+    return _given(df, carry_over(panel, [], ["rsi"]).withColumn("rsi", _rsi(n)), "rsi")
 
 
 def macd(
     df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close", spec: Series = HOURLY
 ) -> DataFrame:
     """Difference of two exponential means, and the exponential mean of that difference."""
-    spans = [_span(fast), _span(slow), _span(signal)]
-    before = max(decay_halo(spans[1], spans[2]), decay_halo(spans[0], spans[2])) + slow
-    if not _together(spans, before):
-        return _macd_apart(df, fast, slow, signal, col, spec)
-    panel = _decay_panel(df, spec, spans, before)
-    panel = panel.add(**_neighbours(panel, col))
-    panel = panel.add(**_macd_scans(panel, fast, slow, col)).add(macd=_macd(slow))
-    return _given(df, panel.add(macd_signal=_signal(panel, slow, signal)).home(), "macd", "macd_signal")
-
-
-def _macd_apart(df: DataFrame, fast: int, slow: int, signal: int, col: str, spec: Series) -> DataFrame:
-    """The same with blocks of its own for every scan, for spans that are far apart."""
-    panel = to_panel(df, spec, before=slow + signal)
-    out = panel.add(_inputs=F.count(col).over(panel.so_far)).home()
-    out = decayed_scan(decayed_scan(out, col, _span(fast), "_fast", spec), col, _span(slow), "_slow", spec)
-    difference = F.when(F.col("_inputs") >= slow, F.col("_fast") - F.col("_slow"))
-    out = decayed_scan(out.withColumn("macd", difference), "macd", _span(signal), "macd_signal", spec)
-    full = F.when(F.col("_inputs") >= slow + signal - 1, F.col("macd_signal"))
-    return _given(df, out.withColumn("macd_signal", full), "macd", "macd_signal")
+    panel = _scanned(to_panel(df, spec), _macd_scans(fast, slow, col)).add(macd=_macd(slow, col))
+    over = [Scan("macd_signal", "macd", _span(signal))]
+    out = carry_over(scan_blocks(panel, over), over).withColumn("macd_signal", _signal(slow, signal, col))
+    return _given(df, out, "macd", "macd_signal")
 
 
 def atr(df: DataFrame, n: int = 14, spec: Series = HOURLY) -> DataFrame:
     """Wilder average of the true range, started by the mean of the first ``n``."""
-    panel = _decay_panel(df, spec, [1.0 / n], decay_halo(1.0 / n) + n)
+    panel = to_panel(df, spec, before=1)
     panel = panel.add(**_neighbours(panel)).add(_tr=_true_range())
-    return _given(df, panel.add(atr=_atr(panel, n)).home(), "atr")
+    return _given(df, _scanned(panel, [Scan("atr", "_tr", 1.0 / n, head=n)]).home(), "atr")
 
 
 # --- all of them ------------------------------------------------------------------------------
@@ -225,29 +175,16 @@ def indicator_table(
 ) -> DataFrame:
     """Indicators, return and label of gap-free bars; warm-up and tail rows hold nulls."""
     fast, slow, signal = macd_spans
-    alphas = [1.0 / rsi_n, _span(fast), _span(slow), _span(signal), 1.0 / atr_n]
-    before = max(
-        decay_halo(1.0 / rsi_n) + rsi_n,
-        decay_halo(1.0 / atr_n) + atr_n,
-        max(decay_halo(_span(slow), _span(signal)), decay_halo(_span(fast), _span(signal))) + slow,
-        bands[0],
-    )
-    if not _together(alphas, before, label_n):
-        out = macd(atr(rsi(bars, rsi_n, spec=spec), atr_n, spec), *macd_spans, spec=spec)
-        out = returns_and_label(bollinger(out, *bands, spec=spec), kind, label_n, spec)
-        return _given(bars, out, *ADDED)
-    panel = _decay_panel(bars, spec, alphas, before, label_n)
+    panel = to_panel(bars, spec, before=max(1, bands[0] - 1), after=label_n)
     panel = panel.add(**_neighbours(panel), **_bands(panel, *bands, "close"))
     panel = panel.add(**_moves("close"), _tr=_true_range(), **{"return": _return(kind, "close")})
-    panel = panel.add(
-        **_rsi_scans(panel, rsi_n),
-        **_macd_scans(panel, fast, slow, "close"),
-        atr=_atr(panel, atr_n),
-        future_volatility=_label(panel, label_n, "return"),
-    )
-    panel = panel.add(**_rsi(rsi_n), macd=_macd(slow))
-    panel = panel.add(macd_signal=_signal(panel, slow, signal))
-    return _given(bars, _carry_rsi(_given(bars, panel.home(), *ADDED, "_ready"), spec), *ADDED)
+    scans = [*_rsi_scans(rsi_n), *_macd_scans(fast, slow, "close"), Scan("atr", "_tr", 1.0 / atr_n, head=atr_n)]
+    panel = _scanned(panel, scans, future_volatility=_label(panel, label_n, "return"))
+    panel = panel.add(rsi=_index(), macd=_macd(slow, "close"))
+    over = [Scan("macd_signal", "macd", _span(signal))]
+    panel = scan_blocks(panel, over).add(rsi=F.last("rsi", ignorenulls=True).over(panel.so_far))
+    out = carry_over(panel, over, ["rsi"])
+    return _given(bars, out.withColumns({"rsi": _rsi(rsi_n), "macd_signal": _signal(slow, signal, "close")}), *ADDED)
 
 
 def price_features(bars: DataFrame, **settings) -> DataFrame:
