@@ -71,6 +71,38 @@ def test_members_that_no_centre_reaches(spark):
     assert got == brute(rows)
 
 
+def test_signatures_lose_no_link(spark):
+    """Pairs at the limit of similarity pass the bound, pairs far below it don't."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        n = int(rng.integers(3, 400))
+        m = int(rng.integers(n, n + n // 8 + 1))
+        common = int(rng.integers(0 if k % 3 else 3 * n // 4, n + 1))
+        pool = rng.integers(0, 2**64 - 1, n + m - common, dtype=np.uint64)
+        rows.append((k, pool[:n].tobytes(), pool[n - common :].tobytes(), n, m, common))
+    sides = []
+    for column, prefix in ((1, ""), (2, "c_")):
+        sets = spark.createDataFrame([(r[0], r[column]) for r in rows], "id long, elements binary")
+        signs = sets.mapInArrow(minhash._signed, "id bigint, " + ", ".join(f"{s} bigint" for s in minhash.SIGNATURE))
+        sides.append(signs.toDF("id", *[prefix + s for s in minhash.SIGNATURE]))
+    sizes = spark.createDataFrame([(r[0], r[3], r[4]) for r in rows], "id long, n long, c_n long")
+    kept = {r.id for r in sides[0].join(sides[1], "id").join(sizes, "id").where(minhash._may_be_similar(75)).collect()}
+    linked = {r[0] for r in rows if 100 * r[5] >= 75 * (r[3] + r[4] - r[5])}
+    far = {r[0] for r in rows if 100 * r[5] < 50 * (r[3] + r[4] - r[5])}
+    assert linked <= kept and len(linked) > 10 and not far & kept
+
+
+def test_a_large_group_of_near_copies(spark):
+    """1,300 variants of one text, of similarities from 0.25 to 0.99, against all pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    texts = list(variants(rng, base, 1300, 12))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_copies(docs).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_copies(docs).collect()) == [(1, 1, True), (1, 1, True), (2, 2, True)]

@@ -12,8 +12,10 @@ coordinates are candidates; with 32 bands of 4, a pair of similarity 0.75 is mis
 A bucket's members are compared with a centre, not with each other: with the one that meets most others in its
 buckets. Members of buckets that still hold several components get new, exact buckets by their rarest shingles,
 in which members of the smallest components are the centres, 16 times as many each round, until no bucket holds
-members of several components that no centre was compared with. Pairs whose sizes allow the similarity are
-verified on the full sets. The rounds end as each makes centres of some members.
+members of several components that no centre was compared with. The rounds end as each makes centres of some
+members. Pairs leave the join only if their sizes and, in the exact buckets, their signatures allow the similarity:
+an element whose bit the other signature lacks is not in the other set, so the number of such bits bounds what two
+sets share. Hardly any pair without a link is left to be verified on the full sets.
 
 Null texts and texts without words have an empty set and no links. Rows without an id are dropped; rows that
 share an id are one document with the links of all of them, and each gives a row of the result.
@@ -25,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volfuse.llm.components import components
 from volfuse.llm.staging import is_empty, stage
 from volfuse.llm.texts import LOWER, U64, hash_spans, mix, pieces, text_bytes, windows, words
 
+#: Words of a signature of 1,024 bits.
+SIGNATURE = [f"s{k}" for k in range(16)]
 _ROUND, _VALUE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 
 
@@ -127,6 +131,25 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(owner), pa.array(np.frombuffer(raw.tobytes(), np.int64))], ["id", "h"])
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sets as signatures: each element sets the bit that its hash names."""
+    for batch in batches:
+        for part in pieces(batch, "elements"):
+            raw, at = text_bytes(part.column("elements"))
+            h = np.frombuffer(raw.tobytes(), U64)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(at) // 8)
+            bits = np.zeros((part.num_rows, len(SIGNATURE)), U64)
+            np.bitwise_or.at(bits, (owner, (h >> U64(60)).astype(np.int64)), U64(1) << (h >> U64(54) & U64(63)))
+            yield pa.record_batch([part.column("id"), *map(pa.array, bits.view(np.int64).T)], ["id", *SIGNATURE])
+
+
+def _may_be_similar(percent: int) -> Column:
+    """False only for pairs that share too few elements, by their sizes and signatures."""
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{s} & ~{b}{s})" for s in SIGNATURE)
+    shared = F.expr(f"least(n - ({lacks('', 'c_')}), c_n - ({lacks('c_', '')}))")
+    return shared * (100 + percent) >= percent * (F.col("n") + F.col("c_n"))
+
+
 def _similar(percent: int):
     """Batches of pairs with both sets, reduced to those that are similar enough."""
 
@@ -189,12 +212,16 @@ def linked(docs: DataFrame, heads: DataFrame, percent: int = 75, size: int = 5)
 
 def starred(own: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Up to ``centres`` members of each bucket, the heaviest of as many parts of it, and the pairs they make with
-    members of other components whose sizes allow the similarity."""
+    members of other components whose sizes, and signatures if they have them, allow the similarity."""
+    signs = [s for s in SIGNATURE if s in own.columns]
     slot = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres))
-    best = F.max(F.struct("weight", (-F.col("id")).alias("back"), "id", "n", "component")).alias("c")
+    held = ["id", "n", "component", *signs]
+    best = F.max(F.struct("weight", (-F.col("id")).alias("back"), *held)).alias("c")
     centre = own.groupBy("key", slot.alias("slot")).agg(best)
-    centre = stage(centre.select("key", "c.id", "c.n", "c.component").toDF("key", "c_id", "c_n", "c_component"), "centres")
+    centre = stage(centre.select("key", *[F.col(f"c.{x}").alias(f"c_{x}") for x in held]), "centres")
     pairs = own.join(centre, "key").where("component != c_component and 100 * least(n, c_n) >= %d * greatest(n, c_n)" % percent)
+    if signs:
+        pairs = pairs.where(_may_be_similar(percent))
     return centre, pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
 
 
@@ -202,7 +229,7 @@ def mixed(held: DataFrame, component: DataFrame) -> DataFrame:
     """Members of buckets that hold several components; those of small components are the centres to come."""
     many = component.groupBy("component").agg((-F.count("*")).alias("weight"))
     named = component.withColumnRenamed("node", "id").join(many, "component")
-    own = held.select("key", "id", "n").join(named, "id", "left")
+    own = held.select("key", "id", "n", *[s for s in SIGNATURE if s in held.columns]).join(named, "id", "left")
     own = own.withColumns({"component": F.coalesce("component", "id"), "weight": F.coalesce("weight", F.lit(-1))})
     several = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least_n"))
     return stage(own.join(several.where("x != y").select("key", "least_n"), "key"), "members")
@@ -225,7 +252,9 @@ def prefixes(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = shingles.join(often, "h", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     rare = Window.partitionBy("id").orderBy("often", "h")  # the shingles of one document
     ranked = ranked.withColumn("place", F.row_number().over(rare)).where("often > 1")
-    return ranked.join(sizes, "id").where("place <= first").select(F.col("h").alias("key"), "id", "n")
+    signs = sets.join(sizes.select("id"), "id", "left_semi").mapInArrow(_signed, "id bigint, " + ", ".join(f"{s} bigint" for s in SIGNATURE))
+    named = ranked.join(sizes, "id").where("place <= first").select(F.col("h").alias("key"), "id", "n")
+    return named.join(signs, "id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
