@@ -85,3 +85,43 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def odd_documents(spark):
+    """Rows without ids, rows that share one, and columns with names that the stages use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"spans": F.lit(1), "kept": F.lit("k"), "h": F.lit(2)})
+    some = docs.where("doc_id < 40")
+    none = some.where("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long"))
+    shared = some.where("doc_id = 10").withColumn("text", F.lit("too short to stay"))
+    return some.unionByName(none).unionByName(shared).select("*", F.lit(3).alias("a.b"))
+
+
+def test_rows_keep_their_own_verdict(spark):
+    docs = odd_documents(spark)
+    alone = {r.doc_id: r.kept for r in quality.score(docs.where("kept = 'k' and text != 'too short to stay'"), None).collect()}
+    out = quality.accepted(docs, None)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert sum(r.doc_id is None for r in rows) == sum(alone[i] for i in range(4))
+    assert all(r.text != "too short to stay" for r in rows) and sum(r.doc_id == 10 for r in rows) == alone[10]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_odd_rows_and_names(spark, k):
+    docs = odd_documents(spark)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert rows and any(r.doc_id is None for r in rows)
+    assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).collect() == []
+
+
+def test_nothing_learned_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert langid.accepted(docs, langid.fit(docs, F.lit(True))).count() == 1
+
+
+def test_filters_do_not_shuffle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = quality.accepted(docs, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.llm.staging import stage
-from volfuse.llm.texts import U64, mix, per_text, pieces, ragged, share, text_bytes
+from volfuse.llm.texts import U64, filtered, mix, per_text, pieces, ragged, share, text_bytes
 
 ORDER = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
@@ -365,3 +365,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     schema = "doc_id bigint, lang_pred string, score double, accepted boolean, entropy double"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows that ``identify`` accepts, with all their columns; rows without an id or with a shared one are judged
+    alike. Without a model nothing is rejected."""
+    if model is None:
+        return docs
+    box = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda column: box.value.judge(column)[2])

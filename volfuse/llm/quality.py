@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.llm.models import fit_dense, fit_sparse, margins, sigmoid
-from volfuse.llm.texts import SPACE, U64, hash_spans, mix, per_text, pieces, share, text_bytes, windows, words
+from volfuse.llm.texts import SPACE, U64, filtered, hash_spans, mix, per_text, pieces, share, text_bytes, windows, words
 
 #: Symbols that count as junk; fixed by the rule.
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, held: float = 0.25
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
     sample, stands_for = both_labels(known, rows)
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     found = joined.mapInArrow(_features, "doc_id bigint, y int, feature array<int>, share array<float>")
     found = found.withColumn("aside", share(F.col("doc_id"), 5) < held).orderBy("aside", "doc_id", "y")
     table = found.select("aside", "y", "feature", "share").toArrow()
@@ -167,37 +167,53 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, held: float = 0.25
     return Model(weights.astype(np.float32), intercept, float(slope[0]), shift)
 
 
+def measured(column: pa.Array, model: Model | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The counts of every text and its probability of quality."""
+    raw, at = text_bytes(column)
+    first, last, text = words(raw, at)
+    hashes = hash_spans(raw, first, last)
+    solid = ~SPACE[raw]
+    n = len(column)
+    counts = [
+        np.bincount(text, minlength=n),
+        per_text(solid & ((raw & 0xC0) != 0x80), at),
+        per_text(_SYMBOL[raw], at),
+        dup_lines(raw, at, solid),
+        repeat_words(hashes, text, n),
+    ]
+    if model is None:
+        return counts, np.ones(n)
+    z = np.full(n, model.intercept)
+    for owner, feature in grams(raw, at, hashes, text):
+        total = np.maximum(1, np.bincount(owner, minlength=n))
+        z += np.bincount(owner, model.weights[feature], n) / total
+    return counts, model.probability(z)
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Per document: id, counts, ``base_failed``, the score (probability of quality) and ``kept``."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = box.value
         for batch in batches:
             for part in pieces(batch):
-                raw, at = text_bytes(part.column("text"))
-                first, last, text = words(raw, at)
-                hashes = hash_spans(raw, first, last)
-                solid = ~SPACE[raw]
-                n = part.num_rows
-                counts = [
-                    np.bincount(text, minlength=n),
-                    per_text(solid & ((raw & 0xC0) != 0x80), at),
-                    per_text(_SYMBOL[raw], at),
-                    dup_lines(raw, at, solid),
-                    repeat_words(hashes, text, n),
-                ]
-                p = np.ones(n)
-                if fitted is not None:
-                    z = np.full(n, fitted.intercept)
-                    for owner, feature in grams(raw, at, hashes, text):
-                        total = np.maximum(1, np.bincount(owner, minlength=n))
-                        z += np.bincount(owner, fitted.weights[feature], n) / total
-                    p = fitted.probability(z)
+                counts, p = measured(part.column("text"), box.value)
                 columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(p)]
                 yield pa.record_batch(columns, ["doc_id", *COUNTS, "score"])
 
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """The rows that ``score`` keeps, with all their columns; rows without an id or with a shared one are judged alike."""
+    box = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(column: pa.Array) -> np.ndarray:
+        counts, p = measured(column, box.value)
+        n_words, repeated = counts[0], counts[-1]
+        return (n_words >= min_words) & (100 * repeated <= most_repeated * n_words) & (p >= threshold)
+
+    return filtered(docs, keep)

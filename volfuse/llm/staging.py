@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[tempfile.TemporaryDirectory] = []
+_written: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -21,7 +22,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _local.append(tempfile.TemporaryDirectory(prefix="volfuse-"))
             atexit.register(_local[0].cleanup)
         folder = _local[0].name
-    return f"{folder.rstrip('/')}/volfuse-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/volfuse-llm/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this process wrote to the shared folder; results that read it must be written by then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        target = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        target.getFileSystem(conf).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

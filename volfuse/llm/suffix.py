@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volfuse.llm.staging import stage
-from volfuse.llm.texts import U64, hash_spans, long_windows, pieces, text_bytes, words
+from volfuse.llm.texts import U64, hash_spans, long_windows, numbered, pieces, text_bytes, words
 
 SEED, LEAST, SPREAD = 8, 50, 16
 
@@ -239,14 +239,16 @@ def passages(docs: DataFrame, least: int = LEAST, seed: int = SEED, spread: int
 
 
 def _cut(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    raw, at = text_bytes(batch.column("text"))
+    """The texts without their passages; the column after the documents' own holds these."""
+    own_text = batch.column(names.index("text"))
+    raw, at = text_bytes(own_text)
     first, _, text = words(raw, at)
     begin = np.searchsorted(text, np.arange(batch.num_rows + 1))
     data, out, keep = raw.tobytes(), [], []
-    for k, spans in enumerate(batch.column("spans").to_pylist()):
+    for k, spans in enumerate(batch.column(len(names)).to_pylist()):
         own = first[begin[k] : begin[k + 1]]
         if not spans:
-            out.append(batch.column("text")[k].as_py())
+            out.append(own_text[k].as_py())
             keep.append(True)
             continue
         gone = np.zeros(len(own) + 1, np.int64)
@@ -260,20 +262,23 @@ def _cut(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
         left += b"".join(data[starts[a] : starts[b]] for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True))
         out.append(left.decode("utf-8"))
         keep.append(not drop.all())
-    columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-    return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+    columns = [pa.array(out, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, spread: int = SPREAD) -> DataFrame:
-    """The documents without the words that repeat an earlier passage; those with nothing left are gone."""
+    """The documents without the words that repeat an earlier passage; those with nothing left are gone. Rows without
+    an id stay as they are; other columns stay, whatever their names."""
     found = passages(docs, least, seed, spread).where("repeat")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("spans"))
-    spans = stage(spans, "spans")
     names = docs.columns
+    spare = "spans" + "_" * max(map(len, names))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias(spare))
+    spans = stage(spans, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, names.index("text")):
                 yield _cut(part, names)
 
-    return docs.join(spans, "doc_id", "left").select(*names, "spans").mapInArrow(run, docs.schema)
+    rows = numbered(docs.join(spans, "doc_id", "left").select(*[F.col(f"`{c}`") for c in names], spare))
+    return rows.mapInArrow(run, numbered(docs).schema).toDF(*names)

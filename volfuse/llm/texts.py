@@ -6,7 +6,7 @@ at word bounds never cuts a character. A null text is an empty one here. Hashes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of some ``limit`` text bytes; a longer text is whole in its slice."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(size) - size) // limit
@@ -195,5 +195,24 @@ def share(key: Column, salt: int = 0) -> Column:
     return F.pmod(h, F.lit(1 << 20)) / float(1 << 20) + F.pmod(F.shiftright(h, 20), F.lit(1 << 32)) / float(1 << 52)
 
 
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text ``keep`` accepts. Each row is judged for itself, whatever its id, and keeps all its columns,
+    whatever their names; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns by number: names with dots can't be handed to Python."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
