@@ -92,3 +92,20 @@ def test_other_zones_are_refused(spark):
             hourly_bars(feed)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_long_gap_is_dealt_out(spark):
+    """Fifty years between two bars: many tasks make the hours in between, none more than some blocks."""
+    from collections import Counter
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+    from volfuse.operators.series import fill_grid
+
+    rows = [("a", datetime(1970, 1, 1), 1.0), ("a", datetime(2020, 1, 1), 2.0), ("b", datetime(2020, 1, 1), 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, hour timestamp_ntz, close double")
+    out = fill_grid(df, ["close"])
+    tasks = Counter(r[0] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    facts = out.groupBy("symbol").agg(F.count("*"), F.min("close"), F.max("close"), F.countDistinct("hour")).orderBy("symbol").collect()
+    assert [tuple(r) for r in facts] == [("a", 438289, 1.0, 2.0, 438289), ("b", 1, 3.0, 3.0, 1)]
+    assert len(tasks) > 1

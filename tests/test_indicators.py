@@ -219,3 +219,26 @@ def test_macd_at_any_spans(spark, spans):
         np.testing.assert_allclose(column(out, "macd_signal")[slow + signal - 2 :], smooth[signal - 1 :], atol=1e-9)
     table = indicators.indicator_table(df, macd_spans=spans)
     np.testing.assert_allclose(column(table, "macd")[slow - 1 :], difference[slow - 1 :], atol=1e-9)
+
+
+@pytest.mark.parametrize("rows", [64, 700, 4096])
+@pytest.mark.parametrize("spans", [(1, 2, 3), (12, 26, 9), (2, 300, 2000)])
+def test_scans_over_blocks(spark, rows, spans):
+    """Equal to the plain recursion, however far apart the spans are and wherever blocks end."""
+    fast, slow, signal = spans
+    values = np.cumsum(np.random.default_rng(5).normal(size=5000)) + 500
+    spec = Series(rows=rows)
+    got = indicators.macd(prices(spark, values.tolist()), fast, slow, signal, spec=spec)
+
+    def scan(x, span):
+        alpha, y = 2 / (span + 1), [x[0]]
+        for v in x[1:]:
+            y.append(alpha * v + (1 - alpha) * y[-1])
+        return np.array(y)
+
+    macd = scan(values, fast) - scan(values, slow)
+    over = scan(macd[slow - 1 :], signal)
+    rows_ = got.orderBy("hour").collect()
+    np.testing.assert_allclose([r["macd"] for r in rows_[slow - 1 :]], macd[slow - 1 :], rtol=0, atol=1e-9)
+    np.testing.assert_allclose([r["macd_signal"] for r in rows_[slow + signal - 2 :]], over[signal - 1 :], rtol=0, atol=1e-9)
+    assert all(r["macd"] is None for r in rows_[: slow - 1])

@@ -163,11 +163,10 @@ def posts_sample(spark, d):
 def posts_csv(spark, d):
     """The posts written as a file of the feed's form, read, cleaned."""
     raw, path = fixtures.posts_raw(spark, d), stage_path(spark, "posts-csv")
-    one_line = F.regexp_replace("text", "[\\r\\n]+", " ")
-    rows = raw.select(F.col("post_id").cast("string").alias(" id"), "timestamp", one_line.alias("text "), "likes", "retweets")
+    rows = raw.select(F.col("post_id").cast("string").alias(" id"), "timestamp", F.col("text").alias("text "), "likes", "retweets")
     rows.write.options(header=True, escape='"', sep=";").csv(path)
     tables.require(spark, path)
-    posts = sentiment.clean_posts(tables.read_posts(spark, path))
+    posts = sentiment.clean_posts(tables.read_posts(spark, path, multi_line=True))
     return posts.select("timestamp", "text", "likes", "retweets", "replies")
 
 

@@ -13,6 +13,7 @@ from volfuse.functions.casts import to_ts
 from volfuse.schema import BARS_CSV, FUSED, POST_COLUMNS, RESULTS
 from volfuse.operators.bars import rename_ohlcv
 from volfuse.sources.columns import numeric_cols, resolve_price_col, resolve_ts_col
+from volfuse.sources.records import read_quoted
 
 _TEXT = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
@@ -59,10 +60,12 @@ def _numeric(raw: DataFrame, cols: Sequence[str]) -> list[str]:
 def read_posts(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";", multi_line: bool = False) -> DataFrame:
     """The five post columns as text; missing columns are left out.
 
-    Files are split between tasks. With ``multi_line`` quoted texts may span lines, and a file is read by one task.
+    Files are split between tasks, also with ``multi_line``, where quoted texts may span lines.
     """
-    text = {**_TEXT, "sep": sep, "multiLine": multi_line}
-    raw = spark.read.options(**text).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    if fmt == "csv" and multi_line:
+        raw = read_quoted(spark, path, sep)
+    else:
+        raw = spark.read.options(**_TEXT, sep=sep).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     raw = _trimmed(raw)
     return raw.select(*[F.col(c).cast("string") for c in POST_COLUMNS if c in raw.columns])
 
