@@ -314,7 +314,9 @@ def fill_grid(df: DataFrame, carry: Sequence[str], zero: Sequence[str] = (), spe
     pieces = until.drop(BLOCK, "_next_first").withColumn("_piece", F.explode(F.sequence(piece(IDX), piece("_until"))))
     first = F.greatest(F.col(IDX), F.col("_piece") * spec.rows)
     last = F.least(F.col("_until"), (F.col("_piece") + 1) * spec.rows - 1)
-    dealt = pieces.repartition(*[F.col(c) for c in (*spec.keys, "_piece")])
+    # A number of tasks that adaptive execution keeps: it would judge the few rows before they are spread.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, *[F.col(c) for c in (*spec.keys, "_piece")])
     spread = dealt.withColumn("_at", F.explode(F.sequence(first, last)))
     added = F.col("_at") != F.col(IDX)
     values = []
