@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from volfuse.llm import queries, url_filter
 
@@ -73,3 +74,35 @@ def test_a_rare_label_is_drawn(spark):
 
 
 RARE = [("block", "net/"), ("allow", "org/fr/")]
+
+
+def test_labels_of_hosts_left_aside(spark):
+    """Hosts whose labels are not learned from; the scores are no copy of a few rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    held = F.pmod(F.xxhash64("host", F.lit(9)), F.lit(4)) == 0
+    rows = url_filter.judge(pages, RULES, learn=~held).withColumn("held", held).collect()
+    aside = [r for r in rows if r.held and r.rule]
+    assert len({r.host for r in aside}) >= 10 and {r.verdict for r in aside} == {"allow", "block"}
+    assert sum((r.score >= 0.5) == (r.verdict == "block") for r in aside) >= 0.95 * len(aside)
+    assert len({round(r.score, 6) for r in rows}) > 100
+
+
+def test_only_the_path_tells(spark):
+    """Every domain has a rule of its own, suffix and section are the same: only digits and parameters tell the labels apart."""
+    hosts = [(f"h{k}.com", k % 2 == 0) for k in range(60)]
+    rules = [("block" if bad else "allow", f"{host}/") for host, bad in hosts if not host.startswith("h5")]
+    url = lambda host, bad, k: f"http://{host}/en/{k * 7919}{k * 104729}?a={k}&b={k}" if bad else f"http://{host}/en/some-page-{'abcde'[k % 5]}"
+    urls = [url(host, bad, k) for host, bad in hosts for k in range(100, 110)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    open_ = [r for r in url_filter.judge(pages, rules).collect() if r.rule is None]
+    assert len(open_) == 110
+    assert all((r.verdict == "block") == ("?" in urls[r.page_id]) for r in open_)
+
+
+def test_statistics_leave_the_own_fold_out(spark):
+    rows = [("net", k % 5, "block" if k % 3 else "allow") for k in range(50)] + [("net", 1, None), ("org", 2, "block"), ("de", 0, None)]
+    df = spark.createDataFrame(rows, "suffix string, fold int, taught string")
+    counts = url_filter.statistics(df, "suffix")
+    for r in url_filter.with_statistics(df, counts, "suffix", smooth=4.0).collect():
+        others = [t for s, f, t in rows if s == r.suffix and f != r.fold and t]
+        assert r.suffix_share == pytest.approx((others.count("block") + 2) / (len(others) + 4))

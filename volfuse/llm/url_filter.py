@@ -3,8 +3,10 @@
 A rule is a host and a path, such as ``net/`` or ``example.net/en/``; it fits its host and every subdomain if
 the URL's path starts with the rule's, and the longest rule wins (block before allow among equals). URLs that
 a rule decides are the labelled ones: gradient-boosted trees are fitted on a bounded sample of them, on
-lengths, depth, digit share, character entropy, counts of parameters, labels and marks, and on how often the
-rules block and allow URLs of the same host suffix and of the same first part of the path, over all URLs.
+lengths, depth, digit share, character entropy, counts of parameters, labels and marks, and on statistics of the
+host's suffix and domain and of the first part of the path: the share of blocked ones among the labelled URLs of
+other hosts. Hosts are dealt to ``FOLDS`` folds and a row sees the labels of the other folds only, so neither its
+own label nor one of its host is in its features. Every split of a tree sees a third of the features.
 
 Null URLs and those without ``://`` have an empty host and path; no rule fits them and the trees see zeros.
 Without labelled URLs of both kinds there are no trees, and what no rule decides is allowed.
@@ -27,8 +29,10 @@ from volfuse.llm.texts import share
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = [
     "length", "host_length", "path_length", "depth", "labels", "digits", "hyphens", "parameters", "entropy", "fragment",
-    "suffix_block", "suffix_allow", "domain_block", "domain_allow", "section_block", "section_allow",
+    "suffix_share", "domain_share", "section_share",
 ]
+NAMES = ("suffix", "domain", "section")
+FOLDS = 5
 
 Rule = tuple[str, str]
 
@@ -87,22 +91,30 @@ def lexical(df: DataFrame) -> DataFrame:
     return df.withColumns({k: c.cast("double") for k, c in columns.items()} | named)
 
 
-def with_statistics(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
-    out = df.join(counts, name, "left")
-    return out.fillna(0.0, [f"{name}_block", f"{name}_allow"])
+def statistics(df: DataFrame, name: str) -> DataFrame:
+    """Of each value of ``name``: for every fold, how many URLs of the other folds are labelled, and how many blocked."""
+    taught, blocked = F.col("taught").isNotNull(), F.col("taught") == "block"
+    others = lambda what: F.array(*(F.count_if(what & (F.col("fold") != f)) for f in range(FOLDS)))
+    return df.where(taught).groupBy(name).agg(others(taught).alias("n"), others(blocked).alias("blocked"))
 
 
-def statistics(df: DataFrame, name: str, smooth: float = 20.0) -> DataFrame:
-    """Of each suffix: the shares of its URLs that rules block and allow, small for rare ones."""
-    rate = lambda kind: F.sum((F.col("by_rule") == kind).cast("double")) / (F.count("*") + smooth)
-    counts = df.groupBy(name).agg(*(F.coalesce(rate(k), F.lit(0.0)).alias(f"{name}_{k}") for k in ("block", "allow")))
-    return counts.where(f"{name}_block + {name}_allow > 0")
+def with_statistics(df: DataFrame, counts: DataFrame, name: str, smooth: float = 20.0) -> DataFrame:
+    """The share of blocked URLs in the other folds; one half where they have no labels, and near it for few."""
+    n, blocked = (F.coalesce(F.get(c, F.col("fold")), F.lit(0)) for c in ("n", "blocked"))
+    share_ = (blocked + smooth / 2) / (n + smooth)
+    return df.join(counts, name, "left").withColumn(f"{name}_share", share_).drop("n", "blocked")
 
 
-def judge(pages: DataFrame, rules: list[Rule], rows: int = 10_000, trees: int = 20, depth: int = 4, threshold: float = 0.5) -> DataFrame:
-    """Per page: id, host, path, the rule that fits, the verdict, and the trees' probability of a block."""
-    seen = lexical(ruled(pages, rules))
-    tables = {name: stage(statistics(seen, name), name) for name in ("suffix", "domain", "section")}
+def judge(
+    pages: DataFrame, rules: list[Rule], rows: int = 10_000, trees: int = 20, depth: int = 4, threshold: float = 0.5, learn: Column | None = None
+) -> DataFrame:
+    """Per page: id, host, path, the rule that fits, the verdict, and the trees' probability of a block.
+
+    ``learn`` holds for the URLs, by their host and path, whose labels may be used; all by default.
+    """
+    seen = lexical(ruled(pages, rules)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    seen = seen.withColumn("taught", F.col("by_rule") if learn is None else F.when(learn, F.col("by_rule")))
+    tables = {name: stage(statistics(seen, name), name) for name in NAMES}
     full = reduce(lambda df, name: with_statistics(df, tables[name], name), tables, seen)
     model = fit(full, rows, trees, depth)
     if model is None:
@@ -116,7 +128,7 @@ def judge(pages: DataFrame, rules: list[Rule], rows: int = 10_000, trees: int =
 def fit(full: DataFrame, rows: int, trees: int, depth: int) -> PipelineModel | None:
     """Boosted trees from about ``rows`` of the URLs that a rule decides at most: of the rarer label up to a half of them,
     of the other one the rest. Each counts for as many as its label has for one drawn."""
-    known = full.where("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
+    known = full.where("taught is not null").withColumn("label", (F.col("taught") == "block").cast("double"))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(count) < 2:
         return None
@@ -127,5 +139,7 @@ def fit(full: DataFrame, rows: int, trees: int, depth: int) -> PipelineModel | N
     some = known.withColumn("weight", 1 / rate).where(share(F.coalesce(F.col("page_id").cast("string"), "url"), 3) < rate)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     sample = stage(some.select("label", "weight", *FEATURES), "urls")
-    boosted: GBTClassificationModel = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, weightCol="weight").fit(assembler.transform(sample))
+    boosted: GBTClassificationModel = GBTClassifier(
+        maxIter=trees, maxDepth=depth, seed=1, weightCol="weight", featureSubsetStrategy="onethird"
+    ).fit(assembler.transform(sample))
     return PipelineModel([assembler, boosted])
