@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volfuse.operators.series import HOURLY, Series
 from volfuse.schema import FEATURES, IMPORTANCES, TARGET
 
 
@@ -25,6 +26,45 @@ def fit_linear(train: DataFrame, label: str = TARGET, features: str = "features"
     ).fit(train)
 
 
+def fit_linear_by_series(train: DataFrame, cols: Sequence[str], label: str = TARGET, spec: Series = HOURLY) -> DataFrame:
+    """Ordinary least squares of every series: keys, ``n``, ``coefficients`` in the order of ``cols``, ``intercept``.
+
+    One aggregate gives means and centred cross products of all pairs of columns; they merge before the shuffle, so a
+    series of any length arrives as one row per task. Each series is then solved from its one row. Rows with a null
+    take no part; columns that don't vary, or repeat others, share the smallest coefficients that fit. Meant for a few
+    columns: the aggregate has a product for each pair of them.
+    """
+    names = [*cols, label]
+    pairs = [(i, j) for j in range(len(names)) for i in range(j + 1) if i < len(cols)]
+    rows = train.select(*spec.keys, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]).na.drop()
+    means = F.array(*[F.avg(f"_{i}") for i in range(len(names))]).alias("means")
+    products = F.array(*[F.covar_pop(f"_{i}", f"_{j}") for i, j in pairs]).alias("products")
+    sums = rows.groupBy(*spec.keys).agg(F.count("*").alias("n"), means, products)
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in train.select(*spec.keys).schema]
+    return sums.mapInPandas(_solver(len(cols), pairs), ", ".join([*keys, "n bigint", "coefficients array<double>", "intercept double"]))
+
+
+def _solver(width: int, pairs: Sequence[tuple[int, int]]):
+    def solve(batches):
+        import numpy as np
+
+        at = np.array(pairs)
+        for batch in batches:
+            weights, intercepts = [], []
+            for means, products in zip(batch.pop("means"), batch.pop("products"), strict=True):
+                full = np.zeros((width + 1, width + 1))
+                full[at[:, 0], at[:, 1]] = full[at[:, 1], at[:, 0]] = products
+                spread = np.sqrt(np.diag(full)[:width])
+                spread[spread == 0] = 1.0
+                scaled = full[:width, :width] / np.outer(spread, spread)
+                w = np.linalg.lstsq(scaled, full[:width, width] / spread, rcond=1e-12)[0] / spread
+                weights.append(w.tolist())
+                intercepts.append(float(means[width] - w @ np.asarray(means[:width])))
+            yield batch.assign(coefficients=weights, intercept=intercepts)
+
+    return solve
+
+
 def fit_forest(
     train: DataFrame,
     label: str = TARGET,

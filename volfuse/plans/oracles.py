@@ -442,6 +442,10 @@ SELECT symbol, hour, {_rounded(_BAR)} FROM (
 _FINAL["posts_csv"] = f"SELECT {_POST_AT}, text, likes, retweets, 0::bigint AS replies FROM posts"
 _FINAL["minmax_reloaded"] = _FINAL["minmax_scaled"]
 _FINAL["linreg_residuals"] = "SELECT unnest([" + _list(FEATURES) + "]) AS feature, 0::double AS product FROM (SELECT count(*) FROM matrix)"
+_FINAL["linreg_by_symbol"] = f"""
+SELECT symbol, count(*) AS n, {_r(f"regr_slope({TARGET}, atr)", "slope")}, {_r(f"regr_intercept({TARGET}, atr)", "intercept")}
+FROM matrix GROUP BY symbol"""
+_FINAL["bars_by_day"] = _FINAL["hourly_bars"]
 _FINAL["daily_rollup_range"] = f"SELECT symbol, day, {_rounded(_DAILY)} FROM ranged_daily"
 _FINAL["chart_price"] = f"SELECT symbol, day, {_rounded(['close', 'bollinger_h', 'bollinger_l'])} FROM daily"
 _FINAL["chart_vol_sentiment"] = f"SELECT symbol, day, {_rounded([TARGET, 'sentiment_score'])} FROM daily"

@@ -131,6 +131,17 @@ def bars_csv(spark, d):
     return bars.hourly_bars(tables.read_bars(spark, path))
 
 
+@query
+def bars_by_day(spark, d):
+    """Bars stored by day; then one run writes the days of a range again, from their own trades only."""
+    raw, path = fixtures.bars_raw(spark, d), stage_path(spark, "bars-by-day")
+    by_day = lambda trades: bars.hourly_bars(trades, tie="bar_id").withColumn("day", F.to_date("hour"))
+    spoilt = by_day(raw).withColumn("close", F.when(F.col("day").between(START, END), -1.0).otherwise(F.col("close")))
+    tables.write_parts(spoilt, path, ["day"])
+    tables.write_parts(by_day(raw.where(F.to_date("ts").between(START, END))), path, ["day"])
+    return spark.read.parquet(path).drop("day")
+
+
 # --- posts ------------------------------------------------------------------------------------
 
 
@@ -420,6 +431,13 @@ def _linear(spark, d, kind: str = "test") -> DataFrame:
     return models.load_model(LinearRegressionModel, path).transform(ready.filter(F.col("split") == kind))
 
 
+@query
+def linreg_by_symbol(spark, d):
+    """A line for each symbol."""
+    fits = models.fit_linear_by_series(pipeline.matrix(spark, d), ["atr"])
+    return fits.select("symbol", "n", F.col("coefficients")[0].alias("slope"), "intercept")
+
+
 @query
 def linreg_metrics(spark, d):
     return _scores(_linear(spark, d), TARGET, "LinearRegression")

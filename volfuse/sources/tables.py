@@ -102,6 +102,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer.format(fmt).save(path)
 
 
+def write_parts(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` has rows of and leave all others; a rerun of one day replaces that day.
+
+    A partition whose rows are all gone stays as it was.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Per column: rows, missing values, and whether it is numeric; one pass over the data."""
     numeric = set(numeric_cols(df))
