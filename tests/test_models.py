@@ -198,3 +198,18 @@ def test_kpis_and_charts(table):
     assert report.chart_vol_sentiment(daily).count() == 13
     assert report.series(df, "rsi").columns == ["symbol", "hour", "rsi"]
     assert report.chart_predictions(df, 150).count() == 150
+
+
+def test_least_squares_of_every_series(spark):
+    """Against numpy for each series; one column is constant, one row holds a null."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2)) * [1.0, 50.0] + [0.0, 1000.0]
+    y = x @ [2.0, -0.5] + rng.normal(size=200)
+    rows = [("ab"[k % 2], float(x[k, 0]), float(x[k, 1]), 3.0, float(y[k])) for k in range(200)] + [("a", None, 1.0, 3.0, 9.0)]
+    df = spark.createDataFrame(rows, "symbol string, u double, v double, w double, y double")
+    fits = {r.symbol: r for r in models.fit_linear_by_series(df, ["u", "v", "w"], "y").collect()}
+    assert set(fits) == {"a", "b"}
+    for s, fit in fits.items():
+        own = slice("ab".index(s), None, 2)
+        want = np.linalg.lstsq(np.column_stack([x[own], np.ones(100)]), y[own], rcond=None)[0]
+        assert fit.n == 100 and np.allclose([*fit.coefficients, fit.intercept], [*want[:2], 0.0, want[2]], rtol=1e-7)

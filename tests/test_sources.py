@@ -126,3 +126,12 @@ def test_a_machines_own_folder_is_refused(spark):
         with pytest.raises(RuntimeError, match="temporary"):
             refuse_temporary(spark, folder)
     refuse_temporary(spark, "file:///mnt/shared/x")
+
+
+def test_a_rerun_replaces_its_own_days(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    df = spark.createDataFrame([(1, "mon"), (2, "mon"), (3, "tue")], "v int, day string")
+    tables.write_parts(df, path, ["day"])
+    for _ in range(2):
+        tables.write_parts(spark.createDataFrame([(7, "tue"), (8, "wed")], "v int, day string"), path, ["day"])
+    assert sorted(map(tuple, spark.read.parquet(path).select("v", "day").collect())) == [(1, "mon"), (2, "mon"), (7, "tue"), (8, "wed")]
