@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from volfuse.functions.casts import finite_columns
 from volfuse.operators.series import HOURLY, Series, number_rows, to_panel
 from volfuse.schema import COUNT_FEATURES, FEATURES, LOOKBACK, SCALER, TARGET
-from volfuse.session import stage
 from volfuse.sources.tables import read_table, write_table
 
 # --- filters ----------------------------------------------------------------------------------
@@ -55,35 +54,45 @@ def union_all(tables: Sequence[DataFrame]) -> DataFrame:
 # --- first and last rows ----------------------------------------------------------------------
 
 
+def _cell_of(rows: DataFrame, cell: Column, n: int) -> tuple[object, int] | None:
+    """The cell that holds row ``n`` in order of cells, a null cell last, and how many of its rows belong to the
+    first ``n``; None where there are not ``n`` rows."""
+    counts = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    so_far = Window.orderBy(F.col("cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # one row a cell
+    place = counts.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") >= n)
+    at = place.agg(F.min_by(F.struct("cell", "n", "upto"), "upto").alias("at")).first()["at"]
+    return at and (at["cell"], n - (at["upto"] - at["n"]))
+
+
 def first_n(df: DataFrame, n: int, order: tuple[str, str] = ("timestamp", "post_id")) -> DataFrame:
     """The first ``n`` rows by time, then id (unique); rows without a time come last.
 
-    The rows are written once. Counts per hour name the hour that holds row ``n``; of that hour's rows, or of
-    those without a time, the two key columns of the first ones are ordered to find the key to cut at, and
-    the rows are filtered in place.
+    Nothing is copied: the result is a filter on the rows as they are. Counts per hour name the hour that holds
+    row ``n``, counts per second the second within it; of that second's rows, or of those without a time, the two
+    key columns of the first ones are ordered to find the key to cut at. Each look reads only the hour or second
+    that the one before has named, and no column but the keys; ``df`` has to give the same rows each time.
     """
     time, ident = order
     if n <= 0:
         return df.limit(0)
-    rows = stage(df, "first-n")
-    hour = F.date_trunc("hour", time)
-    counts = rows.groupBy(hour.alias("hour")).agg(F.count("*").alias("n"))
-    so_far = Window.orderBy(F.col("hour").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # one row an hour
-    place = counts.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") >= n)
-    at = place.agg(F.min_by(F.struct("hour", "n", "upto"), "upto").alias("at")).first()["at"]
-    if at is None:
-        return rows
-    left = n - (at["upto"] - at["n"])
-    timed = at["hour"] is not None
-    inside = rows.where(hour == F.lit(at["hour"])) if timed else rows.where(F.col(time).isNull())
-    first = inside.select(time, ident).orderBy(F.col(time), F.col(ident)).limit(left)
+    inside, left = df.select(time, ident), n
+    for unit in ("hour", "second"):
+        cell = F.date_trunc(unit, time)
+        found = _cell_of(inside.select(time), cell, left)
+        if found is None:
+            return df
+        at, left = found
+        inside = inside.where(F.col(time).isNull() if at is None else cell == F.lit(at))
+        if at is None:
+            break
+    first = inside.orderBy(F.col(time), F.col(ident)).limit(left)
     cut = first.agg(F.max(F.struct(F.col(time), F.col(ident))).alias("cut")).select("cut.*")
     cut = cut.select(F.col(time).cast("string").alias("at"), F.col(ident).alias("id")).first()
     same_or_earlier = F.col(ident) <= cut["id"]
-    if not timed:
-        return rows.filter(F.col(time).isNotNull() | same_or_earlier)
-    moment = F.lit(cut["at"]).cast(rows.schema[time].dataType)
-    return rows.filter((F.col(time) < moment) | ((F.col(time) == moment) & same_or_earlier))
+    if cut["at"] is None:
+        return df.filter(F.col(time).isNotNull() | same_or_earlier)
+    moment = F.lit(cut["at"]).cast(df.schema[time].dataType)
+    return df.filter((F.col(time) < moment) | ((F.col(time) == moment) & same_or_earlier))
 
 
 def last_n(df: DataFrame, n: int, spec: Series = HOURLY) -> DataFrame:
