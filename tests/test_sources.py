@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, column, prices, trade, trades
+from volfuse.operators import fusion
 from volfuse.operators.bars import hourly_bars
 from volfuse.operators.sentiment import clean_posts
 from volfuse.schema import RESULTS
@@ -135,3 +136,33 @@ def test_a_rerun_replaces_its_own_days(spark, tmp_path):
     for _ in range(2):
         tables.write_parts(spark.createDataFrame([(7, "tue"), (8, "wed")], "v int, day string"), path, ["day"])
     assert sorted(map(tuple, spark.read.parquet(path).select("v", "day").collect())) == [(1, "mon"), (2, "mon"), (7, "tue"), (8, "wed")]
+
+
+def test_days_outside_the_range_are_not_read(spark, tmp_path):
+    """Posts stored by day: files of other days are spoilt, and nobody notices."""
+    rows = [(i, f"2024-01-{1 + i % 9:02d} 10:00:00" if i % 10 else "bad", "x" * (i % 7)) for i in range(300)]
+    posts = spark.createDataFrame(rows, "post_id long, timestamp string, text string")
+    path = tmp_path / "by-day"
+    tables.write_by_day(posts, str(path), "timestamp")
+    stored = tables.read_by_day(spark, str(path), posts.schema)
+    assert sorted(tuple(r) for r in stored.drop("day").collect()) == sorted(rows)
+    hours = spark.sql("SELECT explode(array(timestamp_ntz'2024-01-03 22:00:00', timestamp_ntz'2024-01-05 01:00:00')) AS hour")
+    for part in path.glob("day=*"):
+        if part.name not in {"day=2024-01-03", "day=2024-01-04", "day=2024-01-05"}:
+            for file in part.glob("*.parquet"):
+                file.write_bytes(b"spoilt")
+            for checksum in part.glob(".*.crc"):
+                checksum.unlink()
+    got = fusion.days_of(stored, hours)
+    want = [r for r in rows if r[1][:10] in {"2024-01-03", "2024-01-04", "2024-01-05"}]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
+    with pytest.raises(Exception):
+        stored.agg({"text": "max"}).collect()
+
+
+def test_one_day_stored_again(spark, tmp_path):
+    path = str(tmp_path / "by-day")
+    posts = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "post_id long, timestamp string")
+    for rows in (posts, posts.where("post_id = 2").withColumn("post_id", F.lit(3).cast("long"))):
+        tables.write_by_day(rows, path, "timestamp")
+    assert sorted(r["post_id"] for r in tables.read_by_day(spark, path, posts.schema).collect()) == [1, 3]

@@ -84,3 +84,21 @@ def test_tables_of_several_files(spark, tmp_path, files):
         got = queries.registered()[stream](spark, str(tmp_path))
         want = queries.registered()[batch](spark, str(tmp_path)).select(got.columns)
         assert rows(got) == rows(want) and got.count() > 50
+
+
+def test_sentiment_state_holds_open_hours_only(spark, tmp_path):
+    """Days of posts, a file each: hours leave the state as they close, and late posts are counted, not added."""
+    path = str(tmp_path / "posts")
+    post = "timestamp string, text string, likes string, retweets string"
+    for day in range(1, 9):
+        rows = [(f"2024-01-{day:02d} {h:02d}:10:00", "with for", "1", "2") for h in range(24)]
+        late = [("2024-01-01 05:00:00", "is it", "9", "9")] * 3 if day == 6 else []
+        spark.createDataFrame([*rows, *late], post).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(post).option("maxFilesPerTrigger", 1).parquet(path)
+    scored = sentiment.lexicon_scorer(sentiment.clean_posts(stream))
+    progress = streams.Progress()
+    got = streams.drain(spark, streams.stream_sentiment(scored), "closed", mode="append", progress=progress)
+    assert got.count() == 8 * 24 - 3 and got.filter("tweet_count <> 1 or likes <> 1").count() == 0
+    assert sum(progress.rows) == 8 * 24 + 3 and sum(progress.late) == 1
+    assert max(progress.state) <= 27 and progress.state[-1] == 3
+    assert progress.watermark[-1].startswith("2024-01-08T21:10")

@@ -23,6 +23,16 @@ def within_range_of(df: DataFrame, other: DataFrame, time: str = "hour") -> Data
     return df.filter((F.col(time) >= ends["first"]) & (F.col(time) <= ends["last"]))
 
 
+def days_of(df: DataFrame, other: DataFrame, time: str = "hour", day: str = "day") -> DataFrame:
+    """Rows of the days from the first to the last time of another table, both included.
+
+    On a table stored by ``day`` the bounds, a scalar subquery, select its partitions before anything is read.
+    Rows without a day belong to no day and go.
+    """
+    ends = other.select(F.struct(F.to_date(F.min(time)).alias("first"), F.to_date(F.max(time)).alias("last"))).scalar()
+    return df.filter((F.col(day) >= ends["first"]) & (F.col(day) <= ends["last"]))
+
+
 def _default(df: DataFrame, c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
 

@@ -453,6 +453,10 @@ _FINAL["series_close"] = f"SELECT symbol, hour, {_rounded(['close'])} FROM featu
 _FINAL["stream_bars_closed"] = f"""
 SELECT symbol, hour, {_rounded(_BAR)} FROM bars
 WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM bars_raw) - INTERVAL 2 HOUR"""
+_FINAL["sentiment_of_days"] = _FINAL["sentiment_in_range"]
+_FINAL["stream_sentiment_closed"] = f"""
+SELECT {_SENT} FROM sentiment
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max({_POST_AT}) FROM posts) - INTERVAL 2 HOUR"""
 _FINAL["posts_scored_batches"] = _FINAL["posts_scored"]
 _FINAL["stream_bars"] = _FINAL["hourly_bars"]
 _FINAL["stream_sentiment"] = _FINAL["hourly_sentiment"]

@@ -228,6 +228,17 @@ def sentiment_in_range(spark, d):
     return fusion.within_range_of(pipeline.hourly(spark, d), pipeline.features(spark, d))
 
 
+@query
+def sentiment_of_days(spark, d):
+    """Posts stored by day; of the days that have bars, and of no others, they are read, cleaned and scored."""
+    raw, path = fixtures.posts_raw(spark, d), stage_path(spark, "posts-by-day")
+    tables.write_by_day(raw, path, "timestamp")
+    hours = stage(pipeline.features(spark, d).select("hour"), "hours")
+    posts = fusion.days_of(tables.read_by_day(spark, path, raw.schema), hours).drop("day")
+    hourly = sentiment.hourly_sentiment(sentiment.lexicon_scorer(sentiment.clean_posts(posts)))
+    return fusion.within_range_of(hourly, hours)
+
+
 @query
 def text_scorer(spark, d):
     """Fitted on the labelled posts of even ids, applied to all posts."""
@@ -521,3 +532,11 @@ def stream_sentiment(spark, d):
     posts = sentiment.clean_posts(fixtures.posts_from_documents(fixtures.stream_table(spark, d, "documents")))
     scored = sentiment.lexicon_scorer(posts.filter(F.col("timestamp").isNotNull()))
     return streams.drain(spark, streams.stream_sentiment(scored), "stream-sentiment")
+
+
+@query
+def stream_sentiment_closed(spark, d):
+    """Only hours that the watermark has passed; their state is dropped."""
+    posts = sentiment.clean_posts(fixtures.posts_from_documents(fixtures.stream_table(spark, d, "documents")))
+    scored = sentiment.lexicon_scorer(posts.filter(F.col("timestamp").isNotNull()))
+    return streams.drain(spark, streams.stream_sentiment(scored), "stream-sentiment-closed", mode="append")

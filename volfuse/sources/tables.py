@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volfuse.functions.casts import to_ts
+from volfuse.functions.casts import parse_ts, to_ts
 from volfuse.schema import BARS_CSV, FUSED, POST_COLUMNS, RESULTS
 from volfuse.operators.bars import rename_ohlcv
 from volfuse.sources.columns import numeric_cols, resolve_price_col, resolve_ts_col
@@ -111,6 +111,21 @@ def write_parts(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     writer.partitionBy(*partition_by).parquet(path)
 
 
+def write_by_day(df: DataFrame, path: str, time: str, day: str = "day") -> None:
+    """Store rows by the day of ``time``, text or timestamp; days that ``df`` has rows of are replaced.
+
+    Small days share a writing task and a hot one is split over several, so files have a sensible size. Rows whose
+    time cannot be read are kept under the null day.
+    """
+    at = F.col(time) if isinstance(df.schema[time].dataType, (T.TimestampNTZType, T.TimestampType)) else parse_ts(time)
+    write_parts(df.withColumn(day, F.to_date(at)).hint("rebalance", day), path, [day])
+
+
+def read_by_day(spark: SparkSession, path: str, schema: T.StructType, day: str = "day") -> DataFrame:
+    """A table stored by day; ``schema`` names its other columns, so no file is opened to find them."""
+    return spark.read.schema(T.StructType([*[f for f in schema if f.name != day], T.StructField(day, T.DateType())])).parquet(path)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Per column: rows, missing values, and whether it is numeric; one pass over the data."""
     numeric = set(numeric_cols(df))

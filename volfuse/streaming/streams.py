@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +39,40 @@ def stream_bars(
 def stream_sentiment(
     scored: DataFrame, ts: str = "timestamp", width: str = "1 hour", delay: str = "2 hours"
 ) -> DataFrame:
-    """Hourly sentiment of a stream of scored posts."""
+    """Hourly sentiment of a stream of scored posts; those later than ``delay`` behind the newest are dropped.
+
+    The scorer keeps no state. In ``append`` mode state holds the open hours only, however long the stream runs.
+    """
     hourly = _with_hour(_by_hour(scored, [], ts, width, delay).agg(*sentiment_aggregates()), [])
     return hourly.withColumn("weighted_sentiment", weighted_sentiment("sentiment_score", "likes", "retweets"))
 
 
-def drain(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete", may_be_empty: bool = False) -> DataFrame:
+@dataclass
+class Progress:
+    """What one run of a stream counted, batch by batch."""
+
+    rows: list[int] = field(default_factory=list)  #: rows read from the source
+    state: list[int] = field(default_factory=list)  #: windows kept open after the batch
+    late: list[int] = field(default_factory=list)  #: partial sums (one a task and window) that came too late and were dropped
+    watermark: list[str] = field(default_factory=list)  #: what the batch was judged by
+
+    def add(self, batch) -> None:
+        self.rows.append(batch["numInputRows"])
+        self.state.append(sum(s["numRowsTotal"] for s in batch["stateOperators"]))
+        self.late.append(sum(s["numRowsDroppedByWatermark"] for s in batch["stateOperators"]))
+        self.watermark.append(batch["eventTime"].get("watermark", ""))
+
+
+def drain(
+    spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete", may_be_empty: bool = False,
+    progress: Progress | None = None,
+) -> DataFrame:
     """Process everything the source holds now and return the result table.
 
     ``append`` emits a window once the watermark has passed it, so the newest windows stay open, state is
     dropped and files are only ever added; ``complete`` keeps all state and rewrites the whole result, with
-    the open windows. A source that gives no row at all raises unless it ``may_be_empty``.
+    the open windows. A source that gives no row at all raises unless it ``may_be_empty``. ``progress`` is
+    given the counts of the last batches, as many as ``spark.sql.streaming.numRecentProgressUpdates`` says.
     """
     out, state = stage_path(spark, name), stage_path(spark, f"{name}-state")
     writer = sdf.writeStream.trigger(availableNow=True).option("checkpointLocation", state).outputMode(mode)
@@ -59,6 +83,9 @@ def drain(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "complete"
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    if progress is not None:
+        for batch in query.recentProgress:
+            progress.add(batch)
     if not may_be_empty and not sum(p["numInputRows"] for p in query.recentProgress):
         raise RuntimeError(f"the source of {name} gave no rows")
     try:
