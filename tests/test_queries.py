@@ -41,7 +41,7 @@ def test_registry():
     assert set(SQL) <= set(entry.queries())
     rows_only = set(NAMES) - set(SQL)
     assert rows_only == {
-        "text_scorer", "linreg_metrics", "forest_metrics", "top_features", "lagged_metrics", "test_predictions", "scenario_scores",
+        "text_scorer", "linreg_metrics", "forest_metrics", "top_features", "lagged_metrics", "test_predictions", "scenario_models",
     }
 
 

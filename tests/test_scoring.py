@@ -1,0 +1,80 @@
+"""Stored models, applied by a run that fits nothing."""
+
+import numpy as np
+import pytest
+from pyspark.ml.base import Estimator
+from pyspark.sql import functions as F
+
+from helpers import at
+from volfuse.operators import dataset, scenario
+from volfuse.plans import pipeline, scoring
+from volfuse.schema import FEATURES, TARGET
+
+
+@pytest.fixture(scope="module")
+def prepared(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 18))
+    y = x @ np.linspace(-1, 1, 18) + np.where(x[:, 0] > 0, 2.0, 0.0)
+    rows = [("a", at(i), *map(float, x[i]), float(y[i])) for i in range(240)]
+    schema = "symbol string, hour timestamp_ntz, " + ", ".join(f"`{c}` double" for c in [*FEATURES, TARGET])
+    table = spark.createDataFrame(rows, schema)
+    split = dataset.time_split(table)
+    scaler = dataset.MinMax.fit(split.filter("split = 'train'"), [*FEATURES, TARGET])
+    return pipeline.Prepared(table, split, scaler), x, y
+
+
+@pytest.fixture()
+def no_fitting(monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("something was fitted")
+
+    monkeypatch.setattr(Estimator, "fit", refuse)
+    monkeypatch.setattr(dataset.MinMax, "fit", refuse)
+
+
+@pytest.fixture(scope="module")
+def folder(prepared, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "models")
+    scoring.train(prepared[0], path, trees=5)
+    return path
+
+
+def test_stored_models_forecast_without_fitting(spark, prepared, folder, no_fitting):
+    p, x, y = prepared
+    stored = scoring.load(spark, folder)
+    assert stored.columns == ["LinearRegression", "RandomForest", "Ensemble"]
+    test = p.split.filter("split = 'test'").withColumn("_x.y", F.lit(7))
+    got = stored.forecast(test).orderBy("hour")
+    assert got.columns == [*test.columns, *stored.columns]
+    out = got.toPandas()
+    np.testing.assert_array_equal(out[FEATURES].to_numpy(), x[192:])
+    line, *_ = np.linalg.lstsq(np.c_[x[:192], np.ones(192)], y[:192], rcond=None)
+    np.testing.assert_allclose(out["LinearRegression"], np.c_[x[192:], np.ones(48)] @ line, atol=1e-8)
+    np.testing.assert_allclose(out["Ensemble"], stored.weight * out["RandomForest"] + (1 - stored.weight) * out["LinearRegression"], atol=1e-10)
+    rmse = lambda w: np.sqrt(((w * out["RandomForest"] + (1 - w) * out["LinearRegression"] - y[192:]) ** 2).mean())
+    assert rmse(stored.weight) <= min(rmse(w) for w in np.linspace(0, 1, 101)) + 1e-9
+
+
+def test_scoring_reads_its_rows_once(spark, prepared, folder):
+    p, _, _ = prepared
+    text = scoring.load(spark, folder).forecast(p.matrix)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_scenarios_by_every_stored_model(spark, prepared, folder, no_fitting):
+    stored = scoring.load(spark, folder)
+    windows = dataset.last_step(scenario.scenario_windows(scenario.apply_scenarios(prepared[0].matrix), stored.scaler))
+    got = scenario.score_scenarios(stored.predict(windows), stored.scaler, {c: F.col(c) for c in stored.columns}).toPandas()
+    assert len(got) == len(scenario.PRESETS)
+    np.testing.assert_allclose(got["Ensemble"], stored.weight * got["RandomForest"] + (1 - stored.weight) * got["LinearRegression"])
+    for c in stored.columns:
+        assert got[f"{c}_regime"].tolist() == ["low" if v < 0.005 else "normal" if v < 0.015 else "high" for v in got[c]]
+
+
+def test_folders_without_a_forest_or_anything(spark, prepared, tmp_path):
+    path = str(tmp_path / "models")
+    scoring.train(prepared[0], path, trees=None)
+    assert scoring.load(spark, path).columns == ["LinearRegression"]
+    with pytest.raises(FileNotFoundError):
+        scoring.load(spark, str(tmp_path / "nothing"))

@@ -267,7 +267,7 @@ def _held(expr: str, name: str) -> str:
     return f"least(greatest({expr}, {low!r}::double), {high!r}::double)"
 
 
-def _scenario_columns() -> str:
+def _scenario_values() -> dict[str, str]:
     whole = {"tweets", "likes", "retweets"}
     given = {"return": "ret", "sentiment_score": "sentiment", "tweet_count": "tweets", "likes": "likes", "retweets": "retweets"}
     value = {c: _q(c) for c in FEATURES}
@@ -280,7 +280,11 @@ def _scenario_columns() -> str:
         value[c] = f"CASE WHEN is_last THEN {new[c]} ELSE {_q(c)} END"
     weight = f"({new['sentiment_score']}) * ln(({new['likes']}) + ({new['retweets']}) + 2)"
     value["weighted_sentiment"] = f"CASE WHEN is_last THEN {weight} ELSE weighted_sentiment END"
-    return ", ".join(_r(value[c], c) for c in FEATURES)
+    return value
+
+
+def _scenario_columns() -> str:
+    return ", ".join(_r(value, c) for c, value in _scenario_values().items())
 
 
 _PARTS["ranged"] = "SELECT * FROM fused WHERE hour >= TIMESTAMP '2024-01-10 05:00:00'"
@@ -323,6 +327,29 @@ _PARTS["recent"] = """
 SELECT *, back = 1 AS is_last
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour DESC) AS back FROM fused) WHERE back <= 12"""
 
+# Least squares of the scaled target by normal equations, solved by Gauss-Jordan elimination: a step for each feature.
+_PARTS["moments"] = "SELECT [" + ", ".join(
+    "[" + ", ".join(f"covar_pop({_q(a)}, {_q(b)})" for b in [*FEATURES, TARGET]) + "]" for a in FEATURES
+) + f"] AS m, [{', '.join(f'avg({_q(c)})' for c in [*FEATURES, TARGET])}] AS means FROM scaled WHERE split = 'train'"
+_PARTS["elimination"] = f"""
+SELECT 1 AS k, m, means FROM moments UNION ALL
+SELECT k + 1, list_transform(m, lambda r, i: CASE
+         WHEN m[k][k] < 1e-13 THEN r
+         WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+         ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END), means
+FROM elimination WHERE k <= {len(FEATURES)}"""
+_PARTS["line"] = f"""
+SELECT w, means[{len(FEATURES) + 1}] - list_dot_product(w, means[1:{len(FEATURES)}]) AS b
+FROM (SELECT means, list_transform(m, lambda r, i: CASE WHEN r[i] < 1e-13 THEN 0 ELSE r[{len(FEATURES) + 1}] END) AS w
+      FROM elimination WHERE k = {len(FEATURES) + 1})"""
+_PARTS["target_range"] = f"SELECT min({TARGET}) AS target_low, max({TARGET}) - min({TARGET}) AS target_width FROM split WHERE split = 'train'"
+_LINE = f"target_low + target_width * (b + list_dot_product(w, [{', '.join(map(_q, FEATURES))}]))"
+_PARTS["scenario_last"] = f"""
+SELECT symbol, preset, {", ".join(f"ln(1 + {v}) AS {_q(c)}" if c in COUNT_FEATURES else f"{v} AS {_q(c)}" for c, v in _scenario_values().items())}
+FROM recent, {_preset_rows()} WHERE is_last"""
+_PARTS["scenario_scaled"] = f"SELECT symbol, preset, {', '.join(f'{_scaled(c)} AS {_q(c)}' for c in FEATURES)} FROM scenario_last"
+_PARTS["scenario_line"] = f"SELECT symbol, preset, {_LINE} AS v FROM scenario_scaled JOIN line ON true JOIN target_range ON true"
+
 _BAR = ["open", "high", "low", "close", "volume", "vwap"]
 _METRIC = ["MAE", "RMSE", "R2"]
 _SENT = f"hour, {_r('sentiment_score', 'sentiment_score')}, tweet_count, {_rounded(['likes', 'retweets', 'weighted_sentiment'])}"
@@ -442,6 +469,12 @@ SELECT symbol, hour, {_rounded(_BAR)} FROM (
 _FINAL["posts_csv"] = f"SELECT {_POST_AT}, text, likes, retweets, 0::bigint AS replies FROM posts"
 _FINAL["minmax_reloaded"] = _FINAL["minmax_scaled"]
 _FINAL["linreg_residuals"] = "SELECT unnest([" + _list(FEATURES) + "]) AS feature, 0::double AS product FROM (SELECT count(*) FROM matrix)"
+_FINAL["stored_linear"] = f"""
+SELECT symbol, hour, {_r(f"target_low + target_width * {TARGET}", "actual")}, {_r(_LINE, "LinearRegression")}
+FROM scaled JOIN line ON true JOIN target_range ON true WHERE split = 'test'"""
+_FINAL["scenario_scores"] = f"""
+SELECT symbol, preset, {_r("v", "Linear")},
+       CASE WHEN v < 0.005 THEN 'low' WHEN v < 0.015 THEN 'normal' ELSE 'high' END AS "Linear_regime" FROM scenario_line"""
 _FINAL["linreg_by_symbol"] = f"""
 SELECT symbol, count(*) AS n, {_r(f"regr_slope({TARGET}, atr)", "slope")}, {_r(f"regr_intercept({TARGET}, atr)", "intercept")}
 FROM matrix GROUP BY symbol"""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from volfuse.functions import casts
 from volfuse.functions.scores import fmt_kpis, fmt_metrics
 from volfuse.operators import bars, dataset, evaluate, fusion, indicators, models, report, scenario, sentiment
-from volfuse.plans import pipeline
+from volfuse.plans import pipeline, scoring
 from volfuse.schema import FEATURES, RESULTS, TARGET
 from volfuse.session import stage, stage_path, use_utc
 from volfuse.sources import fixtures, tables
@@ -492,6 +492,15 @@ def test_predictions(spark, d):
     return pipeline.prediction_table(p, forest)
 
 
+@query
+def stored_linear(spark, d):
+    """Test rows forecast by a later run, from the scaler and the least squares that a training run has stored."""
+    p, path = pipeline.prepared(spark, d), stage_path(spark, "stored-linear")
+    scoring.train(p, path, trees=None)
+    scored = scoring.load(spark, path).forecast(p.split.filter("split = 'test'"))
+    return scored.select("symbol", "hour", F.col(TARGET).alias("actual"), scoring.LINEAR)
+
+
 # --- scenarios ----------------------------------------------------------------------------------
 
 
@@ -511,6 +520,18 @@ def scenario_scores(spark, d):
     return scored.select("symbol", "preset", "Linear", "Linear_regime")
 
 
+@query
+def scenario_models(spark, d):
+    """Every stored model and the blend on the newest step of every scenario."""
+    fused, path = stage(pipeline.fused(spark, d), "fused"), stage_path(spark, "stored-models")
+    scoring.train(pipeline.prepare(fused), path)
+    stored = scoring.load(spark, path)
+    windows = dataset.last_step(scenario.scenario_windows(scenario.apply_scenarios(fused), stored.scaler))
+    named = {c: F.col(c) for c in stored.columns}
+    scored = scenario.score_scenarios(stored.predict(windows), stored.scaler, named)
+    return scored.select("symbol", "preset", *named, *[f"{c}_regime" for c in named])
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 
