@@ -15,17 +15,71 @@ def model(spark):
     return langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), queries.fold() != 0)
 
 
-def test_probabilities_add_up():
-    grams = np.array([[2, 1, 0], [3, 2, 1], [0, 3, 2], [1, 0, 0], [2, 1, 0], [1, 0, 0]])
-    kinds, count = np.unique(grams, axis=0, return_counts=True)
-    owner = np.zeros(len(kinds), np.int64)
-    m = langid.kneser_ney(["x"], owner, kinds, count)
-    alphabet = len(np.unique(grams[:, 0])) + 1
-    for context in ([1, 0], [2, 1], [0, 0], [9, 9]):
-        parts = [np.array([0, 1, 2, 3]), *(np.full(4, c) for c in context)]
-        known = np.exp(m.log_probability(parts).astype(float)).sum()
-        other = np.exp(m.log_probability([np.array([77]), *(np.array([c]) for c in context)]).astype(float)).sum()
-        assert known + (alphabet - 4) * other == pytest.approx(1, abs=1e-5)
+def grams_of(words, lang):
+    """Counts of the highest order's n-grams of words, symbol first, by plain loops."""
+    out = {}
+    for word in words:
+        codes = [*map(ord, word), 0]
+        for i, c in enumerate(codes):
+            gram = (c, *(codes[i - j] if j <= i else 0 for j in range(1, langid.ORDER)))
+            out[gram] = out.get(gram, 0) + 1
+    return [(lang, *gram, n) for gram, n in out.items()]
+
+
+def recursion(rows, rare):
+    """Interpolated Kneser-Ney as it is written down: a function of a symbol and the ones before it, without tables."""
+    tokens = sum(r[-1] for r in rows)
+    value = {langid.ORDER: {r[1:-1]: r[-1] for r in rows}}
+    often = {langid.ORDER: {g: n for g, n in value[langid.ORDER].items()}}
+    for n in range(langid.ORDER - 1, 0, -1):
+        value[n], often[n] = {}, {}
+        for g in value[n + 1]:
+            value[n][g[:n]] = value[n].get(g[:n], 0) + 1
+            often[n][g[:n]] = often[n].get(g[:n], 0) + often[n + 1][g]
+
+    def p(gram, alphabet):
+        n = len(gram)
+        if n == 0:
+            return 1 / alphabet
+        once, twice = (sum(v == k for v in value[n].values()) for k in (1, 2))
+        d = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+        same = {g: v for g, v in value[n].items() if g[1:] == gram[1:]}
+        listed = {g: (v - d) / sum(same.values()) for g, v in same.items() if often[n][g] >= rare * tokens}
+        return listed.get(gram, 0.0) + (1 - sum(listed.values())) * p(gram[:-1], alphabet)
+
+    return p
+
+
+@pytest.mark.parametrize("rare", [0.0, 4e-6, 0.004, 0.2])
+def test_probabilities_are_those_of_the_plain_recursion(spark, rare):
+    """Two languages that share n-grams; with a high ``rare`` most are not listed, and probabilities still add up."""
+    rng = np.random.default_rng(4)
+    words = {k: ["".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(60)] for k, letters in (("x", "aab"), ("y", "abcd"))}
+    rows = {k: grams_of(v, k) for k, v in words.items()}
+    names = ", ".join(f"c{j} int" for j in range(langid.ORDER))
+    fitted = langid.learned(spark.createDataFrame([*rows["x"], *rows["y"]], f"lang string, {names}, n long").repartition(3), rare)
+    symbols = sorted({r[1] for v in rows.values() for r in v})
+    alphabet = len(symbols) + 1
+    contexts = {r[2:-1] for v in rows.values() for r in v[:25]} | {(9, 9, 9, 9), (ord("a"), 9, 0, 0), (0, 0, 0, 0)}
+    for k, lang in enumerate(["x", "y"]):
+        p = recursion(rows[lang], rare)
+        for ctx in contexts:
+            grams = [(c, *ctx) for c in [*symbols, 77]]
+            got = np.exp(fitted.log_probability([np.array(part) for part in zip(*grams, strict=True)])[:, k].astype(float))
+            assert got == pytest.approx([p(g, alphabet) for g in grams], rel=1e-4)
+            assert got.sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_what_is_listed_depends_on_shares_alone(spark):
+    """The same texts many times over give the same n-grams."""
+    rows = grams_of(["the", "then", "than", "of", "often"] * 3 + ["xylem"], "a")
+    names = ", ".join(f"c{j} int" for j in range(langid.ORDER))
+    small, large = (
+        langid.learned(spark.createDataFrame([(*r[:-1], r[-1] * times) for r in rows], f"lang string, {names}, n long"), 0.03) for times in (1, 1000)
+    )
+    for a, b in zip(small.grams, large.grams, strict=True):
+        assert a.keys.tolist() == b.keys.tolist() and len(a.keys)
+    assert 0 < len(small.grams[-1].keys) < len(rows)
 
 
 def test_table_finds_all_and_nothing_else():
@@ -120,9 +174,3 @@ def test_counts_are_those_of_all_symbols(spark):
             for *gram, n in zip(*out.to_pydict().values(), strict=True):
                 got[tuple(gram)] = got.get(tuple(gram), 0) + n
         assert got == want
-
-
-def test_rare_grams_go_first(spark):
-    counts = spark.createDataFrame([("a", n) for n in (1, 1, 2, 3, 4, 9)] + [("b", 1)], "lang string, n long")
-    assert langid._least(counts, 10) == ({"a": 1, "b": 1}, {"a": (2, 1), "b": (1, 0)})
-    assert langid._least(counts, 4)[0] == {"a": 2, "b": 1} and langid._least(counts, 3)[0] == {"a": 4, "b": 1}

@@ -2,9 +2,10 @@
 
 Letters are lower-cased, everything else is a word bound; a model of order n predicts every letter of a word,
 and its end, from the n - 1 symbols before, which reach back to the beginning of the word. All labelled rows but
-the texts left aside are counted, whatever their size; of more n-grams than a model may have, those go that
-occur less often than a power of two. All orders are read from the highest
-one's counts, with a discount for each. An n-gram's probabilities in all languages lie in one row of a table
+the texts left aside are counted, whatever their size. Spark counts what every order needs from all n-grams of the
+highest one: how many symbols come before an n-gram, what a context adds up to, and a discount for each order. A
+model then lists the n-grams that make up a fixed share of a language's symbols or more, at every size of table
+alike; what the others of a context are due goes to its back-off weight, so probabilities still add up to 1. An n-gram's probabilities in all languages lie in one row of a table
 whose 64-bit keys are sorted and indexed by their leading bits; n-grams not in it back off order by order.
 
 A text gets the language of the lowest cross-entropy a symbol. The score is the share of that language among
@@ -23,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volfuse.llm.staging import stage
@@ -212,41 +213,21 @@ def _counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[
         yield rows()
 
 
-def kneser_ney(
-    languages: list[str], owner: np.ndarray, grams: np.ndarray, count: np.ndarray, singles: np.ndarray | None = None, pairs: np.ndarray | None = None
-) -> Model:
-    """Models from the counts of highest-order n-grams; ``grams`` has the symbol first, then the ones before it.
-
-    ``singles`` and ``pairs`` are the numbers of n-grams that occur once and twice, by language, if ``grams`` lacks rare ones.
-    """
-    order, some = grams.shape[1], len(languages)
-    levels = []
-    own, now, value = owner, grams, count.astype(float)
-    for n in range(order, 0, -1):
-        levels.append((own, now, value))
-        if n > 1:  # of the shorter n-gram count the different symbols that come before it
-            shorter = np.column_stack([own, now[:, :-1]])
-            kinds, value = np.unique(shorter, axis=0, return_counts=True)
-            own, now, value = kinds[:, 0], kinds[:, 1:], value.astype(float)
-    levels.reverse()
-    alphabet = len(np.unique(grams[:, 0])) + 1
+def kneser_ney(languages: list[str], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], alphabet: int) -> Model:
+    """Models from what is listed of each order, from 1: the language, the n-gram (the symbol first, then the ones before
+    it) and its discounted share of its context. What a context's shares leave of 1 is the weight of the next lower order,
+    and in the end of any of the ``alphabet`` symbols."""
+    some = len(languages)
     model = Model(languages, [], [], np.zeros(some, np.float32))
     for n, (own, now, value) in enumerate(levels, 1):
         gram_of, gram_row = np.unique(now, axis=0, return_inverse=True)
-        seen = np.zeros((len(gram_of), some))
-        seen[gram_row, own] = value
+        part = np.zeros((len(gram_of), some))
+        part[gram_row.ravel(), own] = value
         ctx, ctx_row = np.unique(gram_of[:, 1:], axis=0, return_inverse=True) if n > 1 else (np.zeros((1, 0)), np.zeros(len(gram_of), int))
         ctx_row = ctx_row.ravel()
-        total, kinds, lower = np.zeros((len(ctx), some)), np.zeros((len(ctx), some)), None
-        np.add.at(total, ctx_row, seen)
-        np.add.at(kinds, ctx_row, (seen > 0).astype(float))
-        once, twice = (seen == 1).sum(axis=0), (seen == 2).sum(axis=0)
-        if n == order and singles is not None:
-            once, twice = singles, pairs
-        discount = np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.9)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(total > 0, discount * kinds / total, 1.0)
-            part = np.where(total[ctx_row] > 0, np.maximum(seen - discount, 0) / total[ctx_row], 0.0)
+        taken = np.zeros((len(ctx), some))
+        np.add.at(taken, ctx_row, part)
+        weight = np.maximum(1 - taken, 1e-12)
         if n == 1:
             model = model._replace(floor=np.log(weight[0] / alphabet).astype(np.float32))
             lower = np.full((len(gram_of), some), 1 / alphabet)
@@ -265,42 +246,55 @@ def kneser_ney(
     return model
 
 
-def fit(docs: DataFrame, learn: Column, kinds: int = 400_000, texts: int = 20_000, aside: float = 0.2) -> Model | None:
+def _per_language(values: dict[str, float]) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("lang")]
+
+
+def learned(counts: DataFrame, rare: float) -> Model:
+    """The models of all counted n-grams of the highest order: lang, c0 (the symbol) and those before it, n.
+
+    Every order's counts are those of all n-grams, none left out. Listed are the n-grams that occur ``rare`` times the
+    symbols of their language or more, so 1 / ``rare`` of a language and order at most. A context has no more n-grams
+    than there are letters, whatever the table, so its sum is a small window.
+    """
+    names = [f"c{j}" for j in range(ORDER)]
+    level = counts.select("lang", *names, F.col("n").alias("value"), F.col("n").alias("tokens"))
+    tables = []
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:  # of the shorter n-gram count the different symbols that come before it
+            level = stage(level.groupBy("lang", *names[:n]).agg(F.count("*").alias("value"), F.sum("tokens").alias("tokens")), "grams")
+        few = [F.count_if(F.col("value") == k) for k in (1, 2)]
+        facts = {r[0]: r[1:] for r in level.groupBy("lang").agg(F.sum("tokens"), *few).collect()}
+        discount = {k: min(0.9, max(0.1, once / max(1, once + 2 * twice))) for k, (_, once, twice) in facts.items()}
+        whole = F.sum("value").over(Window.partitionBy("lang", *names[1:n]))
+        shares = level.withColumn("share", (F.col("value") - _per_language(discount)) / whole)
+        often = F.col("tokens") >= _per_language({k: rare * v[0] for k, v in facts.items()})
+        tables.append(shares.where(often).select("lang", *names[:n], "share").toArrow())
+    alphabet = level.select("c0").distinct().count() + 1
+    languages = sorted(facts)
+    levels = []
+    for n, table in enumerate(reversed(tables), 1):
+        owner = np.searchsorted(np.array(languages, object), table.column("lang").to_numpy(zero_copy_only=False)) if table.num_rows else np.zeros(0, int)
+        grams = np.column_stack([table.column(c).to_numpy() for c in names[:n]]).astype(np.int64)
+        levels.append((owner, grams, table.column("share").to_numpy()))
+    return kneser_ney(languages, levels, alphabet)
+
+
+def fit(docs: DataFrame, learn: Column, rare: float = 4e-6, texts: int = 20_000, aside: float = 0.2) -> Model | None:
     """A model from all rows where ``learn`` holds, but those that calibrate it: of each language the share ``aside``,
-    about ``texts`` in all at most, and never its last text. Beyond ``kinds`` n-grams, the rarest of a language go."""
+    about ``texts`` in all at most, and never its last text. ``rare`` is the share of a language's symbols from which on
+    an n-gram is listed."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("place", share(F.col("doc_id"), 8))
     sizes = {r[0]: r[1:] for r in known.groupBy("lang").agg(F.count("*"), F.max("place")).collect()}
     if not sizes:
         return None
-    each = {k: min(aside, texts / len(sizes) / n, last) for k, (n, last) in sizes.items()}
-    test = F.col("place") < F.create_map(*(x for k, v in each.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("lang")]
+    test = F.col("place") < _per_language({k: min(aside, texts / len(sizes) / n, last) for k, (n, last) in sizes.items()})
     names = [f"c{j}" for j in range(ORDER)]
     counts = known.where(~test).select("lang", "text").mapInArrow(_counts, f"lang string, {' int, '.join(names)} int, n bigint")
     counts = stage(counts.groupBy("lang", *names).agg(F.sum("n").alias("n")), "grams")
-    least, rare = _least(counts, kinds // len(sizes))
-    table = counts.where(F.col("n") >= F.create_map(*(x for k, v in least.items() for x in (F.lit(k), F.lit(v))))[F.col("lang")]).toArrow()
-    languages, owner = np.unique(table.column("lang").to_numpy().astype(str), return_inverse=True)
-    grams = np.column_stack([table.column(c).to_numpy() for c in names]).astype(np.int64)
-    by = np.lexsort((*grams.T, owner))
-    once, twice = np.array([rare[k] for k in languages.tolist()]).T
-    model = kneser_ney(languages.tolist(), owner[by], grams[by], table.column("n").to_numpy()[by], once, twice)
-    return calibrated(model, known.where(test))
-
-
-def _least(counts: DataFrame, most: int) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
-    """By language: the lowest power of two that at most ``most`` n-grams reach, and how many occur once and twice."""
-    level = F.floor(F.log2(F.col("n") + F.lit(0.5))).alias("level")
-    of = {}
-    for r in counts.groupBy("lang", level).agg(F.count("*"), *(F.count_if(F.col("n") == k) for k in (1, 2))).collect():
-        of.setdefault(r[0], []).append(r[1:])
-    least, rare = {}, {k: (sum(x[2] for x in v), sum(x[3] for x in v)) for k, v in of.items()}
-    for k, v in of.items():
-        levels = sorted(v, reverse=True)
-        total = np.cumsum([x[1] for x in levels])
-        least[k] = 1 << levels[max(0, int((total <= most).sum()) - 1)][0]
-    return least, rare
+    return calibrated(learned(counts, rare), known.where(test))
 
 
 def calibrated(model: Model, held: DataFrame, deviations: float = 4.0, enough: int = 20) -> Model:
