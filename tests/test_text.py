@@ -100,6 +100,38 @@ def test_any_scorer_in_small_batches(spark):
     assert got == {i: (0.5 if i % 3 else -0.5) for i in range(50)} | {50: -0.5}
 
 
+def test_scorer_holds_few_texts_at_once(spark):
+    """Of 40 MB of texts in one Arrow batch, which is held once, only those of a call are Python strings too."""
+
+    def load():
+        import tracemalloc
+
+        tracemalloc.start()
+        return lambda texts: [("positive", tracemalloc.get_traced_memory()[1] / 1e6)] * len(texts)
+
+    df = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+    assert sentiment.score_posts(df, load, batch=8).agg(F.max("probability")).first()[0] < 60
+
+
+def test_scores_of_odd_values(spark):
+    """Missing labels and probabilities, whole numbers, and a partition without rows."""
+
+    def load():
+        return lambda texts: [{"a": ("positive", 1), "b": (None, float("nan"))}.get(t, ("neutral", None)) for t in texts]
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "text string").repartition(5)
+    got = {r["text"]: (r["label"], r["probability"]) for r in sentiment.score_posts(df, load).collect()}
+    assert got == {"a": ("positive", 1.0), "b": (None, None), "c": ("neutral", None)}
+    assert sentiment.score_posts(df.where("text = 'x'"), load).collect() == []
+
+
+def test_entities_of_many_texts(spark):
+    """More texts than are decoded at a time, some without an entity or missing."""
+    df = spark.range(0, 200, 1, 2).select("id", F.expr("if(id % 3 = 0, null, concat(if(id % 2 = 0, '&amp;', 'x'), id))").alias("text"))
+    got = {r["id"]: r["c"] for r in df.select("id", clean_text("text").alias("c")).collect()}
+    assert got == {i: "" if i % 3 == 0 else f"{'x' if i % 2 else '&'}{i}" for i in range(200)}
+
+
 def test_hourly_index(spark):
     posts = spark.createDataFrame(
         [

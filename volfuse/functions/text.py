@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +27,14 @@ def _spaced(c: Column) -> Column:
 def unescape_html(c: Column) -> Column:
     """Decode HTML entities. Only texts with an ampersand go to Python, as Arrow batches."""
 
-    @F.pandas_udf("string")
-    def decode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(texts: pa.Array) -> pa.Array:
         from html import unescape
 
-        return texts.map(unescape, na_action="ignore")
+        # A few texts at a time are Python strings, whatever the size of the batch.
+        parts = (texts.slice(i, 32).to_pylist() for i in range(0, len(texts), 32))
+        done = [pa.array([None if t is None else unescape(t) for t in part], pa.string()) for part in parts]
+        return pa.concat_arrays([pa.array([], pa.string()), *done])
 
     return F.coalesce(decode(F.when(c.contains("&"), c)), c)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -68,16 +68,19 @@ def score_posts(
     """Label, probability and signed score from any model.
 
     ``load`` runs once per Python task and returns a function from a list of texts to a list of
-    (label, probability); it is called with at most ``batch`` texts at a time.
+    (label, probability); it is called with at most ``batch`` texts at a time. No others are held as
+    Python strings meanwhile.
     """
 
-    @F.pandas_udf("label string, probability double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("label string, probability double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            rows = [r for i in range(0, len(values), batch) for r in model(values[i : i + batch])]
-            yield pd.DataFrame(rows, columns=["label", "probability"])
+            parts = (texts.slice(i, batch).fill_null("").to_pylist() for i in range(0, len(texts), batch))
+            found = [(label, probability) for part in parts for label, probability in model(part)]
+            label, probability = zip(*found, strict=True) if found else ((), ())
+            columns = [pa.array(label, pa.string(), from_pandas=True), pa.array(probability, pa.float64(), from_pandas=True)]
+            yield pa.StructArray.from_arrays(columns, ["label", "probability"])
 
     scored = df.withColumn("_scored", predict(F.col(text)))
     scored = scored.withColumns({"label": F.col("_scored.label"), "probability": F.col("_scored.probability")})
