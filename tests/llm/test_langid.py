@@ -174,3 +174,40 @@ def test_counts_are_those_of_all_symbols(spark):
             for *gram, n in zip(*out.to_pydict().values(), strict=True):
                 got[tuple(gram)] = got.get(tuple(gram), 0) + n
         assert got == want
+
+
+def test_all_rows_are_counted_and_calibrate(spark, monkeypatch):
+    """No row is left out of the models, none out of the limits, and no text is judged by models that have counted it."""
+    import pyarrow as pa
+
+    rows = [(k, f"the one of them and this is word{'abcdefghij'[k % 10]} " * 2, "en") for k in range(300)]
+    rows += [(1000 + k, "der und die den das nicht mit einem " * 2, "de") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    calls, learned, calibrated = {}, langid.learned, langid.calibrated
+    monkeypatch.setattr(langid, "learned", lambda counts, rare: learned(calls.setdefault("counts", counts), rare))
+    monkeypatch.setattr(langid, "calibrated", lambda model, held, *judges: calibrated(model, calls.setdefault("held", held), *calls.setdefault("judges", judges)))
+    fitted = langid.fit(docs, F.lit(True))
+    assert fitted.languages == ["de", "en"] and np.isfinite(fitted.limits).all()
+    assert calls["held"].count() == len(rows)
+    symbols = {lang: sum(len(langid.symbols(pa.array([r[1]]))[0]) for r in rows if r[2] == lang) for lang in ("de", "en")}
+    counted = dict(calls["counts"].groupBy("lang").agg(F.sum("n")).collect())
+    assert {lang: counted[langid.ALL + lang] for lang in symbols} == symbols
+    held = calls["held"].groupBy("half", "lang").count().collect()
+    a, b = langid.HALVES
+    assert {r.half for r in held} == {a, b} and all(counted[half + lang] + counted[other + lang] == symbols[lang] for half, other in ((a, b),) for lang in symbols)
+    plain = learned(calls["counts"].where(F.col("lang").startswith(b)), 4e-6)
+    parts = [np.array([ord("e"), ord("x")]), np.array([ord("h"), ord("t")]), np.array([ord("t"), 0]), np.array([0, 0]), np.array([0, 0])]
+    assert calls["judges"][0][a].log_probability(parts) == pytest.approx(plain.log_probability(parts), abs=0.05)
+
+
+def test_entropies_are_sums_over_all_symbols(model):
+    """Repeated words, looked up once, count as often as they occur."""
+    import pyarrow as pa
+
+    column = pa.array(["the the the und, The 1 le", "", None, "12", "les les x"])
+    codes, at, age = langid.symbols(column)
+    log_p = model.log_probability(langid.history(codes, age, langid.ORDER)).astype(float)
+    h, n = model.entropies(column)
+    assert n.tolist() == np.diff(at).tolist()
+    for k, (i, j) in enumerate(zip(at, at[1:], strict=False)):
+        assert h[k] == pytest.approx(-log_p[i:j].sum(axis=0) / max(1, j - i))
