@@ -138,3 +138,24 @@ def test_components(spark):
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
     assert got == {k: v for k, v in group.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
+def test_a_round_of_components_takes_few_tasks(spark):
+    """Every task leaves something in the driver, so rounds don't double them by unions and plans computed again."""
+    context, path = spark.sparkContext, [(k, k + 1) for k in range(40)]
+    links = components.stage(spark.createDataFrame(path, "a bigint, b bigint"), "path")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    context.setJobGroup("rounds", "rounds")
+    try:
+        found = components.components(links, "a", "b").collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(found) == [(k, 0) for k in range(41)]
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert tasks < 900

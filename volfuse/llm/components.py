@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from volfuse.llm.staging import is_empty, stage
 
 
-def _star(links: DataFrame, low: DataFrame) -> DataFrame:
-    """Links (node, other) turned towards the smallest of each node's group."""
-    return links.join(low, "node").select(F.col("other").alias("node"), F.col("low").alias("other"))
+def _round(down: DataFrame) -> DataFrame:
+    """Links (node, other) from larger to smaller nodes after a large and a small star.
+
+    The smallest that a node has met is among its smaller neighbours, or itself. Either star turns both ends of a link in
+    the rows of one join, so no union doubles the tasks of the shuffle behind it.
+    """
+    least = lambda links: links.groupBy("node").agg(F.min("other").alias("low"))
+    ends = down.select(F.col("node").alias("up"), F.explode(F.array("node", "other")).alias("node"))
+    large = ends.join(least(down), "node", "left").select(F.col("up").alias("node"), F.coalesce("low", "node").alias("other")).distinct()
+    both = large.join(least(large), "node").select(F.explode(F.array("node", "other")).alias("node"), F.col("low").alias("other"))
+    return both.where("node != other").distinct()
 
 
 def _stars(links: DataFrame) -> bool:
@@ -31,12 +39,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     down = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other"))
     down = stage(down.where("node != other").distinct(), "links")
     while not _stars(down):
-        both = down.union(down.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        low = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low"))
-        large = _star(both.where("other > node"), low).union(low.select("node", F.col("low").alias("other")))
-        large = large.where("node != other").distinct()
-        low = large.groupBy("node").agg(F.min("other").alias("low"))
-        small = _star(large, low).union(low.select("node", F.col("low").alias("other")))
-        down = stage(small.where("node != other").distinct(), "small")
+        down = stage(_round(down), "small")
     smallest = down.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
     return down.select("node", F.col("other").alias("component")).union(smallest)

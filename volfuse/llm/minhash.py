@@ -231,6 +231,7 @@ def mixed(held: DataFrame, component: DataFrame) -> DataFrame:
     named = component.withColumnRenamed("node", "id").join(many, "component")
     own = held.select("key", "id", "n", *[s for s in SIGNATURE if s in held.columns]).join(named, "id", "left")
     own = own.withColumns({"component": F.coalesce("component", "id"), "weight": F.coalesce("weight", F.lit(-1))})
+    own = stage(own, "named")  # both sides of the join below read it
     several = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least_n"))
     return stage(own.join(several.where("x != y").select("key", "least_n"), "key"), "members")
 
